@@ -124,8 +124,9 @@ def hash_weight(term) -> Column:
 
 
 def score_linear(df: DataFrame, id_col: str, text_col: str, model: DataFrame, bias: float = 0.0,
-                 k_bound: int | None = DEFAULT_VOCAB_SIZE, keep=()) -> DataFrame:
-    """K5/K6: sigma(b + sum_t w_t * tfidf_t) for every row of ``df``; blank text -> 0.0.
+                 k_bound: int | None = DEFAULT_VOCAB_SIZE, keep=(), blank_guard: bool = True) -> DataFrame:
+    """K5/K6: sigma(b + sum_t w_t * tfidf_t) for every row of ``df``; blank text -> 0.0
+    (D8) unless ``blank_guard`` is off (the struct form K7 scores blanks as sigma(b)).
 
     ``model`` holds (term, idf, coef). Every input row is kept (explode_outer +
     left broadcast join), and the per-row sums combine map-side: a text's rows
@@ -133,7 +134,8 @@ def score_linear(df: DataFrame, id_col: str, text_col: str, model: DataFrame, bi
     carries one row per text.
     """
     m = _vocab_side(model.select("term", "idf", "coef"), k_bound)
-    base = spread(df).withColumn("_blank", F.coalesce(is_blank(text_col), F.lit(True)))
+    blank = F.coalesce(is_blank(text_col), F.lit(True)) if blank_guard else F.lit(False)
+    base = spread(df).withColumn("_blank", blank)
     exploded = (with_term_pairs(base, text_col, [id_col, *keep, "_blank"])
                 .select(id_col, *keep, "_blank", F.explode_outer("pairs").alias("p")))
     joined = exploded.select(id_col, *keep, "_blank", F.col("p.term").alias("term"),

@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from riskline.functions import labels as L
 from riskline.functions import risk as R
 from riskline.functions import text as T
+from riskline.operators import evaluate as Ev
 from riskline.operators import features as Fe
+from riskline.operators import split as Sp
+from riskline.operators.ranking import key_rank
+from riskline.sources import extract as Ex
+from riskline.sources import mail as M
 from riskline.sources.tables import table
 
 VOCAB_K = 5000
@@ -84,14 +89,328 @@ def q_score_linear(spark, sf):
     return s.select("doc_id", _r("risk_score", "risk_score"), R.band("risk_score").alias("risk_band"))
 
 
+
+# ---------------------------------------------------------------------------
+# Labels (C2-C5) and assembly
+
+# Derivations of raw label cells from the labels table (every row kept).
+RAW_WORDS = L.PHISHING_WORDS + L.SAFE_WORDS + ["maybe", "2", "1.0", "Phishing Email", "SAFE EMAIL"]
+PSEUDO_FILES = ["Enron.csv", "CEAS_08.csv", "Ling.csv", "Nazario.csv", "Nigerian_Fraud.csv",
+                "SpamAssassin.csv", "phishing_email.csv", "emails.csv", "unknown.csv", "A b.csv"]
+
+
+def _docs_labelled(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+
+
+def q_assemble_text(spark, sf):
+    p = table(spark, sf, "pages").select(
+        "page_id", F.col("url").alias("urls"),
+        F.when(F.pmod("page_id", F.lit(3)) == 0, F.lit(None).cast("string")).otherwise(F.col("html")).alias("body"))
+    return M.build_text(p).select("page_id", "text")
+
+
+def _email_type():
+    i = F.pmod("doc_id", F.lit(3))
+    return (F.when(i == 0, F.when(F.col("toxic") == 1, F.lit(L.STRICT_PHISHING)).otherwise(F.lit(L.STRICT_SAFE)))
+             .when(i == 1, F.when(F.col("toxic") == 1, F.lit("phishing email")).otherwise(F.lit("Safe Email ")))
+             .otherwise(F.lit(None).cast("string")))
+
+
+def q_strict_label(spark, sf):
+    d = _docs_labelled(spark, sf).withColumn("email_type", _email_type())
+    d = M.valid_text(d, "text")
+    return d.select("doc_id", "email_type", L.strict_label("email_type").alias("label"))
+
+
+def _raw_word():
+    w = F.element_at(F.array(*[F.lit(x) for x in RAW_WORDS]), (F.pmod("doc_id", F.lit(len(RAW_WORDS))) + 1).cast("int"))
+    deco = F.pmod("doc_id", F.lit(3))
+    w = (F.when(deco == 1, F.upper(w)).when(deco == 2, F.concat(F.lit("  "), w, F.lit(" "))).otherwise(w))
+    return F.when(F.pmod("doc_id", F.lit(23)) == 0, F.lit(None).cast("string")).otherwise(w)
+
+
+def q_normalize_label(spark, sf):
+    lab = table(spark, sf, "labels")
+    d = lab.select("doc_id", _raw_word().alias("raw_word"),
+                   ((F.pmod("doc_id", F.lit(9)) - 3) * F.lit(0.7)).alias("raw_num"),
+                   F.when(F.col("toxic") == 1, F.lit("True")).otherwise(F.lit("false")).alias("raw_bool"))
+    return d.select("doc_id", "raw_word", L.normalize_label("raw_word", L.KIND_STRING).alias("word_label"),
+                    _r("raw_num", "raw_num"), L.normalize_label("raw_num", L.KIND_NUMERIC).alias("num_label"),
+                    "raw_bool", L.normalize_label("raw_bool", L.KIND_BOOLEAN).alias("bool_label"))
+
+
+def _pseudo_file():
+    n = F.substring("source", 4, 10).cast("int")
+    return F.element_at(F.array(*[F.lit(x) for x in PSEUDO_FILES]),
+                        (F.pmod(n, F.lit(len(PSEUDO_FILES))) + 1).cast("int"))
+
+
+def q_label_from_source(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", _pseudo_file().alias("source_file"))
+    d = d.select("doc_id", "source_file", L.label_from_source("source_file").alias("label"))
+    return d.where(F.col("label").isNotNull())
+
+
+def q_label_precedence(spark, sf):
+    """Three pseudo-files with different headers; the label rule is chosen per file."""
+    d = _docs_labelled(spark, sf)
+    k = F.pmod("doc_id", F.lit(4))
+    word = (F.when(F.pmod("doc_id", F.lit(8)) == 0, F.lit("maybe"))
+             .when(F.col("toxic") == 1, F.lit("Phishing")).otherwise(F.lit("ham")))
+    files = {
+        "CEAS_08.csv": d.where(k == 0).select("doc_id", F.col("text").alias("body"), word.alias("label")),
+        "Nazario.csv": d.where(k == 1).select("doc_id", F.col("text").alias("body"),
+                                              F.when(F.col("toxic") == 1, F.lit(L.STRICT_PHISHING))
+                                               .otherwise(F.lit(L.STRICT_SAFE)).alias("Email Type")),
+        "Enron.csv": d.where(k == 2).select("doc_id", F.col("text").alias("body")),
+        "emails.csv": d.where(k == 3).select("doc_id", F.col("text").alias("body"), word.alias("label")),
+    }
+    parts = []
+    for name, df in files.items():
+        if name in M.EXCLUDED_FILES:
+            continue
+        rule = M.label_rule(df.columns, name)
+        if rule is None:
+            continue
+        df = df.withColumn("source_file", F.lit(name))
+        label = (L.normalize_label(F.col(f"`{rule[1]}`"), L.KIND_STRING) if rule[0] == "column"
+                 else L.label_from_source("source_file"))
+        parts.append(df.select("doc_id", "source_file", label.alias("label")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_union_sources(spark, sf):
+    lab = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    d = M.build_text(table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id", "left"))
+    d = d.select(F.lit("documents").alias("source_file"), F.col("doc_id").alias("row_id"), "text", "label")
+    p = M.build_text(table(spark, sf, "pages").select("page_id", F.col("url").alias("urls"), F.col("html").alias("body")))
+    p = p.select(F.lit("pages").alias("source_file"), F.col("page_id").alias("row_id"), "text",
+                 F.lit(None).cast("int").alias("label"))
+    c = M.build_text(table(spark, sf, "conversations").select("conv_id", "turn", "text"))
+    c = c.select(F.lit("conversations").alias("source_file"), (F.col("conv_id") * 100 + F.col("turn")).alias("row_id"),
+                 "text", F.lit(None).cast("int").alias("label"))
+    return d.unionByName(p).unionByName(c)
+
+
+def _with_injected_blanks(spark, sf):
+    """documents left-joined with labels; every 10th text replaced by its whitespace
+    skeleton (blank) and the next by null, so D2/D3 have rows to drop."""
+    lab = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
+    d = table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id", "left")
+    i = F.pmod("doc_id", F.lit(10))
+    txt = (F.when(i == 0, F.regexp_replace("text", T.NON_WS, ""))
+            .when(i == 1, F.lit(None).cast("string")).otherwise(F.col("text")))
+    return d.withColumn("text", txt)
+
+
+def q_valid_rows(spark, sf):
+    return M.drop_unusable(_with_injected_blanks(spark, sf)).select("doc_id", "label")
+
+
+def q_row_counts(spark, sf):
+    return Ev.row_counts(_with_injected_blanks(spark, sf), M.usable())
+
+
+def q_class_distribution(spark, sf):
+    return Ev.class_distribution(_docs_labelled(spark, sf).withColumnRenamed("toxic", "label"))
+
+
+def q_rows_by_source(spark, sf):
+    return Ev.rows_by_source(_docs_labelled(spark, sf), "source")
+
+
+# ---------------------------------------------------------------------------
+# Splits (J4, J5, H4) and hold-out transform
+
+def _labelled_rows(spark, sf):
+    return _docs_labelled(spark, sf).select("doc_id", "text", F.col("toxic").alias("label"))
+
+
+def q_split_random(spark, sf):
+    return Sp.split(_labelled_rows(spark, sf), "doc_id").select("doc_id", "label", "split")
+
+
+def q_split_stratified(spark, sf):
+    return Sp.split(_labelled_rows(spark, sf), "doc_id", "label").select("doc_id", "label", "split")
+
+
+def q_split_sizes(spark, sf):
+    s = Sp.split(_labelled_rows(spark, sf), "doc_id", "label")
+    return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_tfidf_holdout(spark, sf):
+    s = Sp.split(_labelled_rows(spark, sf), "doc_id", "label")
+    train, test = s.where(F.col("split") == Sp.TRAIN), s.where(F.col("split") == Sp.TEST)
+    vocab_idf, _ = Fe.fit_tfidf(train, "doc_id", "text", VOCAB_K)
+    w = Fe.tfidf(Fe.term_counts(test, "doc_id"), vocab_idf, "doc_id", VOCAB_K)
+    return w.select("doc_id", "term", _r("weight", "weight"))
+
+
+# ---------------------------------------------------------------------------
+# Scoring, bands, preview
+
+def q_predict_struct(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", T.clean_basic("text").alias("clean"))
+    sc = Fe.score_linear(d, "doc_id", "clean", doc_linear_model(spark, sf), blank_guard=False)
+    st = F.struct((F.col("risk_score") > 0.5).cast("int").alias("label"),
+                  F.col("risk_score").alias("phishing_probability"))
+    out = sc.select("doc_id", st.alias("prediction"))
+    return out.select("doc_id", "prediction.label", _r("prediction.phishing_probability", "phishing_probability"))
+
+
+def q_risk_band(spark, sf):
+    s = Fe.score_linear(table(spark, sf, "documents"), "doc_id", "text", doc_linear_model(spark, sf))
+    return s.select("doc_id", T.round_score("risk_score").alias("risk_score"),
+                    T.format_score("risk_score").alias("score_text"),
+                    R.band("risk_score").alias("risk_band"), R.display("risk_score").alias("display"),
+                    R.severity(R.band("risk_score")).alias("severity"))
+
+
+def q_risk_band_grid(spark, sf):
+    g = table(spark, sf, "labels").select("doc_id", (F.pmod("doc_id", F.lit(11)) / F.lit(10.0)).alias("score"))
+    return g.select("doc_id", "score", R.band("score").alias("risk_band"), R.display("score").alias("display"),
+                    R.severity(R.band("score")).alias("severity"), R.is_alert(R.band("score")).alias("alert"),
+                    (F.col("score") > 0.5).cast("int").alias("label"))
+
+
+def q_preview(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.preview("text").alias("preview"), T.display_text("text").alias("shown"))
+
+
+# ---------------------------------------------------------------------------
+# Metrics (H5-H8): labels.toxic is the truth, labels.quality the prediction
+
+def _cm(spark, sf):
+    return Ev.confusion(table(spark, sf, "labels"), "toxic", "quality")
+
+
+def q_confusion_matrix(spark, sf):
+    return Ev.confusion_long(_cm(spark, sf))
+
+
+def q_accuracy_f1(spark, sf):
+    m = Ev.accuracy_f1(_cm(spark, sf))
+    return m.select("n_rows", _r("accuracy", "accuracy"), _r("f1", "f1"))
+
+
+def q_classification_report(spark, sf):
+    return Ev.classification_report(_cm(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Extraction and scan report (A6, A7, K8), capture names
+
+IMAGE_EXTS = [".png", ".JPG", ".jpeg", ".txt"]
+
+
+def q_extract_page_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", Ex.page_text("html").alias("text"))
+
+
+def q_scan_report(spark, sf):
+    p = table(spark, sf, "pages")
+    ext = F.element_at(F.array(*[F.lit(e) for e in IMAGE_EXTS]), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
+    files = p.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), ext).alias("filename"), "html")
+    files = files.where(Ex.is_image_name("filename"))
+    texts = files.select("filename", Ex.page_text("html").alias("text"))
+    s = Fe.score_linear(texts, "filename", "text", doc_linear_model(spark, sf))
+    return s.select("filename", T.round_score("risk_score").alias("risk_score"),
+                    R.band("risk_score").alias("risk_band"))
+
+
+def q_capture_names(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", T.capture_name("ts").alias("capture_name"))
+    return e.groupBy("capture_name").agg(F.max_by("event_id", "ts").alias("event_id"),
+                                         F.count(F.lit(1)).alias("n_writes"))
+
+
+# ---------------------------------------------------------------------------
+# Pooling (F7, F8) and frame sampling
+
+def _token_vectors(spark, sf):
+    """embeddings as token-level vectors: group = label, pos = 0-based rank of vec_id."""
+    e = table(spark, sf, "embeddings")
+    e = key_rank(e, ["label"], ["vec_id"], "pos1")
+    return e.select(F.col("label").alias("group_id"), (F.col("pos1") - 1).alias("pos"), "embedding",
+                    (F.pmod("vec_id", F.lit(5)) != 0).cast("int").alias("mask"))
+
+
+def q_mean_pool(spark, sf):
+    pooled = Fe.masked_mean_pool_long(_token_vectors(spark, sf), "group_id", "pos", "embedding", "mask", 128)
+    return pooled.select("group_id", F.col("dim").cast("int").alias("dim"), _r("value", "value"))
+
+
+FRAME_EVERY = 30
+
+
+def q_frame_sample(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    r = key_rank(e, ["user_id"], ["ts", "event_id"], "frame_no")
+    return r.where(F.col("frame_no") % FRAME_EVERY == 0).select("user_id", "event_id", "frame_no")
+
+
+# ---------------------------------------------------------------------------
+# Alerts and latest state (D7, L5, L6) on conversations scored by K5
+
+def _scored_conversations(spark, sf):
+    c = table(spark, sf, "conversations")
+    s = Fe.score_linear(c, "conv_id", "text", doc_linear_model(spark, sf), keep=("turn",))
+    return s.withColumn("risk_band", R.band("risk_score"))
+
+
+def q_alerts(spark, sf):
+    s = _scored_conversations(spark, sf)
+    return s.where(R.is_alert("risk_band")).select("conv_id", "turn", _r("risk_score", "risk_score"), "risk_band")
+
+
+def q_latest_state(spark, sf):
+    s = _scored_conversations(spark, sf)
+    last = s.groupBy("conv_id").agg(F.max_by(F.struct("turn", "risk_score", "risk_band"), "turn").alias("s"))
+    return last.select("conv_id", "s.turn", _r("s.risk_score", "risk_score"), "s.risk_band")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_basic": q_clean_basic,
     "clean_mask": q_clean_mask,
+    "assemble_text": q_assemble_text,
+    "strict_label": q_strict_label,
+    "normalize_label": q_normalize_label,
+    "label_from_source": q_label_from_source,
+    "label_precedence": q_label_precedence,
+    "union_sources": q_union_sources,
+    "valid_rows": q_valid_rows,
+    "row_counts": q_row_counts,
+    "class_distribution": q_class_distribution,
+    "rows_by_source": q_rows_by_source,
     "tokens": q_tokens,
     "vocabulary": q_vocabulary,
     "idf": q_idf,
     "tfidf": q_tfidf,
+    "tfidf_holdout": q_tfidf_holdout,
+    "split_random": q_split_random,
+    "split_stratified": q_split_stratified,
+    "split_sizes": q_split_sizes,
     "score_linear": q_score_linear,
+    "predict_struct": q_predict_struct,
+    "risk_band": q_risk_band,
+    "risk_band_grid": q_risk_band_grid,
+    "preview": q_preview,
+    "confusion_matrix": q_confusion_matrix,
+    "accuracy_f1": q_accuracy_f1,
+    "classification_report": q_classification_report,
+    "extract_page_text": q_extract_page_text,
+    "scan_report": q_scan_report,
+    "capture_names": q_capture_names,
+    "mean_pool": q_mean_pool,
+    "frame_sample": q_frame_sample,
+    "alerts": q_alerts,
+    "latest_state": q_latest_state,
 }
 
 
