@@ -375,6 +375,38 @@ def q_latest_state(spark, sf):
     return last.select("conv_id", "s.turn", _r("s.risk_score", "risk_score"), "s.risk_band")
 
 
+# ---------------------------------------------------------------------------
+# MLlib fits (K1-K4): iterative, so rows-only checks plus gradient tests in pytest
+
+def _lr_tfidf(spark, sf):
+    from riskline.operators import model as Mo
+    return Mo.train(_labelled_rows(spark, sf), "doc_id", "text", "label", stratify=True,
+                    max_iter=Mo.MAX_ITER_TFIDF)
+
+
+def q_lr_tfidf_fit(spark, sf):
+    from riskline.operators import model as Mo
+    return Mo.coefficients(spark, _lr_tfidf(spark, sf).model)
+
+
+def q_lr_tfidf_eval(spark, sf):
+    return _lr_tfidf(spark, sf).report
+
+
+def q_lr_classify(spark, sf):
+    from riskline.operators import model as Mo
+    m = _lr_tfidf(spark, sf).model
+    s = Mo.classify(table(spark, sf, "documents").select("doc_id", "text"), m, "text", keep=["doc_id"])
+    return s.select("doc_id", _r("risk_score", "risk_score"), "risk_band")
+
+
+def q_lr_vectors_fit(spark, sf):
+    from riskline.operators import model as Mo
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding",
+                                              (F.col("label") < 5).cast("int").alias("label"))
+    return Mo.train_vectors(e, "vec_id", "embedding", "label").report
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_basic": q_clean_basic,
     "clean_mask": q_clean_mask,
@@ -411,6 +443,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frame_sample": q_frame_sample,
     "alerts": q_alerts,
     "latest_state": q_latest_state,
+    "lr_tfidf_fit": q_lr_tfidf_fit,
+    "lr_tfidf_eval": q_lr_tfidf_eval,
+    "lr_classify": q_lr_classify,
+    "lr_vectors_fit": q_lr_vectors_fit,
 }
 
 
