@@ -407,6 +407,62 @@ def q_lr_vectors_fit(spark, sf):
     return Mo.train_vectors(e, "vec_id", "embedding", "label").report
 
 
+# ---------------------------------------------------------------------------
+# Streaming (L3-L8): availableNow runs into the shared checkpoint folder, read back
+
+def _doc_model_table(spark, sf) -> DataFrame:
+    """The fixed linear model written once, so micro-batches read it instead of refitting."""
+    from riskline.session import scratch_path
+    path = scratch_path(spark, "doc-linear-model")
+    doc_linear_model(spark, sf).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _monitor_conversations(spark, sf) -> str:
+    from riskline.session import scratch_path
+    from riskline.streaming import stream as St
+    model = _doc_model_table(spark, sf)
+    out, ck = scratch_path(spark, "monitor"), scratch_path(spark, "monitor-ckpt")
+    src = St.file_stream(spark, sf, "conversations.parquet")
+
+    def scorer(batch):
+        s = Fe.score_linear(batch, "conv_id", "text", model, keep=("turn",))
+        return s.withColumn("risk_band", R.band("risk_score"))
+
+    q = St.monitor(src, scorer, out, ck, key="conv_id", order="turn", trigger="availableNow")
+    q.awaitTermination()
+    return out
+
+
+def q_stream_score(spark, sf):
+    out = _monitor_conversations(spark, sf)
+    s = spark.read.parquet(f"{out}/scores")
+    return s.select("conv_id", "turn", _r("risk_score", "risk_score"), "risk_band")
+
+
+def q_stream_alerts(spark, sf):
+    out = _monitor_conversations(spark, sf)
+    s = spark.read.parquet(f"{out}/alerts")
+    return s.select("conv_id", "turn", _r("risk_score", "risk_score"), "risk_band")
+
+
+def q_stream_latest_state(spark, sf):
+    from riskline.streaming import stream as St
+    out = _monitor_conversations(spark, sf)
+    s = St.read_state(spark, out)
+    return s.select("conv_id", "turn", _r("risk_score", "risk_score"), "risk_band")
+
+
+def q_stream_frame_sample(spark, sf):
+    from riskline.session import scratch_path
+    from riskline.streaming import stream as St
+    src = St.file_stream(spark, sf, "events.parquet").select("user_id", "event_id", "ts")
+    sampled = St.sample_frames(src, FRAME_EVERY, key="user_id", order=["ts", "event_id"])
+    out, ck = scratch_path(spark, "frames"), scratch_path(spark, "frames-ckpt")
+    St.run_to_parquet(sampled, out, ck).awaitTermination()
+    return spark.read.parquet(out).select("user_id", "event_id", "frame_no")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_basic": q_clean_basic,
     "clean_mask": q_clean_mask,
@@ -443,6 +499,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "frame_sample": q_frame_sample,
     "alerts": q_alerts,
     "latest_state": q_latest_state,
+    "stream_score": q_stream_score,
+    "stream_alerts": q_stream_alerts,
+    "stream_latest_state": q_stream_latest_state,
+    "stream_frame_sample": q_stream_frame_sample,
     "lr_tfidf_fit": q_lr_tfidf_fit,
     "lr_tfidf_eval": q_lr_tfidf_eval,
     "lr_classify": q_lr_classify,

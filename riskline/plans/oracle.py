@@ -389,5 +389,15 @@ FROM c_score GROUP BY conv_id
 """
 
 
+# Streams: the same answers as the batch queries over the whole tables.
+SQL["stream_score"] = f"""
+WITH {CONV_SCORED}
+SELECT conv_id, turn, round(risk_score, 6) AS risk_score, {band_sql('risk_score')} AS risk_band FROM c_score
+"""
+SQL["stream_alerts"] = SQL["alerts"]
+SQL["stream_latest_state"] = SQL["latest_state"]
+SQL["stream_frame_sample"] = SQL["frame_sample"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
