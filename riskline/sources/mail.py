@@ -129,7 +129,11 @@ def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> D
         if not usable:
             continue
         df = read_mail_csv(spark, [p for _, p in usable])
-        path_to_name = spark.createDataFrame([(p, n) for n, p in usable], "_path string, source_file string")
+        # The scan's _metadata.file_path is percent-encoded (``A b.csv`` -> ``A%20b.csv``);
+        # map it back through the encoded form of each listed path (A5).
+        jvm = spark.sparkContext._jvm
+        uris = [(jvm.org.apache.hadoop.fs.Path(p).toUri().toString(), n) for n, p in usable]
+        path_to_name = spark.createDataFrame(uris, "_path string, source_file string")
         df = (df.withColumn("_path", F.col("_metadata.file_path"))
                 .join(F.broadcast(path_to_name), "_path").drop("_path"))
         df = build_text(df)
