@@ -39,7 +39,7 @@ MAX_ITER_TFIDF = 1000
 MAX_ITER_VECTORS = 2000
 PROBABILITY_CUT = 0.5  # class 1 iff p > 0.5 (strict)
 # ---------------------------------------------------------------------------
-TOL = 1e-7
+TOL = 1e-9  # solver tolerance: close to the exact L2 optimum (gradient test < 1e-4)
 VARIANTS = ("baseline", "enhanced", "vectors")
 
 

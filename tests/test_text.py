@@ -29,6 +29,7 @@ MASK_CASES = [
 ODD_TEXTS = [
     "  Hello\tWorld \n", " only nbsp ", "a b　c\x1cd\x85e", "",
     "ÉCOLE  Straße x", "tab\tand\x0bvt", " ", None,
+    "\u00a0only nbsp\u00a0", "\u2003em\u3000space\u205f",
 ]
 
 
