@@ -346,6 +346,23 @@ def q_mean_pool(spark, sf):
     return pooled.select("group_id", F.col("dim").cast("int").alias("dim"), _r("value", "value"))
 
 
+def q_feature_cache(spark, sf):
+    """A previous run cached the vectors of even vec_ids; this run serves
+    those from the cache, encodes the rest (the encoder here passes the stored
+    vector through) and appends them."""
+    from riskline.session import scratch_path
+    from riskline.sources import cache as Ca
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding",
+                                              F.md5(F.col("vec_id").cast("string")).alias("key"))
+    path = scratch_path(spark, "vector-cache")
+    (e.where(F.pmod("vec_id", F.lit(2)) == 0).select("vec_id", "key", "embedding")
+      .write.mode("overwrite").parquet(f"{path}/run=seed"))
+    out = Ca.cached_features(e.select("vec_id", "key", "embedding"), "vec_id", "key", path,
+                             lambda missing: missing, "embedding")
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return out.select("vec_id", "from_cache", _r(total, "dim_sum"))
+
+
 FRAME_EVERY = 30
 
 
@@ -496,6 +513,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_report": q_scan_report,
     "capture_names": q_capture_names,
     "mean_pool": q_mean_pool,
+    "feature_cache": q_feature_cache,
     "frame_sample": q_frame_sample,
     "alerts": q_alerts,
     "latest_state": q_latest_state,

@@ -389,6 +389,13 @@ FROM c_score GROUP BY conv_id
 """
 
 
+SQL["feature_cache"] = """
+SELECT vec_id, vec_id % 2 = 0 AS from_cache,
+       round(list_reduce(list_prepend(0.0e0, list_transform(embedding, lambda x: x::DOUBLE)), lambda a, b: a + b), 6)
+         AS dim_sum
+FROM embeddings
+"""
+
 # Streams: the same answers as the batch queries over the whole tables.
 SQL["stream_score"] = f"""
 WITH {CONV_SCORED}
