@@ -6,7 +6,7 @@ on local[$BENCH_CPUS] and prints ONE JSON line:
   {"metric": "total_sec", "value": N, "unit": "sec", "queries": {...}, "sf": ...}
 
 Every query is fully computed through Spark's ``noop`` sink (no collect to
-the driver). A short warm-up on sf0.001 runs first so JVM start-up and
+the driver). A short warm-up on sf0.01 runs first (untimed) so JVM start-up and
 code generation are not charged to the first query.
 """
 
@@ -28,7 +28,7 @@ HEADLINE = [
     "split_stratified", "tfidf_holdout", "scan_report", "frame_sample", "mean_pool",
     "alerts", "stream_score",
 ]
-WARMUP_SF = "/root/testdata/sf0.001"
+WARMUP_SF = "/root/testdata/sf0.01"
 
 
 def _run(spark, fn, sf_dir):

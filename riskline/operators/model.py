@@ -22,6 +22,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,6 +103,14 @@ def _evaluate(model: PipelineModel, test: DataFrame, label_col: str):
     return cm, Ev.accuracy_f1(cm), Ev.classification_report(cm)
 
 
+def _materialise_cm(model: PipelineModel, test: DataFrame, label_col: str) -> DataFrame:
+    """The four confusion cells, computed now (one aggregate) so the metrics do
+    not depend on inputs that are unpersisted afterwards."""
+    spark = test.sparkSession
+    row = Ev.confusion(model.transform(test), label_col, "prediction").first()
+    return spark.createDataFrame([tuple(int(x) for x in row)], "tn long, fp long, fn long, tp long")
+
+
 def train(df: DataFrame, id_col: str, text_col: str = "text", label_col: str = "label",
           stratify: bool = True, fit_on: str = "train", max_iter: int = MAX_ITER_TFIDF,
           k: int = Fe.DEFAULT_VOCAB_SIZE, C: float = C_DEFAULT, tol: float = TOL) -> TrainResult:
@@ -110,27 +119,33 @@ def train(df: DataFrame, id_col: str, text_col: str = "text", label_col: str = "
     ``fit_on='all'`` fits on every row (the serving variants) and skips the
     evaluation; otherwise an exact 80/20 split (stratified or random).
     """
-    if fit_on == "all":
-        fit_rows, test = df, None
-    else:
-        s = Sp.split(df, id_col, label_col if stratify else None)
-        fit_rows = s.where(F.col("split") == Sp.TRAIN).drop("split")
-        test = s.where(F.col("split") == Sp.TEST).drop("split")
-    vocab_idf, n_train = Fe.fit_tfidf(fit_rows, id_col, text_col, k)
-    stages = vectorizer_stages(vocab_idf, text_col)
-    vec = PipelineModel(stages)
-    train_vec = vec.transform(fit_rows).select("features", F.col(label_col).cast("double").alias(label_col))
-    train_vec = train_vec.repartition(fit_partitions(df.sparkSession, n_train)).cache()
+    # The labelled rows feed the split passes, the vocabulary, the vectoriser
+    # and the evaluation: read (and join) them once, spill to disk if needed.
+    data = df.select(id_col, text_col, label_col).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        lr_model = fit_lr(train_vec, "features", label_col, C, max_iter, tol, n_train)
+        if fit_on == "all":
+            fit_rows, test = data, None
+        else:
+            s = Sp.split(data, id_col, label_col if stratify else None)
+            fit_rows = s.where(F.col("split") == Sp.TRAIN).drop("split")
+            test = s.where(F.col("split") == Sp.TEST).drop("split")
+        vocab_idf, n_train = Fe.fit_tfidf(fit_rows, id_col, text_col, k)
+        stages = vectorizer_stages(vocab_idf, text_col)
+        vec = PipelineModel(stages)
+        train_vec = vec.transform(fit_rows).select("features", F.col(label_col).cast("double").alias(label_col))
+        train_vec = train_vec.repartition(fit_partitions(df.sparkSession, n_train)).cache()
+        try:
+            lr_model = fit_lr(train_vec, "features", label_col, C, max_iter, tol, n_train)
+        finally:
+            train_vec.unpersist()
+        model = PipelineModel(stages + [lr_model])
+        if test is None:
+            return TrainResult(model, n_train, 0, None, None, None)
+        n_test = test.count()
+        cm = _materialise_cm(model, test, label_col)
+        return TrainResult(model, n_train, n_test, cm, Ev.accuracy_f1(cm), Ev.classification_report(cm))
     finally:
-        train_vec.unpersist()
-    model = PipelineModel(stages + [lr_model])
-    if test is None:
-        return TrainResult(model, n_train, 0, None, None, None)
-    n_test = test.count()
-    cm, m, rep = _evaluate(model, test, label_col)
-    return TrainResult(model, n_train, n_test, cm, m, rep)
+        data.unpersist()
 
 
 def train_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str = "label",
