@@ -75,3 +75,34 @@ def test_monitor_dead_letter(spark, tmp_dir):
     assert sorted((a.stream_id, a.seq, a.risk_band) for a in alerts) == [(1, 1, "HIGH"), (2, 1, "MEDIUM")]
     state = {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out).collect()}
     assert state == {1: (1, "HIGH"), 2: (1, "MEDIUM")}
+
+
+def test_processing_time_trigger_start_and_stop(spark, tmp_dir):
+    """L1/L2: a fixed-interval monitor picks up files as they arrive and stops on request."""
+    import time
+    from riskline.functions import risk as R
+    from riskline.operators import features as Fe
+    src_dir = os.path.join(tmp_dir, "scans")
+    os.makedirs(src_dir)
+    schema = "stream_id long, seq long, text string"
+    model = spark.createDataFrame([("urgent", 1.0, 3.0)], "term string, idf double, coef double")
+
+    def scorer(b):
+        return Fe.score_linear(b, "stream_id", "text", model, keep=("seq",)).withColumn("risk_band", R.band("risk_score"))
+
+    src = spark.readStream.schema(schema).parquet(src_dir)
+    out = os.path.join(tmp_dir, "mon")
+    q = St.monitor(src, scorer, out, os.path.join(tmp_dir, "ck"), key="stream_id", order="seq",
+                   trigger="1 second")
+    try:
+        spark.createDataFrame([(1, 1, "urgent now")], schema).write.mode("append").parquet(src_dir)
+        q.processAllAvailable()
+        spark.createDataFrame([(1, 2, "all calm")], schema).write.mode("append").parquet(src_dir)
+        q.processAllAvailable()
+        assert q.isActive
+    finally:
+        q.stop()
+    assert not q.isActive
+    state = {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out).collect()}
+    assert state == {1: (2, "MEDIUM")}
+    assert spark.read.parquet(f"{out}/scores").count() == 2
