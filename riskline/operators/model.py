@@ -40,6 +40,17 @@ MAX_ITER_TFIDF = 1000
 MAX_ITER_VECTORS = 2000
 PROBABILITY_CUT = 0.5  # class 1 iff p > 0.5 (strict)
 # ---------------------------------------------------------------------------
+# K9: the reference's training set-ups, as parameters of ``train``.
+VARIANT_PARAMS = {
+    # single mail CSV, strict labels, random split, library-default iterations
+    "baseline": dict(stratify=False, fit_on="train", max_iter=MAX_ITER_LIBRARY_DEFAULT),
+    # many CSVs, normalised labels, stratified split
+    "enhanced": dict(stratify=True, fit_on="train", max_iter=MAX_ITER_TFIDF),
+    # scoring scripts refit on every row with default iterations
+    "serve": dict(stratify=False, fit_on="all", max_iter=MAX_ITER_LIBRARY_DEFAULT),
+    # load-or-train fallback: every row, 1000 iterations
+    "fallback": dict(stratify=False, fit_on="all", max_iter=MAX_ITER_TFIDF),
+}
 TOL = 1e-9  # solver tolerance: close to the exact L2 optimum (gradient test < 1e-4)
 VARIANTS = ("baseline", "enhanced", "vectors")
 
@@ -148,6 +159,14 @@ def train(df: DataFrame, id_col: str, text_col: str = "text", label_col: str = "
         data.unpersist()
 
 
+def train_variant(df: DataFrame, id_col: str, variant: str, text_col: str = "text",
+                  label_col: str = "label") -> TrainResult:
+    """K9: train with one of the named set-ups in ``VARIANT_PARAMS``."""
+    if variant not in VARIANT_PARAMS:
+        raise ValueError(f"variant must be one of {sorted(VARIANT_PARAMS)}")
+    return train(df, id_col, text_col, label_col, **VARIANT_PARAMS[variant])
+
+
 def train_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str = "label",
                   stratify: bool = True, max_iter: int = MAX_ITER_VECTORS, C: float = C_DEFAULT,
                   tol: float = TOL) -> TrainResult:

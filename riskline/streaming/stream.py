@@ -36,6 +36,8 @@ MONITOR_INTERVAL = "2 seconds"      # fixed-interval re-scan
 AUTO_SCAN_INTERVAL = "3 seconds"    # auto scan loop
 SAMPLE_EVERY = 30                   # every 30th frame (1-based count)
 INITIAL_BAND = R.BAND_LOW
+SCAN_COMPLETE = "\u25cf  Scan complete"
+SCAN_ERROR = "\u25cf  Error"
 # ---------------------------------------------------------------------------
 
 
@@ -108,9 +110,10 @@ def monitor(stream_df: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if "status" in batch.columns:
-            _write_batch(batch.where(F.col("status") != STATUS_OK), dead, batch_id)
+            failed = batch.where(F.col("status") != STATUS_OK).withColumn("scan_status", F.lit(SCAN_ERROR))
+            _write_batch(failed, dead, batch_id)
             batch = batch.where(F.col("status") == STATUS_OK)
-        scored = scorer(batch)
+        scored = scorer(batch).withColumn("scan_status", F.lit(SCAN_COMPLETE))
         path = f"{out_dir}/_scored_tmp/batch_id={batch_id}"
         # Materialise once; the three outputs below read the written files.
         scored.write.mode("overwrite").parquet(path)

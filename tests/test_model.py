@@ -93,3 +93,14 @@ def test_run_metrics_sink(spark, tmp_dir):
     Mo.write_run_metrics(spark, p, "emails", "tfidf-lr", m)
     back = spark.read.parquet(p).collect()
     assert len(back) == 2 and back[0].accuracy == 0.963 and back[0].f1 == 0.955
+
+
+def test_variants(spark):
+    rows = [(i, "good fine lovely day", 0) for i in range(20)] + [(100 + i, "urgent verify password now", 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    base = Mo.train_variant(df, "doc_id", "baseline")
+    assert (base.n_train, base.n_test) == (32, 8)
+    serve = Mo.train_variant(df, "doc_id", "serve")
+    assert (serve.n_train, serve.n_test, serve.report) == (40, 0, None)
+    with pytest.raises(ValueError):
+        Mo.train_variant(df, "doc_id", "other")
