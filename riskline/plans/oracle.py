@@ -7,7 +7,9 @@ DuckDB does not switch to DECIMAL arithmetic; regexes use the ``'g'`` flag.
 
 from __future__ import annotations
 
+from riskline.functions import labels as _L
 from riskline.functions.text import NON_WS, TOKEN, WS
+from riskline.sources.extract import HTML_COMMENT, HTML_SCRIPT, HTML_STYLE, HTML_TAG
 
 K = 5000
 
@@ -101,11 +103,6 @@ SELECT doc_id, round(risk_score, 6) AS risk_score, {band_sql('risk_score')} AS r
 """
 
 
-
-from riskline.functions import labels as _L  # noqa: E402
-from riskline.sources.extract import HTML_COMMENT, HTML_SCRIPT, HTML_STYLE, HTML_TAG  # noqa: E402
-
-
 def _list(xs) -> str:
     return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + "]"
 
