@@ -310,14 +310,15 @@ IMAGE_EXTS = [".png", ".JPG", ".jpeg", ".txt"]
 
 
 def q_extract_page_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", Ex.page_text("html").alias("text"))
+    pages = Fe.spread(table(spark, sf, "pages").select("page_id", "html"))
+    return pages.select("page_id", Ex.page_text("html").alias("text"))
 
 
 def q_scan_report(spark, sf):
     p = table(spark, sf, "pages")
     ext = F.element_at(F.array(*[F.lit(e) for e in IMAGE_EXTS]), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
     files = p.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), ext).alias("filename"), "html")
-    files = files.where(Ex.is_image_name("filename"))
+    files = Fe.spread(files.where(Ex.is_image_name("filename")))
     texts = files.select("filename", Ex.page_text("html").alias("text"))
     s = Fe.score_linear(texts, "filename", "text", doc_linear_model(spark, sf))
     return s.select("filename", T.round_score("risk_score").alias("risk_score"),
