@@ -7,6 +7,8 @@ only; rows stay distributed. Files sharing a header are read by one reader.
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,6 +105,14 @@ def list_csv_files(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) ->
     return sorted(out)
 
 
+def header_names(spark: SparkSession, path: str) -> tuple[str, ...]:
+    """Exact header names of one CSV file, from its first line (a one-row read)."""
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        return ()
+    return tuple(next(csv.reader([first[0][0]])))
+
+
 def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> DataFrame:
     """A2-A5 + C5-C7 + J3: all usable CSVs of a folder as (text, label, source_file).
 
@@ -118,8 +128,12 @@ def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> D
         raise FileNotFoundError("No CSV files found in the dataset folder.")
     by_header: dict[tuple, list[tuple[str, str]]] = {}
     for name, path in files:
-        cols = tuple(_csv_reader(spark).csv(path).columns)
+        cols = header_names(spark, path)
         by_header.setdefault(cols, []).append((name, path))
+    if any(len({c.lower() for c in cols}) < len(cols) for cols in by_header):
+        # Names that differ only by case (``text`` and ``Text``) are distinct
+        # columns here; Spark would otherwise rename them (``text1``, ``Text2``).
+        spark.conf.set("spark.sql.caseSensitive", "true")
     parts = []
     for cols, group in by_header.items():
         if not find_text_columns(cols):

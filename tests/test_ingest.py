@@ -92,3 +92,15 @@ def test_read_mail_csv_baseline(spark, tmp_dir):
     df = M.valid_text(M.read_mail_csv(spark, p))
     rows = df.select("Email Text", strict_label(F.col("`Email Type`")).alias("y")).collect()
     assert [tuple(r) for r in rows] == [("multi\nline", 1), ("ok", None)]
+
+
+def test_headers_differing_by_case(spark, tmp_dir):
+    with open(os.path.join(tmp_dir, "CEAS_08.csv"), "w") as f:
+        f.write("subject,text,Text,label\nS,lower one,Upper One,1\n")
+    prev = spark.conf.get("spark.sql.caseSensitive")
+    try:
+        rows = [tuple(r) for r in M.read_mail_dir(spark, tmp_dir).collect()]
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", prev)
+    # only the exact name ``text`` is a candidate; ``Text`` is ignored
+    assert rows == [("s lower one", 1, "CEAS_08.csv")]
