@@ -42,6 +42,20 @@ def is_image_name(col, strict_case: bool = False) -> Column:
     return has_suffix(col, IMAGE_SUFFIXES, case_sensitive=strict_case)
 
 
+def read_media(spark, folder: str, strict_case: bool = False) -> DataFrame:
+    """A6 + J1: image files of a folder (top level) as (filename, content), sorted by name.
+
+    Uses the ``binaryFile`` source, so files are read by the executors; the
+    name test is a pushed-down filter on the listing columns.
+    """
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+          .select(F.element_at(F.split(F.col("path"), "/"), -1).alias("_encoded"), "path", "content"))
+    # ``path`` is a percent-encoded URI: decode only the file name for display.
+    name = F.expr("reflect('java.net.URLDecoder', 'decode', replace(_encoded, '+', '%2B'), 'UTF-8')")
+    df = df.select(name.alias("filename"), "path", "content")
+    return df.where(is_image_name("filename", strict_case)).orderBy("filename")
+
+
 def page_text(col) -> Column:
     """A7 shipped extractor: visible text of an HTML page (entities kept)."""
     t = _c(col)

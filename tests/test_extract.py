@@ -39,3 +39,29 @@ def test_extract_failure_isolation(spark):
     df = spark.createDataFrame([(1, "x")], "id long, raw string")
     r = Ex.extract_text(df, broken, "raw", "empty").first()
     assert (r.text, r.status, r.error) == ("", "error", "engine down")
+
+
+def test_media_folder_scan_report(spark, tmp_dir):
+    """A6 -> A7 -> K6 -> C13/C10 over real files, with a byte-decoding extractor."""
+    import os
+    from riskline.functions import risk as R
+    from riskline.functions.text import round_score
+    from riskline.operators import features as Fe
+    files = {"b.png": "urgent verify", "a b.JPG": "hello", "c.jpeg": " \n", "d.txt": "urgent", "e.gif": "urgent"}
+    for n, body in files.items():
+        with open(os.path.join(tmp_dir, n), "wb") as f:
+            f.write(body.encode())
+    media = Ex.read_media(spark, tmp_dir)
+    assert [r.filename for r in media.collect()] == ["a b.JPG", "b.png", "c.jpeg"]
+    strict = Ex.read_media(spark, tmp_dir, strict_case=True)
+    assert [r.filename for r in strict.collect()] == ["b.png", "c.jpeg"]
+
+    def decode(s):
+        return s.map(lambda b: bytes(b).decode("utf-8"))
+
+    texts = Ex.extract_text(media.select("filename", "content"), decode, "content", "empty")
+    model = spark.createDataFrame([("urgent", 1.0, 3.0)], "term string, idf double, coef double")
+    rep = Fe.score_linear(texts, "filename", "text", model).select(
+        "filename", round_score("risk_score").alias("risk_score"), R.band("risk_score").alias("risk_band"))
+    got = {r.filename: (r.risk_score, r.risk_band) for r in rep.collect()}
+    assert got == {"b.png": (0.953, "HIGH"), "a b.JPG": (0.5, "MEDIUM"), "c.jpeg": (0.0, "LOW")}
