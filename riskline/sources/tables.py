@@ -16,3 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def register_views(spark: SparkSession, sf_dir: str, names=None) -> None:
     for n in names or TABLES:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def land_bucketed(df: DataFrame, table_name: str, key: str, buckets: int, path: str) -> DataFrame:
+    """Write ``df`` once as a parquet table bucketed and sorted by ``key``.
+
+    Two tables landed with the same key and bucket count join without a
+    shuffle (each bucket pairs with the same bucket of the other side), so the
+    wide text side never moves across the network for the documents-labels join.
+    ``path`` must be in shared storage (e.g. below ``spark.checkpoint.dir``).
+    """
+    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(table_name))
+    return df.sparkSession.table(table_name)

@@ -56,3 +56,20 @@ def test_no_single_partition_exchange_in_split_and_rank(spark):
         df = C.QUERIES[q](spark, SF001)
         df.write.format("noop").mode("overwrite").save()
         assert "SinglePartition" not in _plan(df), q
+
+
+def test_bucketed_landing_joins_without_shuffle(spark, tmp_dir):
+    from riskline.sources.tables import land_bucketed, table
+    docs = land_bucketed(table(spark, SF001, "documents").select("doc_id", "text"), "docs_b", "doc_id", 4,
+                         os.path.join(tmp_dir, "docs_b"))
+    labs = land_bucketed(table(spark, SF001, "labels"), "labels_b", "doc_id", 4, os.path.join(tmp_dir, "labels_b"))
+    prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = docs.join(labs, "doc_id")
+        j.write.format("noop").mode("overwrite").save()
+        plan = _plan(j)
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert j.count() == 87
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
