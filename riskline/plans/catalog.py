@@ -477,7 +477,8 @@ def q_stream_frame_sample(spark, sf):
     src = St.file_stream(spark, sf, "events.parquet").select("user_id", "event_id", "ts")
     sampled = St.sample_frames(src, FRAME_EVERY, key="user_id", order=["ts", "event_id"])
     out, ck = scratch_path(spark, "frames"), scratch_path(spark, "frames-ckpt")
-    St.run_to_parquet(sampled, out, ck).awaitTermination()
+    par = spark.sparkContext.defaultParallelism
+    St.run_to_parquet(sampled, out, ck, state_partitions=par).awaitTermination()
     return spark.read.parquet(out).select("user_id", "event_id", "frame_no")
 
 

@@ -18,6 +18,7 @@ Triggers: ``processingTime`` for the fixed-interval loops (L1 2 s, L2 3 s),
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -179,10 +180,36 @@ def sample_frames(stream_df: DataFrame, every: int = SAMPLE_EVERY, frame_col: st
                                                          "append", timeout)
 
 
+@contextmanager
+def _shuffle_partitions(spark: SparkSession, n: int | None):
+    """Start a query with ``n`` shuffle (= state store) partitions.
+
+    A streaming query clones the session when it starts and keeps the number
+    of state partitions in its checkpoint, so the caller's setting is restored
+    right after ``start()`` without affecting the running query.
+    """
+    if not n:
+        yield
+        return
+    key = "spark.sql.shuffle.partitions"
+    prev = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, prev)
+
+
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, trigger: str | None = "availableNow",
-                   partition_by: str | None = None) -> StreamingQuery:
-    """Append a streaming DataFrame to parquet (file sink: exactly-once via its log)."""
+                   partition_by: str | None = None, state_partitions: int | None = None) -> StreamingQuery:
+    """Append a streaming DataFrame to parquet (file sink: exactly-once via its log).
+
+    ``state_partitions`` sets the state store partitions of a stateful query
+    on its first start (e.g. the cluster's parallelism); later restarts reuse
+    the number recorded in the checkpoint.
+    """
     w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if partition_by:
         w = w.partitionBy(partition_by)
-    return _trigger(w.outputMode("append"), trigger).start()
+    with _shuffle_partitions(df.sparkSession, state_partitions):
+        return _trigger(w.outputMode("append"), trigger).start()
