@@ -30,6 +30,20 @@ PREVIEW_CHARS = 200
 NO_TEXT_PLACEHOLDER = "[No text detected]"
 # ---------------------------------------------------------------------------
 
+# Spark-side forms of the fixed patterns (same matches, faster in Java's engine).
+# Python's whitespace set is Unicode White_Space plus \x1c-\x1f; Java tests that
+# as one property instead of a chain of ranges (equality over the whole BMP is
+# checked in tests/test_text.py). DuckDB's SQL keeps the explicit classes above,
+# so the oracle cross-checks both forms.
+WS_JAVA = r"[\p{IsWhite_Space}\x1c-\x1f]"
+NON_WS_JAVA = r"[^\p{IsWhite_Space}\x1c-\x1f]"
+URL_RUN_JAVA = f"http{NON_WS_JAVA}++|www{NON_WS_JAVA}++"
+# EMAIL_RUN without quadratic backtracking: a match can only start where a
+# non-whitespace run starts and always ends at the run's end; it exists iff the
+# first '@' after the run's first character is followed by a non-whitespace one.
+EMAIL_RUN_LINEAR = (f"(?<!{NON_WS_JAVA}){NON_WS_JAVA}"
+                    f"(?=[^@\\p{{IsWhite_Space}}\\x1c-\\x1f]*+@{NON_WS_JAVA}){NON_WS_JAVA}*+")
+
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
@@ -41,17 +55,17 @@ def collapse_ws(col) -> Column:
     After the collapse every run is a single U+0020, so Spark's ``trim`` (which
     removes only U+0020) strips exactly what Python's ``str.strip`` would.
     """
-    return F.trim(F.regexp_replace(_c(col), f"{WS}+", " "))
+    return F.trim(F.regexp_replace(_c(col), f"{WS_JAVA}+", " "))
 
 
 def strip_ws(col) -> Column:
     """Python ``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(col), f"^{WS}+|{WS}+$", "")
+    return F.regexp_replace(_c(col), f"^{WS_JAVA}+|{WS_JAVA}+$", "")
 
 
 def is_blank(col) -> Column:
     """True when the text is empty or only whitespace (D3/D8). Null stays null."""
-    return F.regexp_replace(_c(col), f"{WS}+", "") == F.lit("")
+    return F.regexp_replace(_c(col), f"{WS_JAVA}+", "") == F.lit("")
 
 
 def clean_basic(col) -> Column:
@@ -65,8 +79,8 @@ def clean_mask(col) -> Column:
     No null guard (callers drop null texts first); null in, null out.
     """
     t = F.lower(_c(col).cast("string"))
-    t = F.regexp_replace(t, URL_RUN, URL_MASK)
-    t = F.regexp_replace(t, EMAIL_RUN, EMAIL_MASK)
+    t = F.regexp_replace(t, URL_RUN_JAVA, URL_MASK)
+    t = F.regexp_replace(t, EMAIL_RUN_LINEAR, EMAIL_MASK)
     return collapse_ws(t)
 
 

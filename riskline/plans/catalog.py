@@ -202,7 +202,7 @@ def _with_injected_blanks(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     d = table(spark, sf, "documents").select("doc_id", "text").join(lab, "doc_id", "left")
     i = F.pmod("doc_id", F.lit(10))
-    txt = (F.when(i == 0, F.regexp_replace("text", T.NON_WS, ""))
+    txt = (F.when(i == 0, F.regexp_replace("text", T.NON_WS_JAVA, ""))
             .when(i == 1, F.lit(None).cast("string")).otherwise(F.col("text")))
     return d.withColumn("text", txt)
 

@@ -97,3 +97,20 @@ def test_preview_placeholder_and_formats(spark):
 def test_capture_name(spark):
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-02 03:04:05.9' AS ts")
     assert df.select(T.capture_name("ts")).first()[0] == "capture_20240102_030405.png"
+
+
+def test_email_mask_edge_runs_match_python(spark):
+    cases = ["@@x", "a@", "@a", "a@@", "@", "x@y@z", "a@b c@", "u@www.x", "ab@ cd", "a @b c@d e",
+             "@@", "a@@b", "　q@r s@", "x" * 5000 + "@", "y" * 5000 + "@z", "@" + "w" * 3000]
+    rows = _one_col(spark, cases).select("t", T.clean_mask("t").alias("m")).collect()
+    for r in rows:
+        assert r.m == py_clean_mask(r.t), repr(r.t[:40])
+
+
+def test_java_whitespace_class_equals_python_set(spark):
+    """WS_JAVA (Unicode White_Space + \\x1c-\\x1f) removes exactly Python's str whitespace, on every BMP code point."""
+    chars = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c <= 0xDFFF)
+    df = spark.createDataFrame([(chars,)], "s string")
+    r = df.select(F.regexp_replace("s", T.WS_JAVA, "").alias("java"), F.regexp_replace("s", T.WS, "").alias("explicit")).first()
+    python_kept = "".join(ch for ch in chars if not ch.isspace())
+    assert r.java == r.explicit == python_kept
