@@ -36,7 +36,7 @@ def _r(col, name):
 # Text (E*)
 
 def q_clean_basic(spark, sf):
-    d = table(spark, sf, "documents")
+    d = Fe.spread(table(spark, sf, "documents").select("doc_id", "text"))
     return d.select("doc_id", T.clean_basic("text").alias("clean_text"))
 
 
@@ -45,7 +45,7 @@ def q_clean_mask(spark, sf):
                                              F.col("doc_id").alias("id"), "text")
     p = table(spark, sf, "pages").select(F.lit("page_url").alias("kind"),
                                          F.col("page_id").alias("id"), F.col("url").alias("text"))
-    u = d.unionByName(p)
+    u = Fe.spread(d.unionByName(p))
     return u.select("kind", "id", T.clean_mask("text").alias("masked"))
 
 
