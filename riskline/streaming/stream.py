@@ -22,6 +22,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -114,19 +115,21 @@ def monitor(stream_df: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_
             failed = batch.where(F.col("status") != STATUS_OK).withColumn("scan_status", F.lit(SCAN_ERROR))
             _write_batch(failed, dead, batch_id)
             batch = batch.where(F.col("status") == STATUS_OK)
-        scored = scorer(batch).withColumn("scan_status", F.lit(SCAN_COMPLETE))
-        path = f"{out_dir}/_scored_tmp/batch_id={batch_id}"
-        # Materialise once; the three outputs below read the written files.
-        scored.write.mode("overwrite").parquet(path)
-        scored = spark.read.parquet(path)
-        _write_batch(scored, scores, batch_id)
-        _write_batch(scored.where(R.is_alert("risk_band")), alerts, batch_id)
-        cols = state_cols or [c for c in scored.columns if c not in (key, order)]
-        latest = latest_per_key(scored, key, order, cols)
-        prev = _latest_version(spark, state, batch_id)
-        if prev is not None:
-            latest = latest_per_key(spark.read.parquet(prev).unionByName(latest), key, order, cols)
-        latest.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        # Scored once, used by the three outputs; a lost block is recomputed
+        # from the micro-batch's own input (scoring is deterministic).
+        scored = scorer(batch).withColumn("scan_status", F.lit(SCAN_COMPLETE)) \
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            _write_batch(scored, scores, batch_id)
+            _write_batch(scored.where(R.is_alert("risk_band")), alerts, batch_id)
+            cols = state_cols or [c for c in scored.columns if c not in (key, order)]
+            latest = latest_per_key(scored, key, order, cols)
+            prev = _latest_version(spark, state, batch_id)
+            if prev is not None:
+                latest = latest_per_key(spark.read.parquet(prev).unionByName(latest), key, order, cols)
+            latest.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+        finally:
+            scored.unpersist()
 
     w = stream_df.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
