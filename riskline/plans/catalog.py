@@ -482,6 +482,16 @@ def q_stream_frame_sample(spark, sf):
     return spark.read.parquet(out).select("user_id", "event_id", "frame_no")
 
 
+def q_stream_capture_names(spark, sf):
+    from riskline.session import scratch_path
+    from riskline.streaming import stream as St
+    src = St.file_stream(spark, sf, "events.parquet").select("event_id", "ts")
+    out, ck = scratch_path(spark, "captures"), scratch_path(spark, "captures-ckpt")
+    par = spark.sparkContext.defaultParallelism
+    St.capture_stream(src, "ts", "event_id", out, ck, state_partitions=par).awaitTermination()
+    return St.read_captures(spark, out, "event_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_basic": q_clean_basic,
     "clean_mask": q_clean_mask,
@@ -523,6 +533,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_alerts": q_stream_alerts,
     "stream_latest_state": q_stream_latest_state,
     "stream_frame_sample": q_stream_frame_sample,
+    "stream_capture_names": q_stream_capture_names,
     "lr_tfidf_fit": q_lr_tfidf_fit,
     "lr_tfidf_eval": q_lr_tfidf_eval,
     "lr_classify": q_lr_classify,

@@ -401,6 +401,7 @@ SELECT conv_id, turn, round(risk_score, 6) AS risk_score, {band_sql('risk_score'
 SQL["stream_alerts"] = SQL["alerts"]
 SQL["stream_latest_state"] = SQL["latest_state"]
 SQL["stream_frame_sample"] = SQL["frame_sample"]
+SQL["stream_capture_names"] = SQL["capture_names"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -184,23 +184,67 @@ def sample_frames(stream_df: DataFrame, every: int = SAMPLE_EVERY, frame_col: st
 
 
 @contextmanager
-def _shuffle_partitions(spark: SparkSession, n: int | None):
-    """Start a query with ``n`` shuffle (= state store) partitions.
+def _start_conf(spark: SparkSession, settings: dict):
+    """Start a query under extra session settings.
 
-    A streaming query clones the session when it starts and keeps the number
-    of state partitions in its checkpoint, so the caller's setting is restored
-    right after ``start()`` without affecting the running query.
+    A streaming query clones the session when it starts (and keeps the number
+    of state partitions in its checkpoint), so the caller's settings are
+    restored right after ``start()`` without affecting the running query.
     """
-    if not n:
-        yield
-        return
-    key = "spark.sql.shuffle.partitions"
-    prev = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    prev = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, str(v))
     try:
         yield
     finally:
-        spark.conf.set(key, prev)
+        for k, v in prev.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def _shuffle_partitions(spark: SparkSession, n: int | None):
+    """Start a query with ``n`` shuffle (= state store) partitions."""
+    return _start_conf(spark, {"spark.sql.shuffle.partitions": n} if n else {})
+
+
+def capture_stream(stream_df: DataFrame, ts_col: str, id_col: str, out_dir: str, checkpoint: str,
+                   delay: str = "1 minute", trigger: str | None = "availableNow",
+                   state_partitions: int | None = None) -> StreamingQuery:
+    """A9 on a stream: one capture name per second of event time, last write wins.
+
+    Event-time tumbling windows of one second with a watermark: state is kept
+    only for seconds newer than ``delay`` behind the latest event, rows later
+    than that are dropped. Update mode emits the seconds that changed in each
+    micro-batch; they are written per batch id (replay-safe) and
+    ``read_captures`` keeps the newest version of each name. The query runs in
+    UTC so a zone-less timestamp maps to event time without DST shifts.
+    """
+    ev = stream_df.select(F.col(ts_col).cast("timestamp").alias("_et"), id_col)
+    agg = (ev.withWatermark("_et", delay)
+             .groupBy(F.window("_et", "1 second").alias("_w"))
+             .agg(F.max_by(id_col, "_et").alias(id_col), F.count(F.lit(1)).alias("n_writes")))
+    named = agg.select(F.concat(F.lit("capture_"), F.date_format("_w.start", "yyyyMMdd_HHmmss"),
+                                F.lit(".png")).alias("capture_name"), id_col, "n_writes")
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, out_dir, batch_id)
+
+    w = (named.writeStream.outputMode("update").foreachBatch(per_batch)
+               .option("checkpointLocation", checkpoint))
+    settings = {"spark.sql.session.timeZone": "UTC"}
+    if state_partitions:
+        settings["spark.sql.shuffle.partitions"] = state_partitions
+    with _start_conf(stream_df.sparkSession, settings):
+        return _trigger(w, trigger).start()
+
+
+def read_captures(spark: SparkSession, out_dir: str, id_col: str) -> DataFrame:
+    """Newest emitted version of each capture name (highest batch id)."""
+    d = spark.read.parquet(out_dir)
+    last = d.groupBy("capture_name").agg(F.max_by(F.struct(id_col, "n_writes"), "batch_id").alias("_s"))
+    return last.select("capture_name", f"_s.{id_col}", "_s.n_writes")
 
 
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, trigger: str | None = "availableNow",

@@ -106,3 +106,28 @@ def test_processing_time_trigger_start_and_stop(spark, tmp_dir):
     state = {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out).collect()}
     assert state == {1: (2, "MEDIUM")}
     assert spark.read.parquet(f"{out}/scores").count() == 2
+
+
+def test_capture_stream_watermark_and_last_write(spark, tmp_dir):
+    import datetime as dt
+    src_dir = os.path.join(tmp_dir, "caps")
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    batches = [
+        [(1, t0 + dt.timedelta(milliseconds=100)), (2, t0 + dt.timedelta(milliseconds=500)),
+         (3, t0 + dt.timedelta(minutes=5))],
+        # id 4 is behind the watermark, but its second's state still exists: it counts (as in batch)
+        [(4, t0 + dt.timedelta(milliseconds=900)), (5, t0 + dt.timedelta(minutes=5, milliseconds=700))],
+        # that state was evicted at the end of the previous batch: id 6 arrives too late and is dropped
+        [(6, t0 + dt.timedelta(milliseconds=950))],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1) \
+            .write.mode("overwrite").parquet(os.path.join(src_dir, f"part{i}"))
+    src = (spark.readStream.schema("event_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1)
+           .option("recursiveFileLookup", "true").parquet(src_dir))
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    out = os.path.join(tmp_dir, "out")
+    St.capture_stream(src, "ts", "event_id", out, os.path.join(tmp_dir, "ck"), delay="1 minute").awaitTermination()
+    assert spark.conf.get("spark.sql.session.timeZone") == tz
+    got = {r.capture_name: (r.event_id, r.n_writes) for r in St.read_captures(spark, out, "event_id").collect()}
+    assert got == {"capture_20240101_000000.png": (4, 3), "capture_20240101_000500.png": (5, 2)}
