@@ -51,8 +51,9 @@ def split(df: DataFrame, id_col: str, label_col: str | None = None, frac: float
           seed: int = SEED, split_col: str = "split") -> DataFrame:
     """Add ``split_col`` in {'train','test'}; stratified when ``label_col`` is given.
 
-    ``id_col`` must be a stable bigint row id (doc_id, or a hash of the row
-    content); ``monotonically_increasing_id`` is not stable and must not be used.
+    ``id_col`` must be a stable, unique bigint row id (doc_id, or a hash of the
+    row content); ``monotonically_increasing_id`` is not stable and must not be
+    used. Uniqueness makes (h, id) a total order, so the boundary row is exact.
     """
     stratum = label_col or "_stratum"
     base = df.withColumn("_h", hash_key(id_col, seed))
