@@ -60,7 +60,7 @@ def _digits(h: Column, tie: Column) -> list[Column]:
 
 
 def smallest_k_threshold(df: DataFrame, stratum: str, h: str, tie: str,
-                         need: dict) -> dict:
+                         need: dict, totals: dict | None = None) -> dict:
     """Per stratum value s, a digit path P_s such that exactly ``need[s]`` rows
     have digits lexicographically <= P_s (compare only the first len(P_s) digits).
 
@@ -70,7 +70,8 @@ def smallest_k_threshold(df: DataFrame, stratum: str, h: str, tie: str,
     digits = _digits(hcol, tcol)
     result: dict = {}
     state = {}  # s -> (prefix list, remaining need)
-    totals = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
+    if totals is None:
+        totals = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
     for s, k in need.items():
         tot = totals.get(s, 0)
         if k <= 0:

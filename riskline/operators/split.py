@@ -62,7 +62,8 @@ def split(df: DataFrame, id_col: str, label_col: str | None = None, frac: float
     counts = {r[0]: r[1] for r in base.groupBy(stratum).count().collect()}
     k = test_size(sum(counts.values()), frac)
     need = allocate(counts, k) if label_col else {0: k}
-    paths = smallest_k_threshold(base, stratum, "_h", id_col, need)
+    totals = counts if label_col else {0: sum(counts.values())}
+    paths = smallest_k_threshold(base, stratum, "_h", id_col, need, totals)
     out = base.withColumn(split_col, F.when(below_threshold(stratum, "_h", id_col, paths), F.lit(TEST))
                           .otherwise(F.lit(TRAIN)))
     return out.drop("_h", "_stratum")
