@@ -1,8 +1,9 @@
 """Local correctness check: a registered Spark query against its DuckDB SQL.
 
 Compares row count, column names (sorted) and an order-insensitive hash of
-the values (doubles rounded to 6 places), the same three things the
-correctness gate records.
+the values, the same three things the correctness gate records. Values are
+hashed exactly as returned (no re-rounding): the queries round their doubles
+themselves, identically in both engines.
 
     python -m riskline.plans.oracle_check /root/testdata/sf0.01 [name ...]
 """
@@ -23,9 +24,7 @@ def _norm(v):
     if v is None:
         return "∅"
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return repr(round(v, 6) + 0.0)
+        return "nan" if math.isnan(v) else repr(v)
     if hasattr(v, "isoformat"):
         return v.isoformat(sep=" ") if hasattr(v, "hour") else v.isoformat()
     return str(v)
