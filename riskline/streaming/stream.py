@@ -91,6 +91,21 @@ def _latest_version(spark: SparkSession, path: str, before: int) -> str | None:
     return None if best is None else f"{path}/v={best}"
 
 
+def _drop_versions_before(spark: SparkSession, path: str, keep: str | None) -> None:
+    """Retention: delete state snapshots older than ``keep`` (the one the newest
+    snapshot was built from stays, so a replayed batch can rebuild it)."""
+    if keep is None:
+        return
+    keep_v = int(keep.rsplit("v=", 1)[1])
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for st in fs.listStatus(p):
+        n = st.getPath().getName()
+        if st.isDirectory() and n.startswith("v=") and int(n[2:]) < keep_v:
+            fs.delete(st.getPath(), True)
+
+
 def latest_per_key(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
     """Per key, the row with the greatest ``order`` (map-side partial max_by)."""
     agg = df.groupBy(key).agg(F.max_by(F.struct(order, *cols), order).alias("_s"))
@@ -128,6 +143,7 @@ def monitor(stream_df: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_
             if prev is not None:
                 latest = latest_per_key(spark.read.parquet(prev).unionByName(latest), key, order, cols)
             latest.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+            _drop_versions_before(spark, state, prev)
         finally:
             scored.unpersist()
 

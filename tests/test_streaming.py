@@ -99,13 +99,18 @@ def test_processing_time_trigger_start_and_stop(spark, tmp_dir):
         q.processAllAvailable()
         spark.createDataFrame([(1, 2, "all calm")], schema).write.mode("append").parquet(src_dir)
         q.processAllAvailable()
+        spark.createDataFrame([(2, 1, "urgent")], schema).write.mode("append").parquet(src_dir)
+        q.processAllAvailable()
         assert q.isActive
     finally:
         q.stop()
     assert not q.isActive
     state = {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out).collect()}
-    assert state == {1: (2, "MEDIUM")}
-    assert spark.read.parquet(f"{out}/scores").count() == 2
+    assert state == {1: (2, "MEDIUM"), 2: (1, "HIGH")}
+    assert spark.read.parquet(f"{out}/scores").count() == 3
+    # retention: only the newest snapshot and the one it was built from remain
+    versions = sorted(int(n[2:]) for n in os.listdir(f"{out}/state") if n.startswith("v="))
+    assert len(versions) == 2 and versions[1] == versions[0] + 1
 
 
 def test_capture_stream_watermark_and_last_write(spark, tmp_dir):
