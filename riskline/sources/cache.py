@@ -44,7 +44,10 @@ def cached_features(df: DataFrame, id_col: str, key_col: str, cache_path: str,
     spark = df.sparkSession
     keys = [id_col, key_col]
     if _exists(spark, cache_path):
-        cache = spark.read.parquet(cache_path).select(*keys, vec_col)
+        # Two runs may have encoded the same missing row; one vector per key.
+        # The join hash-partitions the cache on the keys anyway, so the
+        # de-duplication rides on the same exchange.
+        cache = spark.read.parquet(cache_path).select(*keys, vec_col).dropDuplicates(keys)
         hits = df.select(*keys).join(cache, keys, "inner").withColumn("from_cache", F.lit(True))
         missing = df.join(cache.select(*keys), keys, "left_anti")
     else:
