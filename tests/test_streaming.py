@@ -136,3 +136,19 @@ def test_capture_stream_watermark_and_last_write(spark, tmp_dir):
     assert spark.conf.get("spark.sql.session.timeZone") == tz
     got = {r.capture_name: (r.event_id, r.n_writes) for r in St.read_captures(spark, out, "event_id").collect()}
     assert got == {"capture_20240101_000000.png": (4, 3), "capture_20240101_000500.png": (5, 2)}
+
+
+def test_monitor_with_trained_pipeline(spark, tmp_dir):
+    from riskline.operators import model as Mo
+    rows = [(i, "good fine lovely day", 0) for i in range(20)] + [(100 + i, "urgent verify password now", 1) for i in range(20)]
+    model = Mo.train(spark.createDataFrame(rows, "doc_id long, text string, label int"), "doc_id", fit_on="all").model
+    src_dir = os.path.join(tmp_dir, "scans")
+    spark.createDataFrame([(1, 1, "urgent verify your password"), (1, 2, "lovely day"), (2, 1, "   ")],
+                          "stream_id long, seq long, text string").write.parquet(src_dir)
+    out = os.path.join(tmp_dir, "mon")
+    St.monitor(St.file_stream(spark, src_dir), lambda b: Mo.classify(b, model, "text"), out,
+               os.path.join(tmp_dir, "ck"), key="stream_id", order="seq", trigger="availableNow").awaitTermination()
+    alerts = [(r.stream_id, r.seq) for r in spark.read.parquet(f"{out}/alerts").collect()]
+    assert alerts == [(1, 1)]
+    state = {r.stream_id: (r.seq, r.risk_band, r.risk_score) for r in St.read_state(spark, out).collect()}
+    assert state[1][:2] == (2, "LOW") and state[2] == (1, "LOW", 0.0)
