@@ -4,14 +4,16 @@ Every byte covered by a ``length``-byte string that also starts earlier (smaller
 id, or same document and earlier) is removed. The corpus is cut for Spark by
 content: each window of ``length`` bytes belongs to its smallest hashed k-gram, so
 equal windows always meet in one bucket. Runs of windows with one such k-gram form
-a piece; pieces whose k-gram occurs once anywhere are dropped at once. Inside a
+a piece; pieces whose k-gram occurs once anywhere are dropped at once, and where
+all pieces of a bucket have one 64-bit hash all but the first go. Of the other
+buckets the bytes are fetched. Inside a
 task the distinct pieces of its buckets are joined to one text, its suffixes are
 sorted, and breadth-first backward extension on the Burrows-Wheeler transform
 finds the common prefixes of neighbouring suffixes by increasing value, stopping
 at ``length``: neighbours without a value share a window.
 
-Equal pieces are combined within a task before they are shuffled. A bucket of
-more than ``bucket`` pieces is not expanded in one task: its windows are hashed
+Equal pieces are combined within a task before their bytes are shuffled. A bucket
+of more than ``crowd`` distinct pieces is not expanded in one task: its windows are hashed
 one by one and grouped over the cluster instead.
 
 Defined results: null or empty text, and text shorter than ``length`` bytes, loses
@@ -29,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskline.llm.common import documents, mix64
+from riskline.llm.common import documents, materialize, mix64
 
 GRAM = 24
 PLACE = 20  # low bits of a k-gram's key that hold its place
+BASE = np.uint64(0x9E3779B97F4A7C15)
+BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BYTE_HASH = mix64(np.arange(1, 257, dtype=np.uint64))
 JOINED = 1 << 20  # bytes of text that are hashed at a time
 
 
@@ -65,17 +70,16 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces_of(texts: list[bytes], length: int):
-    """(text number, bucket, start, windows) of the runs of windows with one smallest k-gram."""
+    """(text number, bucket, start, windows, hash) of the runs of windows with one smallest k-gram."""
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     low = sliding_min(gram_keys(data), length - GRAM + 1)
     ends = np.cumsum(sizes)
     begin = ends - sizes
-    at = np.arange(len(low))
-    owner = np.searchsorted(ends, at, side="right")
-    inside = at + length <= ends[owner]
+    owner = np.repeat(np.arange(len(texts)), sizes)[:len(low)]
+    inside = np.arange(length, length + len(low)) <= ends[owner]
     new = np.ones(len(low), bool)
     new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new & inside)
@@ -83,7 +87,12 @@ def pieces_of(texts: list[bytes], length: int):
     stop = np.flatnonzero(np.append(new | ~inside, True))
     runs = stop[np.searchsorted(stop, first, side="right")] - first
     text = owner[first]
-    return text, (low[first] >> np.uint64(PLACE)).astype(np.int64), first - begin[text], runs
+    # hash of the bytes of each piece: a difference of sums of bytes times powers, moved to one base
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), BASE)]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[data] * power[:-1])])
+    back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(data), BASE_INVERSE)]))
+    hashed = mix64((total[first + runs + length - 1] - total[first]) * back[first] + runs.astype(np.uint64))
+    return text, (low[first] >> np.uint64(PLACE)).astype(np.int64), first - begin[text], runs, hashed.view(np.int64)
 
 
 def _chunks(texts: list[bytes]):
@@ -206,27 +215,36 @@ def _spans(rows, starts, stops) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (rows, starts, stops)], ["row", "start", "stop"])
 
 
-def pieces(rows: DataFrame, length: int) -> DataFrame:
-    """bucket, row, start, windows of every piece of every text."""
+def pieces(rows: DataFrame, length: int, id_type: str) -> DataFrame:
+    """bucket, hash, doc_id, row, start, windows of every piece of every text."""
     def run(batches):
         for b in batches:
-            ids = b.column("row").to_numpy()
+            ids, docs = b.column("row"), b.column("doc_id")
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             for first, part in _chunks(texts):
-                text, bucket, start, n = pieces_of(part, length)
+                text, bucket, start, n, hashed = pieces_of(part, length)
+                at = pa.array(first + text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket), pa.array(ids[first + text]), pa.array(start.astype(np.int64)),
-                     pa.array(n.astype(np.int32))], ["bucket", "row", "start", "windows"])
+                    [pa.array(bucket), pa.array(hashed), docs.take(at), ids.take(at), pa.array(start.astype(np.int64)),
+                     pa.array(n.astype(np.int32))], ["bucket", "hash", "doc_id", "row", "start", "windows"])
 
-    return rows.select("row", "text").mapInArrow(run, "bucket long, row long, start long, windows int")
+    return rows.select("doc_id", "row", "text").mapInArrow(
+        run, f"bucket long, hash long, doc_id {id_type}, row long, start long, windows int")
 
 
-BODIES = "bucket long, body binary, doc_id {id}, row long, start long"
+def repeated_pieces(rows: DataFrame, length: int, id_type: str) -> DataFrame:
+    """Pieces of buckets with two or more: ``same`` where all have one hash, and then without the first."""
+    by = Window.partitionBy("bucket")
+    at = F.struct("doc_id", "row", "start")
+    return (pieces(rows, length, id_type).repartition("bucket").withColumn("lo", F.min("hash").over(by))
+            .withColumn("hi", F.max("hash").over(by)).withColumn("first", F.min(at).over(by))
+            .withColumn("last", F.max(at).over(by)).where("first <> last")
+            .withColumn("same", F.col("lo") == F.col("hi")).where(~F.col("same") | (at > F.col("first")))
+            .select("bucket", "row", "start", "windows", "same"))
 
 
-def cut_bodies(joined: DataFrame, length: int, id_type: str) -> DataFrame:
-    """The bytes of the repeated pieces. Of equal pieces in a task the earliest goes on; the others come
-    back at once as removed spans (body null, bucket = number of windows)."""
+def cut_bodies(joined: DataFrame, id_type: str, length: int) -> DataFrame:
+    """The bytes of pieces. Of equal pieces in a batch only the earliest keeps its bytes."""
     def run(batches):
         for b in batches:
             first: dict[tuple, tuple] = {}
@@ -236,96 +254,105 @@ def cut_bodies(joined: DataFrame, length: int, id_type: str) -> DataFrame:
                 data = t.encode("utf-8", "surrogatepass")
                 for f in found:
                     key = (f["bucket"], data[f["start"]:f["start"] + f["windows"] + length - 1])
-                    mine = ((i is not None, i if i is not None else 0, r, f["start"]), i, r, f["start"], f["windows"])
+                    mine = ((i is not None, i if i is not None else 0, r, f["start"]), i, r, f["start"])
                     held = first.get(key)
-                    if held is None:
-                        first[key] = mine
-                    elif mine[0] < held[0]:
+                    if held is None or mine[0] < held[0]:
                         first[key] = mine
-                        late.append(held)
-                    elif mine[0] > held[0]:
-                        late.append(mine)
-            out = [(k[0], k[1], *v[1:4]) for k, v in first.items()] + [(v[4], None, *v[1:4]) for v in late]
-            cols = list(zip(*out)) or [[]] * 5
+                        mine = held
+                    if mine is not None and mine[0] != first[key][0]:
+                        late.append((key[0], None, *mine[1:], len(key[1])))
+            out = [(*k, *v[1:], len(k[1])) for k, v in first.items()] + late
+            cols = list(zip(*out)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], b.column("doc_id").type),
-                 pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["bucket", "body", "doc_id", "row", "start"])
+                 *[pa.array(c, pa.int64()) for c in cols[3:]]], ["bucket", "body", "doc_id", "row", "start", "size"])
 
-    return joined.mapInArrow(run, BODIES.format(id=id_type))
+    return joined.mapInArrow(run, f"bucket long, body binary, doc_id {id_type}, row long, start long, size long")
 
 
-def expand(sorted_bodies: DataFrame, length: int, batch: int = 1 << 22) -> DataFrame:
-    """Removed spans of pieces sorted by bucket, body and place: streamed, with whole buckets in memory."""
+def expand(bodies: DataFrame, length: int, id_type: str, crowd: int, batch: int = 1 << 20) -> DataFrame:
+    """Removed spans (row, start, stop) of pieces sorted by bucket, body and place; whole buckets are in memory.
+
+    The windows of a bucket of more than ``crowd`` distinct pieces come back one by one,
+    with their hash in ``window``.
+    """
     def run(batches):
-        bodies, where, size = [], [], 0      # of whole buckets waiting for an expansion
-        bucket, fresh, last = None, [], None  # of the bucket being read: (body, doc_id, row, start)
+        kept, where, size = [], [], 0              # of whole buckets waiting for an expansion
+        bucket, fresh, last, many = None, [], None, False  # of the bucket being read
 
-        def work():
+        def rows(spans, kind, windows=None):
+            docs, r, s, z = list(zip(*spans)) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(docs, kind), pa.array(r, pa.int64()), pa.array(s, pa.int64()), pa.array(z, pa.int64()),
+                 pa.array(windows if windows is not None else [None] * len(r), pa.binary())],
+                ["doc_id", "row", "start", "stop", "window"])
+
+        def work(kind):
             docs = sorted({(i is not None, i if i is not None else 0, r) for i, r, _ in where})
             rank = {d: k for k, d in enumerate(docs)}
             places = np.array([(rank[i is not None, i if i is not None else 0, r] << 40) + s for i, r, s in where])
-            out = []
-            for flags, (_, r, s) in zip(repeated_windows(bodies, places, length), where):
-                out += [(r, s + a, s + z + length - 1) for a, z in runs_of(flags).tolist()]
-            return _spans(*(list(zip(*out)) or [[], [], []]))
+            return rows([(i, r, s + a, s + z + length - 1)
+                         for flags, (i, r, s) in zip(repeated_windows(kept, places, length), where)
+                         for a, z in runs_of(flags).tolist()], kind)
+
+        def singly(some, kind):
+            spans = [(i, r, s + k, s + k + length) for body, i, r, s in some for k in range(len(body) - length + 1)]
+            return rows(spans, kind, [hashlib.blake2b(body[k:k + length], digest_size=16).digest()
+                                      for body, _, _, _ in some for k in range(len(body) - length + 1)])
 
         for b in batches:
-            late = []
-            for k, body, i, r, s in zip(*(b.column(c).to_pylist() for c in ("bucket", "body", "doc_id", "row", "start"))):
+            late, kind = [], b.column("doc_id").type
+            for k, body, i, r, s, n in zip(*(b.column(c).to_pylist() for c in ("bucket", "body", "doc_id", "row", "start", "size"))):
+                if body is None:
+                    late.append((i, r, s, s + n))
+                    continue
                 if k != bucket:
-                    if len(fresh) > 1:
-                        bodies += [f[0] for f in fresh]
+                    if len(fresh) > 1 and not many:
+                        kept += [f[0] for f in fresh]
                         where += [f[1:] for f in fresh]
                         size += sum(len(f[0]) for f in fresh)
                         if size >= batch:
-                            yield work()
-                            bodies, where, size = [], [], 0
-                    bucket, fresh, last = k, [], None
+                            yield work(kind)
+                            kept, where, size = [], [], 0
+                    elif fresh and many:
+                        yield singly(fresh, kind)
+                    bucket, fresh, last, many = k, [], None, False
                 if body == last:  # sorted: an earlier copy of the piece has been seen
-                    if (i, r, s) != fresh[-1][1:]:
-                        late.append((r, s, s + len(body)))
+                    late.append((i, r, s, s + n))
                 else:
                     fresh.append((body, i, r, s))
                     last = body
-            if late:
-                yield _spans(*zip(*late))
-        if len(fresh) > 1:
-            bodies += [f[0] for f in fresh]
+                    if len(fresh) > crowd:
+                        yield singly(fresh, kind)
+                        fresh, many = [], True
+            yield rows(late, kind)
+        if many and fresh:
+            yield singly(fresh, kind)
+        elif len(fresh) > 1:
+            kept += [f[0] for f in fresh]
             where += [f[1:] for f in fresh]
-        if bodies:
-            yield work()
+        if kept:
+            yield work(kind)
 
-    return sorted_bodies.select("bucket", "body", "doc_id", "row", "start").mapInArrow(run, SPANS)
+    return bodies.mapInArrow(run, f"doc_id {id_type}, row long, start long, stop long, window binary")
 
 
-def window_spans(crowded: DataFrame, length: int, id_type: str) -> DataFrame:
-    """Removed spans of crowded buckets: windows hashed one by one and grouped over the cluster."""
-    def run(batches):
-        for b in batches:
-            for body, i, r, s in zip(*(b.column(c).to_pylist() for c in ("body", "doc_id", "row", "start"))):
-                n = len(body) - length + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([hashlib.blake2b(body[k:k + length], digest_size=16).digest() for k in range(n)], pa.binary()),
-                     pa.array([i] * n, b.column("doc_id").type), pa.array([r] * n, pa.int64()), pa.array(range(s, s + n), pa.int64())],
-                    ["window", "doc_id", "row", "start"])
-
-    w = crowded.mapInArrow(run, f"window binary, doc_id {id_type}, row long, start long")
-    first = w.groupBy("window").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"))
-    at = F.struct("doc_id", "row", "start")
-    return w.join(first, "window").where(at > F.col("first")).select("row", "start", (F.col("start") + length).alias("stop"))
-
-
-def removed_spans(rows: DataFrame, length: int, bucket: int) -> DataFrame:
+def removed_spans(rows: DataFrame, length: int, crowd: int) -> DataFrame:
     """row, start, stop of repeated strings (overlapping spans are possible)."""
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    by = Window.partitionBy("bucket")
-    repeated = (pieces(rows, length).repartition("bucket").withColumn("n", F.count(F.lit(1)).over(by)).where("n > 1")
-                .groupBy("row").agg(F.collect_set(F.struct("bucket", "start", "windows")).alias("found")))
-    cut = cut_bodies(rows.join(repeated, "row").select("doc_id", "row", "text", "found"), length, id_type)
-    told = cut.where("body is null").select("row", "start", (F.col("start") + F.col("bucket") + (length - 1)).alias("stop"))
-    dealt = cut.where("body is not null").repartition("bucket").withColumn("n", F.count(F.lit(1)).over(by))
-    spans = expand(dealt.where(F.col("n") <= bucket).sortWithinPartitions("bucket", "body", "doc_id", "row", "start"), length)
-    return told.unionByName(spans).unionByName(window_spans(dealt.where(F.col("n") > bucket), length, id_type))
+    repeated = materialize(repeated_pieces(rows, length, id_type), "repeated-pieces")
+    told = repeated.where("same").select("row", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
+    found = repeated.where("not same").groupBy("row").agg(F.collect_set(F.struct("bucket", "start", "windows")).alias("found"))
+    cut = cut_bodies(rows.join(found, "row").select("doc_id", "row", "text", "found"), id_type, length)
+    dealt = cut.repartition("bucket").sortWithinPartitions("bucket", "body", "doc_id", "row", "start")
+    out = materialize(expand(dealt, length, id_type, crowd), "removed-spans")
+    # windows of crowded buckets are grouped over the cluster
+    windows = out.where("window is not null")
+    at = F.struct("doc_id", "row", "start")
+    first = windows.groupBy("window").agg(F.min(at).alias("first"))
+    crowded = windows.join(first, "window").where(at > F.col("first"))
+    return (told.unionByName(out.where("window is null").select("row", "start", "stop"))
+            .unionByName(crowded.select("row", "start", "stop")))
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -338,11 +365,11 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup_bytes(docs: DataFrame, length: int = 100, bucket: int = 50_000) -> DataFrame:
+def dedup_bytes(docs: DataFrame, length: int = 100, crowd: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs), kept (remaining bytes) for every row of ``docs``."""
     d = documents(docs)
     rows = d.withColumn("row", F.xxhash64("doc_id", "text"))
-    found = removed_spans(rows, length, bucket).groupBy("row").agg(
+    found = removed_spans(rows, length, crowd).groupBy("row").agg(
         F.collect_set(F.struct("start", "stop")).alias("found"))
     id_type = d.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
