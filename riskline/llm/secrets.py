@@ -112,8 +112,8 @@ def _named(spans):
 def secret_digest(scanned: DataFrame) -> DataFrame:
     """The contract's columns from ``scan_secrets``."""
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}")
-             for k, n in enumerate(KINDS[:3])]
+    of_kind = lambda k: F.filter("spans", lambda s: s["kind"] == k)
+    count = [F.size(of_kind(k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS[:3])]
     return scanned.select("doc_id", *count, F.sha2(_named(base).cast("binary"), 256).alias("base_sha256"),
                           _named(F.col("spans")).alias("spans"),
                           F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"))
