@@ -26,23 +26,6 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a thin input over the cluster before CPU-heavy text work.
-
-    Only when the scan yields fewer partitions than the cluster has cores (a
-    single small file); a large input already arrives in many splits and is
-    left untouched, so no shuffle is added at scale.
-    """
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as is
-        return df
-    if parts < par:
-        return df.repartition(par)
-    return df
-
-
 def with_term_pairs(df: DataFrame, text_col: str, keep, out: str = "pairs") -> DataFrame:
     """Add ``array<struct<term string, tf bigint>>``: the distinct tokens of each text and their counts.
 
@@ -74,7 +57,7 @@ def term_counts(df: DataFrame, id_col: str, text_col: str = "text", keep=()) ->
     # explode_outer + null filter: a plain explode makes the optimizer infer
     # ``size(pairs) > 0`` and push it into the scan, where it would re-evaluate
     # the sort inside every lambda call.
-    return (with_term_pairs(spread(df), text_col, cols)
+    return (with_term_pairs(df, text_col, cols)
             .select(*cols, F.explode_outer("pairs").alias("p"))
             .where(F.col("p").isNotNull())
             .select(*cols, "p.term", "p.tf"))
@@ -137,20 +120,20 @@ def score_linear(df: DataFrame, id_col: str, text_col: str, model: DataFrame, bi
     """K5/K6: sigma(b + sum_t w_t * tfidf_t) for every row of ``df``; blank text -> 0.0
     (D8) unless ``blank_guard`` is off (the struct form K7 scores blanks as sigma(b)).
 
-    ``model`` holds (term, idf, coef). Every input row is kept (explode_outer +
-    left broadcast join), and the per-row sums combine map-side: a text's rows
+    ``model`` holds (term, idf, coef). Every input row is kept and scored by itself,
+    whatever its id (explode_outer + left join), and the per-row sums combine map-side: a text's rows
     never leave its partition before the partial aggregate, so the only shuffle
     carries one row per text.
     """
     m = _vocab_side(model.select("term", "idf", "coef"), k_bound)
     blank = F.coalesce(is_blank(text_col), F.lit(True)) if blank_guard else F.lit(False)
-    base = spread(df).withColumn("_blank", blank)
-    exploded = (with_term_pairs(base, text_col, [id_col, *keep, "_blank"])
-                .select(id_col, *keep, "_blank", F.explode_outer("pairs").alias("p")))
-    joined = exploded.select(id_col, *keep, "_blank", F.col("p.term").alias("term"),
+    base = df.withColumn("_blank", blank).withColumn("_row", F.monotonically_increasing_id())
+    exploded = (with_term_pairs(base, text_col, ["_row", id_col, *keep, "_blank"])
+                .select("_row", id_col, *keep, "_blank", F.explode_outer("pairs").alias("p")))
+    joined = exploded.select("_row", id_col, *keep, "_blank", F.col("p.term").alias("term"),
                              F.col("p.tf").alias("tf")).join(m, "term", "left")
     w = F.col("tf") * F.col("idf")
-    agg = joined.groupBy(id_col, *keep).agg(
+    agg = joined.groupBy("_row", id_col, *keep).agg(
         F.max("_blank").alias("_blank"),
         F.sum(F.when(w.isNotNull(), w * F.col("coef"))).alias("_dot"),
         F.sum(F.when(w.isNotNull(), w * w)).alias("_sq"))

@@ -16,15 +16,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskline.session import scratch_path
+
 
 def key_rank(df: DataFrame, keys: list[str], order: list[str], rank_col: str = "rank",
              num_partitions: int | None = None) -> DataFrame:
     """Append a 1-based ``rank_col`` = position of the row within ``keys`` by ``order``.
 
-    ``order`` must be unique within a key (add a tie-breaker column if not), so
-    the numbering is deterministic and survives recomputation after a lost
-    executor: the range boundaries are fixed in the shuffle dependency and each
-    range is fully sorted before numbering.
+    ``order`` must be unique within a key (add a tie-breaker column if not). The
+    range-partitioned rows are written once, with their range and place, to the
+    shared folder; the summary and the join both read that table. A second range
+    shuffle would draw its own boundaries and number other ranges.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -32,6 +34,9 @@ def key_rank(df: DataFrame, keys: list[str], order: list[str], rank_col: str = "
                 .sortWithinPartitions(*keys, *order)
                 .withColumn("_pid", F.spark_partition_id())
                 .withColumn("_pos", F.monotonically_increasing_id()))
+    path = scratch_path(spark, "ranges")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     summary = (ranged.groupBy("_pid", *keys)
                      .agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_cnt")))
     # At most one row per range for each key: this window is bounded by n.

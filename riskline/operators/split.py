@@ -60,6 +60,8 @@ def split(df: DataFrame, id_col: str, label_col: str | None = None, frac: float
     if label_col is None:
         base = base.withColumn("_stratum", F.lit(0))
     counts = {r[0]: r[1] for r in base.groupBy(stratum).count().collect()}
+    if None in counts:
+        raise ValueError(f"rows without {label_col} cannot be stratified; drop or fill them first")
     k = test_size(sum(counts.values()), frac)
     need = allocate(counts, k) if label_col else {0: k}
     totals = counts if label_col else {0: sum(counts.values())}

@@ -36,7 +36,7 @@ def _r(col, name):
 # Text (E*)
 
 def q_clean_basic(spark, sf):
-    d = Fe.spread(table(spark, sf, "documents").select("doc_id", "text"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
     return d.select("doc_id", T.clean_basic("text").alias("clean_text"))
 
 
@@ -45,7 +45,7 @@ def q_clean_mask(spark, sf):
                                              F.col("doc_id").alias("id"), "text")
     p = table(spark, sf, "pages").select(F.lit("page_url").alias("kind"),
                                          F.col("page_id").alias("id"), F.col("url").alias("text"))
-    u = Fe.spread(d.unionByName(p))
+    u = d.unionByName(p)
     return u.select("kind", "id", T.clean_mask("text").alias("masked"))
 
 
@@ -310,7 +310,7 @@ IMAGE_EXTS = [".png", ".JPG", ".jpeg", ".txt"]
 
 
 def q_extract_page_text(spark, sf):
-    pages = Fe.spread(table(spark, sf, "pages").select("page_id", "html"))
+    pages = table(spark, sf, "pages").select("page_id", "html")
     return pages.select("page_id", Ex.page_text("html").alias("text"))
 
 
@@ -318,7 +318,7 @@ def q_scan_report(spark, sf):
     p = table(spark, sf, "pages")
     ext = F.element_at(F.array(*[F.lit(e) for e in IMAGE_EXTS]), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
     files = p.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), ext).alias("filename"), "html")
-    files = Fe.spread(files.where(Ex.is_image_name("filename")))
+    files = files.where(Ex.is_image_name("filename"))
     texts = files.select("filename", Ex.page_text("html").alias("text"))
     s = Fe.score_linear(texts, "filename", "text", doc_linear_model(spark, sf))
     return s.select("filename", T.round_score("risk_score").alias("risk_score"),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -45,10 +46,14 @@ def is_image_name(col, strict_case: bool = False) -> Column:
 def read_media(spark, folder: str, strict_case: bool = False) -> DataFrame:
     """A6 + J1: image files of a folder (top level) as (filename, content), sorted by name.
 
-    Uses the ``binaryFile`` source, so files are read by the executors; the
-    name test is a pushed-down filter on the listing columns.
+    Uses the ``binaryFile`` source, so files are read by the executors; a name
+    pattern of the listing leaves out all other files.
     """
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
+    exact = ",".join(s.lstrip(".") for s in IMAGE_SUFFIXES)
+    either = ",".join("".join(f"[{c}{c.upper()}]" for c in s.lstrip(".")) for s in IMAGE_SUFFIXES)
+    # the glob keeps other files from being listed, so their bytes are never read
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+          .option("pathGlobFilter", "*.{" + (exact if strict_case else either) + "}").load(folder)
           .select(F.element_at(F.split(F.col("path"), "/"), -1).alias("_encoded"), "path", "content"))
     # ``path`` is a percent-encoded URI: decode only the file name for display.
     name = F.expr("reflect('java.net.URLDecoder', 'decode', replace(_encoded, '+', '%2B'), 'UTF-8')")
@@ -69,9 +74,9 @@ def extract_text(df: DataFrame, extractor: Callable, input_col: str, on_unreadab
     """A7 + D5: apply a batch extractor; unreadable input -> '' / skipped / job failure.
 
     ``extractor(pandas.Series) -> pandas.Series`` returns a string, or None for
-    an unreadable input. Exceptions raised by the extractor for one batch mark
-    those rows as errors (status 'error', message kept) instead of stopping the
-    job, unless ``on_unreadable == 'fail'``. Output adds ``out``, ``status``,
+    an unreadable input. If the extractor raises for a batch, its rows are tried
+    one by one; only rows that raise again are errors (status 'error', message
+    kept), and the job goes on, unless ``on_unreadable == 'fail'``. Output adds ``out``, ``status``,
     ``error``; extracted text is stripped.
     """
     if on_unreadable not in ON_UNREADABLE:
@@ -80,21 +85,27 @@ def extract_text(df: DataFrame, extractor: Callable, input_col: str, on_unreadab
         Ty.StructField(out, Ty.StringType()), Ty.StructField("status", Ty.StringType()),
         Ty.StructField("error", Ty.StringType())])
 
+    def alone(row):
+        try:
+            text = extractor(row).iloc[0]
+            return (None, STATUS_UNREADABLE, None) if pd.isna(text) else (text, STATUS_OK, None)
+        except Exception as e:  # noqa: BLE001 - the row's own failure is its result
+            return None, STATUS_ERROR, str(e)
+
     def run(batches):
         for pdf in batches:
             try:
                 texts = extractor(pdf[input_col])
                 status = texts.isna().map({True: STATUS_UNREADABLE, False: STATUS_OK})
                 errors = [None] * len(pdf)
-            except Exception as e:  # noqa: BLE001 - failure isolation per batch
+            except Exception:  # noqa: BLE001 - failure isolation per row
                 if on_unreadable == "fail":
                     raise
-                texts = pdf[input_col].map(lambda _: None)
-                status = texts.map(lambda _: STATUS_ERROR)
-                errors = [str(e)] * len(pdf)
+                one_by_one = [alone(pdf[input_col].iloc[i:i + 1]) for i in range(len(pdf))]
+                texts, status, errors = (pd.Series(list(c), dtype=object) for c in zip(*one_by_one))
             if on_unreadable == "fail" and (status != STATUS_OK).any():
                 raise ValueError("unreadable input")
-            yield pdf.assign(**{out: texts.values, "status": status.values, "error": errors})
+            yield pdf.assign(**{out: texts.values, "status": status.values, "error": list(errors)})
 
     res = df.mapInPandas(run, schema)
     res = res.withColumn(out, strip_ws(F.coalesce(F.col(out), F.lit(""))))

@@ -67,7 +67,7 @@ def build_text(df: DataFrame, out: str = "text") -> DataFrame:
     """
     cols = find_text_columns(df.columns)
     if not cols:
-        raise ValueError(f"None of the expected text columns were found. Available columns: {df.columns}")
+        raise ValueError(f"no known text column among {df.columns}")
     joined = F.trim(F.concat_ws(" ", *(clean_basic(F.col(f"`{c}`")) for c in cols)))
     return df.withColumn(out, joined)
 
@@ -125,7 +125,7 @@ def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> D
     """
     files = list_csv_files(spark, folder, exclude)
     if not files:
-        raise FileNotFoundError("No CSV files found in the dataset folder.")
+        raise FileNotFoundError(f"{folder} holds no CSV file to read")
     by_header: dict[tuple, list[tuple[str, str]]] = {}
     for name, path in files:
         cols = header_names(spark, path)
@@ -137,7 +137,7 @@ def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> D
     parts = []
     for cols, group in by_header.items():
         if not find_text_columns(cols):
-            raise ValueError(f"None of the expected text columns were found. Available columns: {list(cols)}")
+            raise ValueError(f"no known text column among {list(cols)}")
         rules = {name: label_rule(cols, name) for name, _ in group}
         usable = [(n, p) for n, p in group if rules[n] is not None]
         if not usable:
@@ -148,6 +148,7 @@ def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> D
         jvm = spark.sparkContext._jvm
         uris = [(jvm.org.apache.hadoop.fs.Path(p).toUri().toString(), n) for n, p in usable]
         path_to_name = spark.createDataFrame(uris, "_path string, source_file string")
+        df = df.drop("source_file")  # a column of that name gives way to the file's own name
         df = (df.withColumn("_path", F.col("_metadata.file_path"))
                 .join(F.broadcast(path_to_name), "_path").drop("_path"))
         df = build_text(df)
@@ -160,7 +161,7 @@ def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> D
             label = L.label_from_source("source_file")
         parts.append(df.select("text", label.alias("label"), "source_file"))
     if not parts:
-        raise ValueError("No usable CSV files were loaded into the combined dataset.")
+        raise ValueError(f"no CSV file of {folder} has a label rule")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -45,7 +45,15 @@ SCAN_ERROR = "\u25cf  Error"
 
 def file_stream(spark: SparkSession, folder: str, name_glob: str | None = None, fmt: str = "parquet",
                 schema=None, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame over the files of ``folder`` (optionally one name pattern)."""
+    """A streaming DataFrame over the files of ``folder`` (optionally one name pattern).
+
+    A pattern that names a directory (a table of several files) streams that directory.
+    """
+    if name_glob:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name_glob}")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path) and fs.getFileStatus(path).isDirectory():
+            folder, name_glob = path.toString(), None
     reader = spark.read.format(fmt)
     static = reader.option("pathGlobFilter", name_glob).load(folder) if name_glob else reader.load(folder)
     r = spark.readStream.format(fmt).schema(schema or static.schema)

@@ -65,3 +65,14 @@ def test_media_folder_scan_report(spark, tmp_dir):
         "filename", round_score("risk_score").alias("risk_score"), R.band("risk_score").alias("risk_band"))
     got = {r.filename: (r.risk_score, r.risk_band) for r in rep.collect()}
     assert got == {"b.png": (0.953, "HIGH"), "a b.JPG": (0.5, "MEDIUM"), "c.jpeg": (0.0, "LOW")}
+
+
+def test_one_bad_row_does_not_take_its_batch(spark):
+    def extractor(s):
+        if (s == "bad").any():
+            raise ValueError("broken")
+        return s.str.upper()
+
+    df = spark.range(1000).selectExpr("id", "case when id = 500 then 'bad' else 'ok' end as raw").coalesce(1)
+    out = {r.status: r["count"] for r in Ex.extract_text(df, extractor, "raw").groupBy("status").count().collect()}
+    assert out == {"ok": 999, "error": 1}

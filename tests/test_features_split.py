@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -155,3 +156,23 @@ def test_four_cell_case_from_labels(spark):
     rep = {r["class"]: r for r in Ev.classification_report(Ev.confusion(lab, "toxic", "quality")).collect()}
     assert rep["1"].precision == round(9 / 76, 4) and rep["1"].recall == round(9 / 11, 4)
     assert rep["weighted avg"].support == 87
+
+
+def test_key_rank_with_payload_and_tiny_samples(spark):
+    """Ranks stay right when the range boundaries come from few samples and no exchange is reused."""
+    n = 20_000
+    df = spark.range(n).selectExpr("id", "id % 3 as k", "hash(id) as o", "repeat('x', 20) as payload")
+    keep = {c: spark.conf.get(c, None) for c in
+            ("spark.sql.execution.rangeExchange.sampleSizePerPartition", "spark.sql.exchange.reuse")}
+    try:
+        spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "2")
+        for reuse in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", reuse)
+            got = key_rank(df, ["k"], ["o", "id"], "r", num_partitions=8)
+            w = Window.partitionBy("k").orderBy("o", "id")
+            want = df.withColumn("r", F.row_number().over(w).cast("bigint"))
+            assert got.select("id", "k", "r").exceptAll(want.select("id", "k", "r")).count() == 0
+            assert got.count() == n
+    finally:
+        for c, v in keep.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
