@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from riskline.llm.common import Counter64, count_cut, documents, lower_ascii, materialize, mix64
 from riskline.llm.components import components
 
-LEVELS = 8          # longest extension of a prefix
+LEVELS = 24         # longest extension of a prefix
+UNSEEN = 0.25       # other members expected in the list of a shingle outside the frequent ones
 FLUSH = 1 << 20     # shingles after which a task reports its frequent ones
 OFTEN = 6           # reported if seen so often among them
 
@@ -120,21 +121,21 @@ class Order:
         self.shingles, self.seen = shingles[by], seen[by]
 
     def arrange(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(set in global order, estimated list length of each shingle)."""
+        """(set in global order, estimated other members of each shingle's list)."""
         if not len(self.shingles):
-            return s, np.ones(len(s))
+            return s, np.full(len(s), UNSEEN)
         at = np.minimum(np.searchsorted(self.shingles, s), len(self.shingles) - 1)
         hot = self.shingles[at] == s
         n = self.seen[at[hot]]
         by = np.lexsort((s[hot], n))
-        return np.concatenate([s[~hot], s[hot][by]]), np.concatenate([np.ones(int((~hot).sum())), n[by].astype(float)])
+        return np.concatenate([s[~hot], s[hot][by]]), np.concatenate([np.full(int((~hot).sum()), UNSEEN), n[by].astype(float)])
 
     def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
         """(prefix, l): l minimises list reads plus verification of the candidates that share l shingles."""
         ordered, cost = self.arrange(s)
         base = len(s) - least_overlap(len(s), percent)
         most = min(LEVELS, len(s) - base)
-        reads = np.cumsum(cost - 1)[base:base + most]  # other members of the lists
+        reads = np.cumsum(cost)[base:base + most]  # other members of the lists
         level = np.arange(1, most + 1)
         total = reads + level + reads / level * (1 + len(s) / 16)
         k = int(level[np.argmin(total)])
@@ -182,61 +183,53 @@ def _pairs(lists: DataFrame, key: list[str], extra: list[str]) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """set, items (8-byte hashes in order) of the wanted sets, from one document of each."""
-    ids = wanted.join(firsts, "set").select(F.col("first").alias("doc_id")).distinct()
+    """set, items (8-byte hashes in order) of the wanted sets, from the first document of each."""
+    ids = wanted.join(firsts, "set").select(F.col("first").alias("doc_id"), "set")
 
     def run(batches):
         make = Shingler(width)
         for b in batches:
             sets = [make(t) for t in b.column("text").to_pylist()]
+            # another row of the same id may hold another set
+            mine = [len(s) > 0 and fingerprint(s) == f for s, f in zip(sets, b.column("set").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([fingerprint(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "items"])
+                [b.column("set"), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "items"]).filter(pa.array(mine, pa.bool_()))
 
-    some = documents(docs).join(ids, "doc_id", "left_semi").select("text")
-    return (some.mapInArrow(run, "set long, items binary").join(wanted, "set", "left_semi").dropDuplicates(["set"]))
+    return documents(docs).join(ids, "doc_id").select("set", "text").mapInArrow(run, "set long, items binary")
 
 
 def linked(n_a, n_b, both, percent: int):
     return 100 * both >= percent * (n_a + n_b - both)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are linked, by exact intersection."""
-    def run(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column("ia").to_pylist(), b.column("ib").to_pylist()):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(linked(len(s), len(t), len(np.intersect1d(s, t, assume_unique=True)), percent))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return (pairs.join(sets.select(F.col("set").alias("a"), F.col("items").alias("ia")), "a")
-            .join(sets.select(F.col("set").alias("b"), F.col("items").alias("ib")), "b")
-            .select("a", "b", "ia", "ib").mapInArrow(run, "a long, b long"))
-
+def compare(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame:
+    """(a, b, hub, linked, rest) of pairs (a, b, hub).
 
-def against_hubs(members: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame:
-    """(set, hub, linked, rest): ``rest`` are the shingles outside the hub by which to look further."""
+    Where b is the hub of a, ``rest`` are the shingles of a outside b by which to look further.
+    """
     def run(batches):
-        for b in batches:
+        for batch in batches:
             ok, rest = [], []
-            for x, y in zip(b.column("ia").to_pylist(), b.column("ib").to_pylist()):
+            for x, y, hub in zip(*(batch.column(c).to_pylist() for c in ("ia", "ib", "hub"))):
                 s, p = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                out, _ = order.value.arrange(np.setdiff1d(s, p, assume_unique=True))
+                out = np.setdiff1d(s, p, assume_unique=True)
                 both = len(s) - len(out)
                 ok.append(linked(len(s), len(p), both, percent))
-                if not ok[-1]:
-                    # overlap needed with any set as large as the hub, less what the hub can give
-                    need = max(1, -(-percent * (len(s) + len(p)) // (100 + percent)) - both)
-                    out = out[:max(0, len(out) - need + 1)]
-                rest.append(out.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_()),
-                                              pa.array(rest, pa.list_(pa.int64()))], ["set", "hub", "linked", "rest"])
-
-    return (members.join(sets.select(F.col("set").alias("b"), F.col("items").alias("ib")), "b")
+                if hub:
+                    out, _ = order.value.arrange(out)
+                    if not ok[-1]:
+                        # overlap needed with any set as large as the hub, less what the hub can give
+                        need = max(1, -(-percent * (len(s) + len(p)) // (100 + percent)) - both)
+                        out = out[:max(0, len(out) - need + 1)]
+                rest.append(out.view(np.int64) if hub else None)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("a", "b", "hub")), pa.array(ok, pa.bool_()),
+                 pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "hub", "linked", "rest"])
+
+    return (pairs.join(sets.select(F.col("set").alias("b"), F.col("items").alias("ib")), "b")
             .join(sets.select(F.col("set").alias("a"), F.col("items").alias("ia")), "a")
-            .select("a", "b", "ia", "ib").mapInArrow(run, "set long, hub long, linked boolean, rest array<long>"))
+            .select("a", "b", "hub", "ia", "ib")
+            .mapInArrow(run, "a long, b long, hub boolean, linked boolean, rest array<long>"))
 
 
 def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: int = 80, short: int = 32,
@@ -253,7 +246,6 @@ def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: in
     order = sc.broadcast(Order(top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()))
     lists = materialize(shared_postings(postings(docs, width, percent, order)), "shared-postings")
     firsts = known.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("first"))
-    sets = materialize(sets_of(docs, lists.select("set").distinct(), firsts, width), "sets")
     in_long = lists.where(F.col("size") > short).groupBy("set").agg(F.count(F.lit(1)).alias("long"))
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     found = (_pairs(lists.where(F.col("size") <= short), ["shingle"], ["n", "l"]).where(fits)
@@ -265,7 +257,11 @@ def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: in
              .select("a", "b"))
     members = (lists.where((F.col("size") > short) & (F.col("set") != F.col("hub.set")))
                .select(F.col("set").alias("a"), F.col("hub.set").alias("b")).distinct())
-    hubs = materialize(against_hubs(members, sets, order, percent), "hub-members")
+    first = materialize(close.withColumn("hub", F.lit(False)).unionByName(members.withColumn("hub", F.lit(True))), "pairs")
+    named = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    sets = materialize(sets_of(docs, named(first), firsts, width), "sets")  # sets outside any pair are not fetched
+    compared = materialize(compare(first, sets, order, percent), "compared")
+    hubs = compared.where("hub").select(F.col("a").alias("set"), F.col("b").alias("hub"), "linked", "rest")
     n = lists.groupBy("set").agg(F.max("n").alias("n"))
     again = hubs.select("set", "hub", "linked", F.explode("rest").alias("z")).repartition("hub", "z")
     w = Window.partitionBy("hub", "z")
@@ -279,8 +275,9 @@ def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: in
     y = rest.select("hub", "z", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("linked").alias("linked_b"))
     many = x.join(y, ["hub", "z"]).where(F.col("a") != F.col("b")).where(fits)
     more = few.select("a", "b").unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = materialize(close.unionByName(more).distinct(), "pairs")
-    return verify(pairs, sets, percent).unionByName(hubs.where("linked").select(F.col("set").alias("a"), F.col("hub").alias("b")))
+    second = materialize(more.distinct().withColumn("hub", F.lit(False)), "outside-pairs")
+    again = compare(second, sets.join(named(second), "set", "left_semi"), order, percent)
+    return compared.unionByName(again).where("linked").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, **rule) -> DataFrame:

