@@ -218,8 +218,8 @@ def compare(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame
                 if hub:
                     out, _ = order.value.arrange(out)
                     if not ok[-1]:
-                        # overlap needed with any set as large as the hub, less what the hub can give
-                        need = max(1, -(-percent * (len(s) + len(p)) // (100 + percent)) - both)
+                        # overlap needed with any set as large as the hub and with any that fits s, less what the hub can give
+                        need = max(1, -(-percent * (len(s) + len(p)) // (100 + percent)) - both, least_overlap(len(s), percent) - both)
                         out = out[:max(0, len(out) - need + 1)]
                 rest.append(out.view(np.int64) if hub else None)
             yield pa.RecordBatch.from_arrays(
