@@ -14,6 +14,9 @@ __all__ = ["documents", "table", "materialize", "scratch_path", "remainder", "WO
 #: The six ASCII white-space bytes that separate words in the contracts.
 WORD_BYTES = " \t\n\x0b\x0c\r"
 
+#: Spark setting: remove a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def documents(df: DataFrame, *extra: str) -> DataFrame:
     """(doc_id, text, *extra) with a null text read as empty; other columns are left out."""
@@ -25,11 +28,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once below the shared checkpoint folder and read it back.
 
     Later stages then start from files every executor can read: losing an
-    executor costs no recomputation of what came before.
+    executor costs no recomputation of what came before. The shuffle files of the
+    write are not needed after it and are removed at its end.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
