@@ -73,16 +73,16 @@ class RankTable:
             used.update((h ^ d, k) for h, k in zip(high, keys))
         return shift, used
 
-    def lookup(self, arrays: Column, pieces: Column) -> Column:
-        """Ranks of an array of byte pieces (NONE for those without)."""
+    def lookup(self, arrays: Column, piece: Column) -> Column:
+        """Rank of a byte piece (NONE for one without)."""
         low, high = F.lit(self.buckets - 1), F.lit(self.slots - 1)
 
-        def rank(p: Column, h: Column) -> Column:
+        def rank(h: Column) -> Column:
             slot = (F.shiftright(h, self.by).bitwiseAND(high).cast("int")).bitwiseXOR(
                 F.get(arrays["shift"], h.bitwiseAND(low).cast("int")))
-            return F.when(F.get(arrays["bytes"], slot) == F.hex(p), F.get(arrays["rank"], slot)).otherwise(F.lit(NONE))
+            return F.when(F.get(arrays["bytes"], slot) == F.hex(piece), F.get(arrays["rank"], slot)).otherwise(F.lit(NONE))
 
-        return F.transform(pieces, lambda p: let(F.xxhash64(p), lambda h: rank(p, h)))
+        return let(F.xxhash64(piece), rank)
 
 
 def let(value: Column, body) -> Column:
@@ -99,32 +99,37 @@ def _encode(word: Column, table: RankTable, arrays: Column) -> Column:
     data = word.cast("binary")
     size = F.length(data)
 
+    rank = lambda piece: table.lookup(arrays, piece)
+
+    # Lambdas over the elements: array slices and concatenations cost more than all lookups.
     def step(st: Column) -> Column:
+        p, r = st["pieces"], st["ranks"]
+
         def merge(k: Column) -> Column:
-            p, n = st["pieces"], F.size(st["pieces"])
-            one = F.concat(F.get(p, k - 1), F.get(p, k))
-            sides = lambda m: F.filter(F.array(F.concat(F.get(p, k - 2), m), F.concat(m, F.get(p, k + 1))),
-                                       lambda x: x.isNotNull())
-            return let(one, lambda m: F.struct(
-                F.concat(F.slice(p, F.lit(1), k - 1), F.array(m), F.slice(p, k + 2, n)).alias("pieces"),
-                F.concat(F.slice(st["ranks"], F.lit(1), F.greatest(k - 2, F.lit(0))), table.lookup(arrays, sides(m)),
-                         F.slice(st["ranks"], k + 2, n)).alias("ranks")))
-
-        return let(F.coalesce(F.array_min(st["ranks"]), F.lit(NONE)), lambda best: F.when(best == NONE, st).otherwise(
-            let(F.array_position(st["ranks"], best).cast("int"), merge)))
+            """Pieces k and k+1 become one; the pairs beside it get new ranks."""
+            joined = lambda m: F.filter(F.transform(p, lambda x, i: F.when(i == k, m).otherwise(x)),
+                                        lambda x, i: i != k + 1)
+            ranked = lambda m: F.filter(F.transform(r, lambda x, i: F.when(i == k - 1, rank(F.concat(F.get(p, k - 1), m)))
+                                                    .when(i == k + 1, rank(F.concat(m, F.get(p, k + 2)))).otherwise(x)),
+                                        lambda x, i: i != k)
+            return let(F.concat(F.get(p, k), F.get(p, k + 1)),
+                       lambda m: F.struct(joined(m).alias("pieces"), ranked(m).alias("ranks")))
+
+        leftmost = lambda best: F.array_min(F.transform(r, lambda x, i: F.when(x == best, i)))
+        return let(F.coalesce(F.array_min(r), F.lit(NONE)),
+                   lambda best: F.when(best == NONE, st).otherwise(let(leftmost(best), merge)))
 
     single = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(data, i, F.lit(1)))
 
     def fold(pieces: Column) -> Column:
         pairs = F.zip_with(F.slice(pieces, F.lit(1), size - 1), F.slice(pieces, F.lit(2), size - 1),
                            lambda a, b: F.concat(a, b))
-        start = F.struct(pieces.alias("pieces"), table.lookup(arrays, pairs).alias("ranks"))
+        start = F.struct(pieces.alias("pieces"), F.transform(pairs, rank).alias("ranks"))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, lambda st, _: step(st),
-                           lambda st: table.lookup(arrays, st["pieces"]))
+                           lambda st: F.transform(st["pieces"], rank))
 
     return F.when(size == 0, F.array().cast("array<int>")).otherwise(
-        let(table.lookup(arrays, F.array(data)), lambda whole: F.when(
-            F.get(whole, F.lit(0)) != NONE, whole).otherwise(let(single, fold))))
+        let(rank(data), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(let(single, fold))))
 
 
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
