@@ -167,6 +167,39 @@ def test_model_is_a_distribution():
     assert total == pytest.approx(1, abs=1e-4)
 
 
+def held_out_ids(n):
+    return [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0][:n]
+
+
+def test_rare_words_are_predicted_from_rare_words(spark):
+    """Words outside the 256 most frequent, alike in their first bytes: the model tells them apart by context."""
+    r = np.random.default_rng(8)
+    common = " ".join("f%d" % k for k in range(256))
+    pairs = lambda: " ".join("key%d val%d" % (k, k) for k in r.permutation(60).tolist())
+    right, wrong = (" ".join("key%d val%d" % (k, (k + s) % 60) for k in range(60)) for s in (0, 7))
+    a, b = held_out_ids(2)
+    d = spark.createDataFrame([(i, f"{common} {common} {pairs()}") for i in range(150)] + [(a, right), (b, wrong)],
+                              "doc_id long, text string").coalesce(1)
+    got = rows(maxent_lm.score_lm(d))
+    assert got[a].held_out and got[b].held_out and got[a].base_score == pytest.approx(got[b].base_score)
+    assert got[a].score > got[b].score + 10
+
+
+def test_trees_of_rare_words_sum_to_one():
+    words = ["w%d" % k for k in range(700)] + [maxent_lm.END]
+    n = np.arange(len(words), 0, -1).astype(float)
+    rn, rv = np.full(16, 1e6), np.full(16, 900.0)  # most words of a class are outside the dictionary
+    vocab = maxent_lm.Vocabulary(words, n, int(2e7), 15_000, rn, rv)
+    r = np.random.default_rng(0)
+    size = maxent_lm.table_rows(15_000)
+    w = maxent_lm.Weights(r.normal(size=(size[0], 32)).astype(np.float32), r.normal(size=(size[1], 16)).astype(np.float32))
+    leaf = np.concatenate([vocab.leaf, vocab.outside + np.arange(16)])
+    h = np.repeat(maxent_lm.feature_rows([vocab.code[[5, 400, 600, 9]]])[1][3:], len(leaf), 0)
+    assert len(set(leaf.tolist())) == 701 + 16
+    assert np.exp(maxent_lm.log_probabilities(w, vocab, leaf, h)).sum() == pytest.approx(1, abs=1e-4)
+    assert maxent_lm.table_rows(10) == (maxent_lm.ROWS, maxent_lm.INNER) and max(maxent_lm.table_rows(10**9)) == maxent_lm.MOST
+
+
 # 5 -----------------------------------------------------------------------------
 
 def test_decontamination(spark, docs, empty, odd):
