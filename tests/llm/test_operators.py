@@ -200,6 +200,23 @@ def test_trees_of_rare_words_sum_to_one():
     assert maxent_lm.table_rows(10) == (maxent_lm.ROWS, maxent_lm.INNER) and max(maxent_lm.table_rows(10**9)) == maxent_lm.MOST
 
 
+def test_contexts_of_one_task_do_not_fade(spark):
+    """What one task learns about its contexts counts in full, however many other tasks there are."""
+    r = np.random.default_rng(9)
+    common = " ".join("f%d" % k for k in range(256))
+    pairs = lambda: " ".join("key%d val%d" % (k, k) for k in r.permutation(60).tolist())
+    right, wrong = (" ".join("key%d val%d" % (k, (k + s) % 60) for k in range(60)) for s in (0, 7))
+    a, b = held_out_ids(2)
+    taught = [(i, f"{common} {pairs()}") for i in range(60)] + [(a, right), (b, wrong)]
+    others = [(900 + i, common) for i in range(12 * len(taught))]
+    gap = []
+    for data, tasks in ((taught, 1), (taught + others, 13)):  # equal slices: the first is what is taught
+        d = spark.createDataFrame(spark.sparkContext.parallelize(data, tasks), "doc_id long, text string")
+        got = rows(maxent_lm.score_lm(d, rounds=1))
+        gap.append(got[a].score - got[b].score)
+    assert gap[0] > 5 and gap[1] > 0.9 * gap[0], gap
+
+
 # 5 -----------------------------------------------------------------------------
 
 def test_decontamination(spark, docs, empty, odd):
