@@ -4,7 +4,7 @@ toxicity         rows the network predicts toxic go
 near_duplicates  one document of each near-duplicate component stays
 decontamination  documents that leak a benchmark item go
 secrets          live-looking secret values are masked; no document goes
-encoding         byte-level BPE ids of every remaining document, and their decoding
+encoding         byte-level BPE ids (4-byte little-endian) of every remaining document, and their decoded bytes
 
 All stages but the last return the columns of ``documents``.
 """
@@ -12,9 +12,10 @@ All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from riskline.llm import registry
-from riskline.llm.byte_bpe import byte_bpe
+from riskline.llm.byte_bpe import encode
 from riskline.llm.common import materialize, table
 from riskline.llm.decontaminate import decontaminate
 from riskline.llm.jaccard_join import one_of_each
@@ -39,7 +40,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe(docs, registry.BYTE_RANKS, registry.public_tokenizers.PATTERN)
+    out = encode(docs, registry.BYTE_RANKS, registry.public_tokenizers.PATTERN)
+    return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination),

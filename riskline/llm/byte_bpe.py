@@ -17,7 +17,6 @@ one; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import base64
-import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -207,7 +206,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def finish_blocks(blocks: DataFrame, known, pieces: list[bytes], id_type: str) -> DataFrame:
-    """doc_id, ids (4-byte little-endian), decoded bytes' digest and the ids' digest of every document."""
+    """doc_id, ids (4-byte little-endian) and decoded bytes of every document."""
     shared = blocks.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches):
@@ -225,18 +224,28 @@ def finish_blocks(blocks: DataFrame, known, pieces: list[bytes], id_type: str) -
                 out, ends = [], np.cumsum(counts)
                 for a, z in zip(ends - counts, ends):
                     ids, _ = gather(starts, sizes, values, codes[a:z])
-                    out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
-                                hashlib.sha256(b"".join(map(table.__getitem__, ids.tolist()))).hexdigest()))
+                    out.append((ids.astype("<u4").tobytes(), b"".join(map(table.__getitem__, ids.tolist()))))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("ids").slice(row, 1).flatten(), pa.array(cols[0], pa.int64()), pa.array(cols[1]),
-                     pa.array(cols[2])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    [b.column("ids").slice(row, 1).flatten(), pa.array(cols[0], pa.binary()),
+                     pa.array(cols[1], pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return blocks.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return blocks.mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
+
+
+def digest(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of the rows of ``encode``."""
+    return encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
+                          F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def byte_bpe(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1_000_000) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row of ``docs``."""
+    """The digests of ``encode`` for every row of ``docs``."""
+    return digest(encode(docs, ranks_path, pattern, dictionary))
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1_000_000) -> DataFrame:
+    """doc_id, ids (4-byte little-endian), decoded (bytes of the ids) for every row of ``docs``."""
     spark = docs.sparkSession
     ranks = read_ranks(ranks_path)
     table = RankTable(ranks)

@@ -51,7 +51,7 @@ def op8_html_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
-    return byte_bpe.byte_bpe(table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.digest(byte_bpe.encode(table(spark, sf, "documents"), BYTE_RANKS, public_tokenizers.PATTERN))
 
 
 def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:

@@ -319,6 +319,16 @@ def test_byte_bpe(docs, corpus, empty, odd):
     assert byte_bpe.byte_bpe(odd, registry.BYTE_RANKS, public_tokenizers.PATTERN).count() == odd.count()
 
 
+def test_encoding_keeps_ids_and_decoded_texts(spark, docs, corpus):
+    ranks = byte_bpe.read_ranks(registry.BYTE_RANKS)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = rows(corpus_pipeline.encoding(spark, docs, ""))
+    for i, t in corpus.items():
+        ids = enc.encode_ordinary(t or "")
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == ids and got[i].n_tokens == len(ids)
+        assert bytes(got[i].decoded) == (t or "").encode()
+
+
 # 10 ----------------------------------------------------------------------------
 
 @pytest.mark.parametrize("crowd", [2, 20_000])
