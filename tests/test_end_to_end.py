@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from riskline.functions.labels import STRICT_PHISHING, STRICT_SAFE, strict_label
 from riskline.operators import model as Mo
 from riskline.sources import mail as M

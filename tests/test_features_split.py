@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from riskline.operators import evaluate as Ev
 from riskline.operators import features as Fe
 from riskline.operators import split as Sp

@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from riskline.operators import model as Mo
 from riskline.operators import split as Sp
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF001
+from paths import SF001
 from riskline.plans.catalog import queries
 from riskline.plans.oracle import oracle_sql
 from riskline.plans.oracle_check import run

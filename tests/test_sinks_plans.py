@@ -2,7 +2,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from riskline.plans import catalog as C
 from riskline.sources import sinks as S
 

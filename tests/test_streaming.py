@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from paths import SF001
 from riskline.plans import catalog as C
 from riskline.streaming import stream as St
 

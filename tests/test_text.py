@@ -51,7 +51,7 @@ def test_clean_basic_matches_python(spark):
 
 
 def test_clean_mask_matches_python_on_documents(spark):
-    from conftest import SF001
+    from paths import SF001
     d = spark.read.parquet(f"{SF001}/documents.parquet").select("text", T.clean_mask("text").alias("m"))
     for r in d.collect():
         assert r.m == py_clean_mask(r.text)
@@ -64,7 +64,7 @@ def test_blank(spark):
 
 
 def test_tokenize_matches_python_word_runs(spark):
-    from conftest import SF001
+    from paths import SF001
     d = spark.read.parquet(f"{SF001}/documents.parquet").select("text", T.tokenize("text").alias("tok"))
     pat = re.compile(r"(?u)\b\w\w+\b")
     for r in d.collect():
