@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import (byte_bpe, decontaminate, html_cut, jaccard_join, maxent_lm, quality_forest, secrets,
+from riskline.llm import (byte_bpe, decontaminate, html_cut, jaccard_join, maxent_lm, merkle, quality_forest, secrets,
                           suffix_dedup, toxicity_gru, wavelet)
 from riskline.llm.common import table
 
@@ -60,10 +60,15 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.audit(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_forest, op2_toxicity, op3_jaccard_join, op4_maxent_lm, op5_decontaminate, op6_wavelet_shards,
-        op7_secrets, op8_html_cut, op9_byte_bpe, op10_suffix_dedup)}
+        op7_secrets, op8_html_cut, op9_byte_bpe, op10_suffix_dedup,
+        op12_merkle_manifest)}
 
 
 #: Components by all pairs that share a shingle; the exact definition, without any filter.
@@ -117,5 +122,55 @@ HAVING count(*) >= 10 AND count(*) >= 0.5 * any_value(len(b.t))
 """
 
 
+def _leaf_sql(n_chars: str) -> str:
+    fields = [n_chars if name == "n_chars" else name for name in merkle.FIELDS]
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields) + ")"
+
+
+#: Every level of every tree, written out; CRC-32 bit by bit. Proofs look their siblings up by level and place.
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT *, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(
+           string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) ELSE xor(x >> 1, 3988292384 * (x & 1)) END) AS crc
+  FROM documents),
+e AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("n_chars")} AS leaf,
+         CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN {_leaf_sql("(n_chars + 1)")} ELSE {_leaf_sql("n_chars")} END AS changed FROM d),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM e),
+n AS (
+  SELECT tree, 0 AS level, place, leaf AS digest, count(*) OVER (PARTITION BY tree) AS nodes FROM l
+  UNION ALL
+  SELECT tree, level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (any_value(nodes) + 1) // 2
+  FROM n WHERE nodes > 1 GROUP BY tree, level, place // 2),
+s AS (SELECT tree, level AS height, digest, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS nodes
+      FROM n WHERE nodes = 1),
+t AS (
+  SELECT 0 AS level, place, digest, nodes FROM s
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(digest, '' ORDER BY place)), (any_value(nodes) + 1) // 2
+  FROM t WHERE nodes > 1 GROUP BY level, place // 2),
+steps AS (
+  SELECT l.tree, l.place AS leaf_place, n.level, n.place < (l.place >> n.level) AS before, n.digest
+  FROM l JOIN n ON n.tree = l.tree AND n.nodes > 1 AND n.place = xor(l.place >> n.level, 1)
+  UNION ALL
+  SELECT l.tree, l.place, s.height + t.level, t.place < (s.place >> t.level), t.digest
+  FROM l JOIN s USING (tree) JOIN t ON t.nodes > 1 AND t.place = xor(s.place >> t.level, 1)),
+f AS (
+  SELECT l.tree, l.place, 0 AS level, l.changed AS digest, s.height + (SELECT max(level) FROM t) AS height FROM l JOIN s USING (tree)
+  UNION ALL
+  SELECT f.tree, f.place, f.level + 1, sha256(CASE WHEN p.before THEN p.digest || f.digest ELSE f.digest || coalesce(p.digest, '') END),
+         f.height
+  FROM f LEFT JOIN steps p ON p.tree = f.tree AND p.leaf_place = f.place AND p.level = f.level WHERE f.level < f.height),
+proof AS (SELECT tree, leaf_place, string_agg(digest, '' ORDER BY level) AS digests FROM steps GROUP BY 1, 2)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, r.digest AS root, sha256(coalesce(p.digests, '')) AS proof_sha256,
+       f.digest AS folded_root, f.digest = r.digest AS verified
+FROM l JOIN s USING (tree) JOIN f ON f.tree = l.tree AND f.place = l.place AND f.level = f.height
+JOIN t r ON r.nodes = 1 LEFT JOIN proof p ON p.tree = l.tree AND p.leaf_place = l.place
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": JACCARD_SQL, "op5_decontaminate": DECONTAMINATE_SQL}
+    return {"op3_jaccard_join": JACCARD_SQL, "op5_decontaminate": DECONTAMINATE_SQL,
+            "op12_merkle_manifest": MERKLE_SQL}
