@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskline.llm import (byte_bpe, decontaminate, html_cut, jaccard_join, maxent_lm, merkle, quality_forest, secrets,
-                          suffix_dedup, toxicity_gru, wavelet)
+from riskline.llm import (byte_bpe, collocations, decontaminate, html_cut, jaccard_join, maxent_lm, merkle,
+                          quality_forest, secrets, suffix_dedup, toxicity_gru, wavelet)
 from riskline.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -64,11 +64,15 @@ def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.audit(table(spark, sf, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_forest, op2_toxicity, op3_jaccard_join, op4_maxent_lm, op5_decontaminate, op6_wavelet_shards,
         op7_secrets, op8_html_cut, op9_byte_bpe, op10_suffix_dedup,
-        op12_merkle_manifest)}
+        op12_merkle_manifest, op13_collocations)}
 
 
 #: Components by all pairs that share a shingle; the exact definition, without any filter.
@@ -171,6 +175,37 @@ JOIN t r ON r.nodes = 1 LEFT JOIN proof p ON p.tree = l.tree AND p.leaf_place =
 """
 
 
+#: All phrases of one to three words, counted as they stand.
+COLLOCATIONS_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents),
+t AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, size, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase
+  FROM t, (SELECT unnest([1, 2, 3]) AS size)),
+f AS (SELECT lang, size, phrase, CAST(count(*) AS HUGEINT) AS a FROM g GROUP BY ALL),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 10),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM c),
+s AS (
+  SELECT cuts.lang, cuts.phrase, cuts.size, cuts.a, cuts.k, x.a AS l, y.a AS r,
+         (1000000 * cuts.a * cuts.a) // (x.a * y.a) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[:k], ' ')
+            JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[k + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3) GROUP BY ALL),
+ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank
+  FROM best b LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR 100 * most < 50 * b.a)
+SELECT r.lang, r.rank, r.phrase, CAST(r.a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r.r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY 1) USING (lang) WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op3_jaccard_join": JACCARD_SQL, "op5_decontaminate": DECONTAMINATE_SQL,
-            "op12_merkle_manifest": MERKLE_SQL}
+            "op12_merkle_manifest": MERKLE_SQL, "op13_collocations": COLLOCATIONS_SQL}
