@@ -52,7 +52,7 @@ class Manifest:
 
     leaves: DataFrame           # tree, place, digest, doc_id and what the caller kept
     levels: list[DataFrame]     # stored levels above the leaves
-    roots: DataFrame            # tree, place (order among the languages), digest
+    roots: DataFrame            # tree (one for all), place, digest, and the language's tree (of)
     tops: list[DataFrame]       # stored levels above the languages' roots
     root: DataFrame             # digest
     gap: int                    # distance of two stored levels
@@ -224,8 +224,9 @@ def build(df: DataFrame, *keep: Column, gap: int = LEVELS) -> Manifest:
     levels = _store(leaves, "level", gap)
     tips = levels[-1] if levels else leaves.select("tree", "place", "digest")
     ranked = key_rank(tips.select(F.lit("").alias("all"), F.col("tree"), "digest"), ["all"], ["tree"], "place")
-    roots = materialize(ranked.select("tree", F.col("place") - 1, "digest").toDF("tree", "place", "digest"), "roots")
-    tops = _store(roots.select(F.lit("").alias("tree"), "place", "digest"), "top", gap)
+    roots = materialize(ranked.select(F.col("all").alias("tree"), F.col("place") - 1, "digest", "tree")
+                        .toDF("tree", "place", "digest", "of"), "roots")
+    tops = _store(roots, "top", gap)
     root = (tops[-1] if tops else roots).select("digest")
     return Manifest(leaves, levels, roots, tops, root, gap)
 
@@ -248,7 +249,7 @@ def proofs(m: Manifest) -> DataFrame:
     """Every leaf with its steps to the root (``steps``, lowest first) and its language's root (``subroot``)."""
     nothing = F.array().cast(f"array<{STEP}>").alias("steps")
     no_root = F.lit(None).cast("string").alias("subroot")
-    trees = [m.roots.select(F.lit("").alias("tree"), "place", "digest", F.col("tree").alias("of")), *m.tops]
+    trees = [m.roots, *m.tops]
     path = trees[-1].select("*", no_root, nothing)
     for lower in reversed(trees[:-1]):
         path = _descend(path, lower, m.gap)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskline.llm import (byte_bpe, collocations, decontaminate, html_cut, jaccard_join, maxent_lm, merkle,
-                          quality_forest, secrets, suffix_dedup, toxicity_gru, wavelet)
+                          quality_forest, secrets, simhash, suffix_dedup, toxicity_gru, wavelet)
 from riskline.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -60,6 +60,10 @@ def op10_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.audit(table(spark, sf, "documents"))
 
@@ -72,7 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_forest, op2_toxicity, op3_jaccard_join, op4_maxent_lm, op5_decontaminate, op6_wavelet_shards,
         op7_secrets, op8_html_cut, op9_byte_bpe, op10_suffix_dedup,
-        op12_merkle_manifest, op13_collocations)}
+        op11_simhash, op12_merkle_manifest, op13_collocations)}
 
 
 #: Components by all pairs that share a shingle; the exact definition, without any filter.
@@ -180,7 +184,8 @@ COLLOCATIONS_SQL = r"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents),
+-
+]')) AS piece FROM documents),
 t AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS w FROM p),
 g AS (
   SELECT lang, size, unnest([array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)]) AS phrase
