@@ -40,7 +40,7 @@ SCALE = 1_000_000
 SHARDS = 4
 MAX_BITS = 28
 #: Words held in a task before their phrases are counted.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Candidates that one window of the ranking sorts, about.
 ROUND = 20_000
 
