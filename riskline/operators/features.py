@@ -1,25 +1,32 @@
-"""Feature operators (F1-F8, K5) in relational form.
+"""Feature operators (F1-F8, K5).
 
 Plan shape (see ``explain``):
 
-* term counts are computed inside each row (sort the token array, measure the
-  runs) so no shuffle is needed to count terms per document;
 * the vocabulary is one aggregation on ``term`` (map-side partial aggregation
   collapses hot terms before the shuffle) followed by a top-k (TakeOrdered);
-* the vocabulary is bounded by ``k`` rows, so it is the only side ever
-  broadcast; nothing else is sent to the driver.
+  the number of fitting rows is counted in the same pass;
+* a fitted vocabulary (at most ``k`` rows, ``k`` <= ``MAX_ROW_LOCAL``) is a
+  model like any other: fitting it is a job, and the driver then holds its terms;
+* features of a text are built inside its row: MLlib's count-vector stage looks
+  the tokens up, array functions weight, normalise and score them. A text is
+  tokenised once and neither its terms nor its id are ever shuffled;
+* vocabularies beyond ``MAX_ROW_LOCAL`` terms are joined (explode, join, regroup).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+from functools import cached_property
+
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskline.functions.text import is_blank, tokenize
 
 DEFAULT_VOCAB_SIZE = 5000
-# A vocabulary larger than this is not hinted for broadcast; the planner chooses.
-MAX_BROADCAST_VOCAB = 2_000_000
+# Most terms of a model that travels inside the plan; larger ones are joined.
+MAX_ROW_LOCAL = 1 << 18
 
 
 def _c(col) -> Column:
@@ -83,27 +90,95 @@ def vocabulary(counts: DataFrame, k: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
     return top.withColumn("idx", (F.row_number().over(w) - 1).cast("int"))
 
 
-def with_idf(vocab: DataFrame, n_docs: int) -> DataFrame:
-    """smooth idf = ln((1 + n) / (1 + df)) + 1, n = number of fitting rows."""
-    n = F.lit(float(n_docs))
+def term_totals(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, total, df): every term's corpus count and number of rows; the row of the null term has the number of
+    all rows as its total. One pass: each text gives its tokens, its distinct tokens, and itself."""
+    none = F.array(F.lit(None).cast("string"))
+    rows = df.select(tokenize(text_col).alias("_t")).select(F.explode(F.array(
+        F.struct(F.lit(0).alias("d"), F.col("_t").alias("w")), F.struct(F.lit(1).alias("d"), F.array_distinct("_t").alias("w")),
+        F.struct(F.lit(0).alias("d"), none.alias("w")))).alias("_p"))
+    # explode_outer: a plain explode has a filter inferred that tokenises again; the null it gives for a text
+    # without tokens is taken out by the flag below
+    rows = rows.select("_p.d", F.size("_p.w").alias("_n"), F.explode_outer("_p.w").alias("term")).where("_n > 0")
+    return rows.groupBy("term").agg(F.sum(1 - F.col("d")).alias("total"), F.sum("d").alias("df"))
+
+
+def fitted_vocabulary(df: DataFrame, text_col: str = "text", k: int = DEFAULT_VOCAB_SIZE) -> DataFrame:
+    """F1 + F3 in one plan: (term, total, df, idx, idf, n_docs) of the top-k terms; ties by term ascending."""
+    order = [F.col("term").isNotNull(), F.col("total").desc(), F.col("term").asc()]
+    top = term_totals(df, text_col).orderBy(*order).limit(k + 1)  # the row count comes first
+    w = Window.orderBy(*order)  # at most k + 1 rows
+    top = top.select("term", "total", "df", (F.row_number().over(w) - 2).cast("int").alias("idx"),
+                     F.first("total").over(w).alias("n_docs"))
+    return with_idf(top.where("term is not null"), F.col("n_docs")).select("term", "total", "df", "idx", "idf", "n_docs")
+
+
+@dataclass(frozen=True)
+class TermModel:
+    """A fitted vocabulary in rank order with idf, and weights where there are any: bounded by the fit's k."""
+
+    terms: tuple[str, ...]
+    idf: tuple[float, ...]
+    coef: tuple[float, ...] | None = None
+    n_docs: int = 0
+
+    @classmethod
+    def of(cls, table: DataFrame) -> TermModel | None:
+        """The model in ``table`` (term, idf, and idx, coef, n_docs where present); None beyond MAX_ROW_LOCAL terms."""
+        has = [c for c in ("idx", "coef", "n_docs") if c in table.columns]
+        rows = table.select("term", "idf", *has).limit(MAX_ROW_LOCAL + 1).collect()
+        if len(rows) > MAX_ROW_LOCAL:
+            return None
+        rows.sort(key=lambda r: r["idx"] if "idx" in has else r["term"])
+        return cls(tuple(r["term"] for r in rows), tuple(float(r["idf"]) for r in rows),
+                   tuple(float(r["coef"]) for r in rows) if "coef" in has else None,
+                   int(rows[0]["n_docs"]) if rows and "n_docs" in has else 0)
+
+    @cached_property
+    def counter(self) -> CountVectorizerModel:
+        return CountVectorizerModel.from_vocabulary(list(self.terms) or [""], inputCol="_tokens", outputCol="_tf")
+
+    def with_weights(self, df: DataFrame, text_col: str, keep) -> DataFrame:
+        """``keep`` with _at (places of the text's terms) and _w (tf * idf), both inside the row."""
+        d = self.counter.transform(df.select(*keep, tokenize(text_col).alias("_tokens")))
+        v = d.select(*keep, F.unwrap_udt("_tf").alias("_v"))
+        idf = _numbers(self.idf)
+        return v.select(*keep, F.col("_v.indices").alias("_at"), F.zip_with(
+            "_v.values", "_v.indices", lambda tf, i: tf * F.get(idf, i)).alias("_w"))
+
+
+def _numbers(values) -> Column:
+    """Array literal, as one expression that is folded when the plan is made."""
+    return F.split(F.lit(" ".join(map(repr, values)) or "0.0"), " ").cast("array<double>")
+
+
+def _square(w) -> Column:
+    return F.aggregate(w, F.lit(0.0), lambda a, x: a + x * x)
+
+
+def tfidf_rows(df: DataFrame, model: TermModel, id_col: str, text_col: str = "text") -> DataFrame:
+    """F4/F5, row-local: (id, term, idx, weight) with weight = tf*idf / ||tf*idf||_2 of each text."""
+    d = model.with_weights(df, text_col, [id_col]).withColumn("_norm", F.sqrt(_square("_w")))
+    # the separator of the literal cannot be part of a token
+    terms = F.split(F.lit("\n".join(model.terms)), "\n")
+    d = d.select(id_col, "_norm", F.explode_outer(F.arrays_zip("_at", "_w")).alias("_p")).where("_p is not null")
+    return d.select(id_col, F.get(terms, F.col("_p._at")).alias("term"), F.col("_p._at").alias("idx"),
+                    (F.col("_p._w") / F.col("_norm")).alias("weight"))
+
+
+def with_idf(vocab: DataFrame, n_docs) -> DataFrame:
+    """smooth idf = ln((1 + n) / (1 + df)) + 1, n = number of fitting rows (a number or a column)."""
+    n = n_docs.cast("double") if isinstance(n_docs, Column) else F.lit(float(n_docs))
     return vocab.withColumn("idf", F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def _vocab_side(vocab: DataFrame, k_bound: int | None) -> DataFrame:
-    if k_bound is not None and k_bound <= MAX_BROADCAST_VOCAB:
-        return F.broadcast(vocab)
-    return vocab
-
-
-def tfidf(counts: DataFrame, vocab_idf: DataFrame, id_col: str,
-          k_bound: int | None = DEFAULT_VOCAB_SIZE) -> DataFrame:
-    """(id, term, idx, weight) with weight = tf*idf / ||tf*idf||_2 per row.
+def tfidf(counts: DataFrame, vocab_idf: DataFrame, id_col: str) -> DataFrame:
+    """F4/F5 from (id, term, tf) rows, for vocabularies of any size: (id, term, idx, weight).
 
     Terms outside the vocabulary are ignored; a row without any vocabulary term
     yields no entries (its vector is all-zero).
     """
-    v = _vocab_side(vocab_idf.select("term", "idx", "idf"), k_bound)
-    raw = (counts.join(v, "term")
+    raw = (counts.join(vocab_idf.select("term", "idx", "idf"), "term")
                  .withColumn("w", F.col("tf") * F.col("idf")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", "idx", (F.col("w") / norm).alias("weight"))
@@ -115,38 +190,63 @@ def hash_weight(term) -> Column:
     return (F.pmod(h, F.lit(2001)) - F.lit(1000)).cast("double") / F.lit(250.0)
 
 
-def score_linear(df: DataFrame, id_col: str, text_col: str, model: DataFrame, bias: float = 0.0,
-                 k_bound: int | None = DEFAULT_VOCAB_SIZE, keep=(), blank_guard: bool = True) -> DataFrame:
+def score_linear(df: DataFrame, id_col: str, text_col: str, model, bias: float = 0.0, keep=(),
+                 blank_guard: bool = True) -> DataFrame:
     """K5/K6: sigma(b + sum_t w_t * tfidf_t) for every row of ``df``; blank text -> 0.0
     (D8) unless ``blank_guard`` is off (the struct form K7 scores blanks as sigma(b)).
 
-    ``model`` holds (term, idf, coef). Every input row is kept and scored by itself,
-    whatever its id (explode_outer + left join), and the per-row sums combine map-side: a text's rows
-    never leave its partition before the partial aggregate, so the only shuffle
-    carries one row per text.
+    ``model`` is a ``TermModel`` or a table (term, idf, coef), which is read here once.
+    Every input row is kept and scored by itself, whatever its id, without any shuffle;
+    only a model of more than MAX_ROW_LOCAL terms is joined instead.
     """
-    m = _vocab_side(model.select("term", "idf", "coef"), k_bound)
-    blank = F.coalesce(is_blank(text_col), F.lit(True)) if blank_guard else F.lit(False)
-    base = df.withColumn("_blank", blank).withColumn("_row", F.monotonically_increasing_id())
+    fitted = model if isinstance(model, TermModel) else TermModel.of(model)
+    if fitted is None:
+        return _score_joined(df, id_col, text_col, model, bias, keep, blank_guard)
+    cols = [id_col, *keep]
+    d = fitted.with_weights(df.select(*cols, text_col, _blank(text_col, blank_guard)), text_col, [*cols, "_blank"])
+    coef = _numbers(fitted.coef)
+    dot = F.aggregate(F.zip_with("_w", "_at", lambda w, i: w * F.get(coef, i)), F.lit(0.0), lambda a, x: a + x)
+    return d.select(*cols, "_blank", dot.alias("_dot"), _square("_w").alias("_sq")).select(*cols, _probability(bias))
+
+
+def _blank(text_col: str, guard: bool) -> Column:
+    return (F.coalesce(is_blank(text_col), F.lit(True)) if guard else F.lit(False)).alias("_blank")
+
+
+def _probability(bias: float) -> Column:
+    z = F.lit(float(bias)) + F.when(F.col("_sq") > 0, F.col("_dot") / F.sqrt("_sq")).otherwise(F.lit(0.0))
+    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+    return F.when(F.col("_blank"), F.lit(0.0)).otherwise(prob).alias("risk_score")
+
+
+def _score_joined(df, id_col, text_col, model: DataFrame, bias, keep, blank_guard) -> DataFrame:
+    """``score_linear`` with a model too large for the plan: the text's terms meet it in a join and are summed by row."""
+    base = df.withColumn("_blank", _blank(text_col, blank_guard)).withColumn("_row", F.monotonically_increasing_id())
     exploded = (with_term_pairs(base, text_col, ["_row", id_col, *keep, "_blank"])
                 .select("_row", id_col, *keep, "_blank", F.explode_outer("pairs").alias("p")))
     joined = exploded.select("_row", id_col, *keep, "_blank", F.col("p.term").alias("term"),
-                             F.col("p.tf").alias("tf")).join(m, "term", "left")
+                             F.col("p.tf").alias("tf")).join(model.select("term", "idf", "coef"), "term", "left")
     w = F.col("tf") * F.col("idf")
     agg = joined.groupBy("_row", id_col, *keep).agg(
         F.max("_blank").alias("_blank"),
         F.sum(F.when(w.isNotNull(), w * F.col("coef"))).alias("_dot"),
         F.sum(F.when(w.isNotNull(), w * w)).alias("_sq"))
-    z = F.lit(float(bias)) + F.when(F.col("_sq") > 0, F.col("_dot") / F.sqrt("_sq")).otherwise(F.lit(0.0))
-    prob = F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
-    return agg.select(id_col, *keep, F.when(F.col("_blank"), F.lit(0.0)).otherwise(prob).alias("risk_score"))
+    return agg.select(id_col, *keep, _probability(bias))
 
 
 def fit_tfidf(df: DataFrame, id_col: str, text_col: str = "text", k: int = DEFAULT_VOCAB_SIZE):
-    """Fit vocabulary + idf on ``df``: returns (vocab_idf DataFrame, n_docs)."""
-    n_docs = df.count()
-    vocab = vocabulary(term_counts(df, id_col, text_col), k)
-    return with_idf(vocab, n_docs), n_docs
+    """Fit vocabulary + idf on ``df`` in one job: returns (table of the vocabulary, n_docs)."""
+    model = TermModel.of(fitted_vocabulary(df, text_col, k))
+    if model is None:
+        raise ValueError(f"k = {k} exceeds the {MAX_ROW_LOCAL} terms of a fitted vocabulary; use fitted_vocabulary")
+    n_docs = model.n_docs or df.count()  # no token at all: the vocabulary holds no row to tell
+    return vocabulary_rows(df.sparkSession, model), n_docs
+
+
+def vocabulary_rows(spark: SparkSession, model: TermModel) -> DataFrame:
+    """(term, idx, idf) of a fitted vocabulary."""
+    rows = [(t, i, w) for i, (t, w) in enumerate(zip(model.terms, model.idf))]
+    return spark.createDataFrame(rows, "term string, idx int, idf double")
 
 
 # ---------------------------------------------------------------------------

@@ -55,15 +55,9 @@ TOL = 1e-7  # solver tolerance: close to the exact L2 optimum (gradient test < 1
 VARIANTS = ("baseline", "enhanced", "vectors")
 
 
-def vectorizer_stages(vocab_idf: DataFrame, text_col: str = "text", features_col: str = "features"):
-    """Stages turning ``text_col`` into L2-normalised tf-idf vectors.
-
-    Collects the vocabulary (at most k rows, ordered by idx) to build the
-    fixed-vocabulary count model; nothing else goes to the driver.
-    """
-    rows = vocab_idf.select("term", "idf", "idx").orderBy("idx").collect()
-    terms = [r["term"] for r in rows]
-    idf = [float(r["idf"]) for r in rows]
+def vectorizer_stages(vocab: Fe.TermModel, text_col: str = "text", features_col: str = "features"):
+    """Stages turning ``text_col`` into L2-normalised tf-idf vectors of a fitted vocabulary."""
+    terms, idf = list(vocab.terms), list(vocab.idf)
     tokens_sql = ("SELECT *, regexp_extract_all(lower(coalesce(`" + text_col + "`, '')), r'" + TOKEN
                   + "', 0) AS _tokens FROM __THIS__")
     return [
@@ -94,12 +88,6 @@ class TrainResult:
     report: DataFrame | None         # classification report rows
 
 
-def _evaluate(model: PipelineModel, test: DataFrame, label_col: str):
-    pred = model.transform(test)
-    cm = Ev.confusion(pred, label_col, "prediction")
-    return cm, Ev.accuracy_f1(cm), Ev.classification_report(cm)
-
-
 def _materialise_cm(model: PipelineModel, test: DataFrame, label_col: str) -> DataFrame:
     """The four confusion cells, computed now (one aggregate) so the metrics do
     not depend on inputs that are unpersisted afterwards."""
@@ -108,6 +96,11 @@ def _materialise_cm(model: PipelineModel, test: DataFrame, label_col: str) -> Da
     return spark.createDataFrame([tuple(int(x) for x in row)], "tn long, fp long, fn long, tp long")
 
 
+def _rows_in(cm: DataFrame) -> int:
+    """Rows the four cells hold."""
+    return int(sum(cm.first()))
+
+
 def train(df: DataFrame, id_col: str, text_col: str = "text", label_col: str = "label",
           stratify: bool = True, fit_on: str = "train", max_iter: int = MAX_ITER_TFIDF,
           k: int = Fe.DEFAULT_VOCAB_SIZE, C: float = C_DEFAULT, tol: float = TOL) -> TrainResult:
@@ -126,8 +119,9 @@ def train(df: DataFrame, id_col: str, text_col: str = "text", label_col: str = "
             s = Sp.split(data, id_col, label_col if stratify else None)
             fit_rows = s.where(F.col("split") == Sp.TRAIN).drop("split")
             test = s.where(F.col("split") == Sp.TEST).drop("split")
-        vocab_idf, n_train = Fe.fit_tfidf(fit_rows, id_col, text_col, k)
-        stages = vectorizer_stages(vocab_idf, text_col)
+        vocab = Fe.TermModel.of(Fe.fitted_vocabulary(fit_rows, text_col, k))
+        n_train = vocab.n_docs
+        stages = vectorizer_stages(vocab, text_col)
         vec = PipelineModel(stages)
         train_vec = vec.transform(fit_rows).select("features", F.col(label_col).cast("double").alias(label_col))
         train_vec = train_vec.cache()
@@ -138,9 +132,8 @@ def train(df: DataFrame, id_col: str, text_col: str = "text", label_col: str = "
         model = PipelineModel(stages + [lr_model])
         if test is None:
             return TrainResult(model, n_train, 0, None, None, None)
-        n_test = test.count()
         cm = _materialise_cm(model, test, label_col)
-        return TrainResult(model, n_train, n_test, cm, Ev.accuracy_f1(cm), Ev.classification_report(cm))
+        return TrainResult(model, n_train, _rows_in(cm), cm, Ev.accuracy_f1(cm), Ev.classification_report(cm))
     finally:
         data.unpersist()
 
@@ -157,21 +150,25 @@ def train_vectors(df: DataFrame, id_col: str, vec_col: str, label_col: str = "la
                   stratify: bool = True, max_iter: int = MAX_ITER_VECTORS, C: float = C_DEFAULT,
                   tol: float = TOL) -> TrainResult:
     """K2: logistic regression on pooled vectors (``array<float>``)."""
-    data = df.withColumn("features", array_to_vector(F.col(vec_col)))
-    s = Sp.split(data, id_col, label_col if stratify else None)
-    fit_rows = s.where(F.col("split") == Sp.TRAIN)
-    test = s.where(F.col("split") == Sp.TEST)
-    n_train = fit_rows.count()
-    train_vec = (fit_rows.select("features", F.col(label_col).cast("double").alias(label_col))
-                 .cache())
+    # read once for the split passes, the fit and the evaluation
+    data = (df.select(id_col, label_col, array_to_vector(F.col(vec_col)).alias("features"))
+            .persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        lr_model = fit_lr(train_vec, "features", label_col, C, max_iter, tol, n_train)
+        s = Sp.split(data, id_col, label_col if stratify else None)
+        fit_rows = s.where(F.col("split") == Sp.TRAIN)
+        test = s.where(F.col("split") == Sp.TEST)
+        train_vec = (fit_rows.select("features", F.col(label_col).cast("double").alias(label_col))
+                     .persist(StorageLevel.MEMORY_AND_DISK))
+        try:
+            n_train = train_vec.count()
+            lr_model = fit_lr(train_vec, "features", label_col, C, max_iter, tol, n_train)
+        finally:
+            train_vec.unpersist()
+        model = PipelineModel([lr_model])
+        cm = _materialise_cm(model, test, label_col)
+        return TrainResult(model, n_train, _rows_in(cm), cm, Ev.accuracy_f1(cm), Ev.classification_report(cm))
     finally:
-        train_vec.unpersist()
-    model = PipelineModel([lr_model])
-    n_test = test.count()
-    cm, m, rep = _evaluate(model, test, label_col)
-    return TrainResult(model, n_train, n_test, cm, m, rep)
+        data.unpersist()
 
 
 def probability(col="probability"):

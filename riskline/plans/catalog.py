@@ -22,7 +22,7 @@ from riskline.operators import split as Sp
 from riskline.operators.ranking import key_rank
 from riskline.sources import extract as Ex
 from riskline.sources import mail as M
-from riskline.sources.tables import table
+from riskline.sources.tables import spread_table, table
 
 VOCAB_K = 5000
 DIGITS = 6
@@ -49,47 +49,43 @@ def q_clean_mask(spark, sf):
     return u.select("kind", "id", T.clean_mask("text").alias("masked"))
 
 
+def _texts(spark, sf):
+    """documents, dealt out for work on their texts."""
+    return spread_table(spark, sf, "documents")
+
+
 def q_tokens(spark, sf):
-    return Fe.term_counts(table(spark, sf, "documents"), "doc_id")
+    return Fe.term_counts(_texts(spark, sf), "doc_id")
 
 
 # ---------------------------------------------------------------------------
 # Features (F*)
 
-def _doc_vocab(spark, sf):
-    docs = table(spark, sf, "documents")
-    vocab_idf, _ = Fe.fit_tfidf(docs, "doc_id", "text", VOCAB_K)
-    return vocab_idf
-
-
-def doc_linear_model(spark, sf) -> DataFrame:
+def doc_linear_model(spark, sf) -> Fe.TermModel:
     """Vocabulary + idf fitted on all documents, fixed hash weights (K5)."""
-    return _doc_vocab(spark, sf).withColumn("coef", Fe.hash_weight("term"))
+    vocab = Fe.fitted_vocabulary(_texts(spark, sf), "text", VOCAB_K)
+    return Fe.TermModel.of(vocab.withColumn("coef", Fe.hash_weight("term")))
 
 
 def q_vocabulary(spark, sf):
-    counts = Fe.term_counts(table(spark, sf, "documents"), "doc_id")
-    return Fe.vocabulary(counts, VOCAB_K).select("term", "total", "df", "idx")
+    return Fe.fitted_vocabulary(_texts(spark, sf), "text", VOCAB_K).select("term", "total", "df", "idx")
 
 
 def q_idf(spark, sf):
-    return _doc_vocab(spark, sf).select("term", _r("idf", "idf"))
+    return Fe.fitted_vocabulary(_texts(spark, sf), "text", VOCAB_K).select("term", _r("idf", "idf"))
 
 
 def q_tfidf(spark, sf):
-    docs = table(spark, sf, "documents")
-    vocab_idf = _doc_vocab(spark, sf)
-    w = Fe.tfidf(Fe.term_counts(docs, "doc_id"), vocab_idf, "doc_id", VOCAB_K)
+    docs = _texts(spark, sf)
+    w = Fe.tfidf_rows(docs, Fe.TermModel.of(Fe.fitted_vocabulary(docs, "text", VOCAB_K)), "doc_id")
     return w.select("doc_id", "term", _r("weight", "weight"))
 
 
 def q_score_linear(spark, sf):
-    docs = table(spark, sf, "documents")
-    s = Fe.score_linear(docs, "doc_id", "text", doc_linear_model(spark, sf))
+    s = Fe.score_linear(_texts(spark, sf), "doc_id", "text", doc_linear_model(spark, sf))
     return s.select("doc_id", _r("risk_score", "risk_score"), R.band("risk_score").alias("risk_band"))
 
 
-
 # ---------------------------------------------------------------------------
 # Labels (C2-C5) and assembly
 
@@ -100,7 +96,7 @@ PSEUDO_FILES = ["Enron.csv", "CEAS_08.csv", "Ling.csv", "Nazario.csv", "Nigerian
 
 
 def _docs_labelled(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    return _texts(spark, sf).join(table(spark, sf, "labels"), "doc_id")
 
 
 def q_assemble_text(spark, sf):
@@ -246,8 +242,7 @@ def q_split_sizes(spark, sf):
 def q_tfidf_holdout(spark, sf):
     s = Sp.split(_labelled_rows(spark, sf), "doc_id", "label")
     train, test = s.where(F.col("split") == Sp.TRAIN), s.where(F.col("split") == Sp.TEST)
-    vocab_idf, _ = Fe.fit_tfidf(train, "doc_id", "text", VOCAB_K)
-    w = Fe.tfidf(Fe.term_counts(test, "doc_id"), vocab_idf, "doc_id", VOCAB_K)
+    w = Fe.tfidf_rows(test, Fe.TermModel.of(Fe.fitted_vocabulary(train, "text", VOCAB_K)), "doc_id")
     return w.select("doc_id", "term", _r("weight", "weight"))
 
 
@@ -255,7 +250,7 @@ def q_tfidf_holdout(spark, sf):
 # Scoring, bands, preview
 
 def q_predict_struct(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", T.clean_basic("text").alias("clean"))
+    d = _texts(spark, sf).select("doc_id", T.clean_basic("text").alias("clean"))
     sc = Fe.score_linear(d, "doc_id", "clean", doc_linear_model(spark, sf), blank_guard=False)
     st = F.struct((F.col("risk_score") > 0.5).cast("int").alias("label"),
                   F.col("risk_score").alias("phishing_probability"))
@@ -264,7 +259,7 @@ def q_predict_struct(spark, sf):
 
 
 def q_risk_band(spark, sf):
-    s = Fe.score_linear(table(spark, sf, "documents"), "doc_id", "text", doc_linear_model(spark, sf))
+    s = Fe.score_linear(_texts(spark, sf), "doc_id", "text", doc_linear_model(spark, sf))
     return s.select("doc_id", T.round_score("risk_score").alias("risk_score"),
                     T.format_score("risk_score").alias("score_text"),
                     R.band("risk_score").alias("risk_band"), R.display("risk_score").alias("display"),
@@ -315,7 +310,7 @@ def q_extract_page_text(spark, sf):
 
 
 def q_scan_report(spark, sf):
-    p = table(spark, sf, "pages")
+    p = spread_table(spark, sf, "pages")
     ext = F.element_at(F.array(*[F.lit(e) for e in IMAGE_EXTS]), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
     files = p.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), ext).alias("filename"), "html")
     files = files.where(Ex.is_image_name("filename"))
@@ -377,7 +372,7 @@ def q_frame_sample(spark, sf):
 # Alerts and latest state (D7, L5, L6) on conversations scored by K5
 
 def _scored_conversations(spark, sf):
-    c = table(spark, sf, "conversations")
+    c = spread_table(spark, sf, "conversations")
     s = Fe.score_linear(c, "conv_id", "text", doc_linear_model(spark, sf), keep=("turn",))
     return s.withColumn("risk_band", R.band("risk_score"))
 
@@ -428,18 +423,10 @@ def q_lr_vectors_fit(spark, sf):
 # ---------------------------------------------------------------------------
 # Streaming (L3-L8): availableNow runs into the shared checkpoint folder, read back
 
-def _doc_model_table(spark, sf) -> DataFrame:
-    """The fixed linear model written once, so micro-batches read it instead of refitting."""
-    from riskline.session import scratch_path
-    path = scratch_path(spark, "doc-linear-model")
-    doc_linear_model(spark, sf).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _monitor_conversations(spark, sf) -> str:
     from riskline.session import scratch_path
     from riskline.streaming import stream as St
-    model = _doc_model_table(spark, sf)
+    model = doc_linear_model(spark, sf)
     out, ck = scratch_path(spark, "monitor"), scratch_path(spark, "monitor-ckpt")
     src = St.file_stream(spark, sf, "conversations.parquet")
 
