@@ -21,8 +21,7 @@ URL_MASK = " URL "
 EMAIL_MASK = " EMAIL "
 # Vectoriser token: maximal run of two or more word characters.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
-# Timestamp formats of capture names and run reports.
-CAPTURE_FORMAT = "yyyyMMdd_HHmmss"
+# Names of captures and the time format of run reports.
 REPORT_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 CAPTURE_PREFIX = "capture_"
 CAPTURE_SUFFIX = ".png"
@@ -120,9 +119,14 @@ def display_text(col) -> Column:
 
 
 def capture_name(ts_col) -> Column:
-    """``capture_<yyyyMMdd_HHmmss>.png`` (one-second resolution)."""
-    return F.concat(F.lit(CAPTURE_PREFIX), F.date_format(_c(ts_col), CAPTURE_FORMAT),
-                    F.lit(CAPTURE_SUFFIX))
+    """``capture_<yyyyMMdd_HHmmss>.png`` (one-second resolution).
+
+    Written from the time's fields as they stand, so a time without a zone has one
+    name under every session time zone (also in the hours a zone skips).
+    """
+    at = _c(ts_col).cast("timestamp_ntz").cast("string")
+    return F.concat(F.lit(CAPTURE_PREFIX), F.replace(F.substring(at, 1, 10), F.lit("-"), F.lit("")), F.lit("_"),
+                    F.replace(F.substring(at, 12, 8), F.lit(":"), F.lit("")), F.lit(CAPTURE_SUFFIX))
 
 
 def report_time(ts_col) -> Column:

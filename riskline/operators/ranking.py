@@ -42,7 +42,10 @@ def key_rank(df: DataFrame, keys: list[str], order: list[str], rank_col: str = "
     # At most one row per range for each key: this window is bounded by n.
     w = Window.partitionBy(*keys).orderBy("_pid")
     summary = summary.withColumn("_offset", F.sum("_cnt").over(w) - F.col("_cnt")).drop("_cnt")
-    out = ranged.join(summary, on=["_pid", *keys])
+    # null keys are a group like any other
+    summary = summary.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate(["_pid", *keys])], "_first", "_offset")
+    same = [F.col(c).eqNullSafe(F.col(f"_key{i}")) for i, c in enumerate(["_pid", *keys])]
+    out = ranged.join(summary, on=same).drop(*[f"_key{i}" for i in range(len(keys) + 1)])
     return (out.withColumn(rank_col, (F.col("_offset") + F.col("_pos") - F.col("_first") + 1).cast("bigint"))
                .drop("_pid", "_pos", "_first", "_offset"))
 

@@ -423,12 +423,28 @@ def q_lr_vectors_fit(spark, sf):
 # ---------------------------------------------------------------------------
 # Streaming (L3-L8): availableNow runs into the shared checkpoint folder, read back
 
+#: Micro-batches in which a table is streamed.
+BATCHES = 4
+
+
+def _as_stream(spark, sf, name, cols, order):
+    """A table as a stream of several files in the shared folder, each a range of ``order``. Files that one job writes
+    arrive in no certain order; each trigger takes some of them."""
+    from riskline.session import scratch_path
+    from riskline.streaming import stream as St
+    files = max(2 * BATCHES, spark.sparkContext.defaultParallelism)
+    path = scratch_path(spark, f"stream-{name}")
+    df = table(spark, sf, name).select(*cols)
+    df.repartitionByRange(files, *order).write.parquet(path)
+    return St.file_stream(spark, path, schema=df.schema, max_files_per_trigger=-(-files // BATCHES))
+
+
 def _monitor_conversations(spark, sf) -> str:
     from riskline.session import scratch_path
     from riskline.streaming import stream as St
     model = doc_linear_model(spark, sf)
     out, ck = scratch_path(spark, "monitor"), scratch_path(spark, "monitor-ckpt")
-    src = St.file_stream(spark, sf, "conversations.parquet")
+    src = _as_stream(spark, sf, "conversations", ["conv_id", "turn", "text"], ["turn", "conv_id"])
 
     def scorer(batch):
         s = Fe.score_linear(batch, "conv_id", "text", model, keep=("turn",))
@@ -453,29 +469,34 @@ def q_stream_alerts(spark, sf):
 
 def q_stream_latest_state(spark, sf):
     from riskline.streaming import stream as St
-    out = _monitor_conversations(spark, sf)
-    s = St.read_state(spark, out)
+    s = St.read_state(spark, _monitor_conversations(spark, sf), "conv_id", "turn")
     return s.select("conv_id", "turn", _r("risk_score", "risk_score"), "risk_band")
 
 
 def q_stream_frame_sample(spark, sf):
+    """Frames arrive in time order, a quarter of them between two runs; each run goes on from the checkpoint."""
     from riskline.session import scratch_path
     from riskline.streaming import stream as St
-    src = St.file_stream(spark, sf, "events.parquet").select("user_id", "event_id", "ts")
-    sampled = St.sample_frames(src, FRAME_EVERY, key="user_id", order=["ts", "event_id"])
-    out, ck = scratch_path(spark, "frames"), scratch_path(spark, "frames-ckpt")
-    par = spark.sparkContext.defaultParallelism
-    St.run_to_parquet(sampled, out, ck, state_partitions=par).awaitTermination()
-    return spark.read.parquet(out).select("user_id", "event_id", "frame_no")
+    src, out, ck = (scratch_path(spark, n) for n in ("stream-events", "frames", "frames-ckpt"))
+    e = table(spark, sf, "events").select("user_id", "event_id", "ts")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = e.select(at.alias("at")).approxQuantile("at", [i / BATCHES for i in range(1, BATCHES)], 0.01)
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds, bounds[1:]):
+        part = e.where((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high))
+        part.write.mode("append").parquet(src)
+        frames = St.file_stream(spark, src, schema=e.schema)
+        St.count_frames(frames, "user_id", ["ts", "event_id"], out, ck, FRAME_EVERY).awaitTermination()
+    return St.read_frames(spark, out).select("user_id", "event_id", "frame_no")
 
 
 def q_stream_capture_names(spark, sf):
+    """Files arrive in no order of time."""
     from riskline.session import scratch_path
     from riskline.streaming import stream as St
-    src = St.file_stream(spark, sf, "events.parquet").select("event_id", "ts")
+    src = _as_stream(spark, sf, "events", ["event_id", "ts"], ["event_id"])
     out, ck = scratch_path(spark, "captures"), scratch_path(spark, "captures-ckpt")
-    par = spark.sparkContext.defaultParallelism
-    St.capture_stream(src, "ts", "event_id", out, ck, state_partitions=par).awaitTermination()
+    St.capture_stream(src, "ts", "event_id", out, ck).awaitTermination()
     return St.read_captures(spark, out, "event_id")
 
 

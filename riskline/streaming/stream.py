@@ -4,12 +4,14 @@
 * ``monitor``: one streaming query; each micro-batch is scored with the same
   batch operators (``foreachBatch``) and written to three outputs:
   ``scores/`` (every record), ``alerts/`` (MEDIUM/HIGH, every time: no
-  de-duplication) and ``state/`` (latest record per stream key). Failed
-  extractions go to ``dead_letter/`` and never raise an alert. Each output is
-  partitioned by batch id and overwritten per batch, so a replayed batch
-  after a failure rewrites exactly its own files.
-* ``sample_frames``: every N-th frame per stream; stateless with an explicit
-  frame number, else a per-key counter in ``applyInPandasWithState``.
+  de-duplication) and ``state/`` (latest record per stream key, a change log).
+  Failed extractions go to ``dead_letter/`` and never raise an alert; ``replay``
+  tries them again. Each output is partitioned by batch id and overwritten per
+  batch, so a replayed batch after a failure rewrites exactly its own files.
+* ``sample_frames``: every N-th frame of a stream with explicit frame numbers;
+  ``count_frames``: the same where frames must be counted, by exact ranks within
+  the batch after the counts of a change log.
+* ``capture_stream``: one capture a second, the last write wins however late.
 
 Triggers: ``processingTime`` for the fixed-interval loops (L1 2 s, L2 3 s),
 ``availableNow`` for "process what is there, then stop" (L8, tests).
@@ -18,19 +20,18 @@ Triggers: ``processingTime`` for the fixed-interval loops (L1 2 s, L2 3 s),
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from riskline.functions import risk as R
+from riskline.functions.text import capture_name
+from riskline.operators.ranking import key_rank
 from riskline.sources.extract import STATUS_OK
+from riskline.streaming.keyed_log import KeyedLog, latest_log, numbered
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour for right results).
@@ -71,47 +72,8 @@ def _trigger(writer, trigger):
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    (df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("batch_id").parquet(path))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def _latest_version(spark: SparkSession, path: str, before: int) -> str | None:
-    """Path of the newest state snapshot with batch id < ``before`` (listing only)."""
-    if not _exists(spark, path):
-        return None
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    best = None
-    for st in fs.listStatus(p):
-        n = st.getPath().getName()
-        if st.isDirectory() and n.startswith("v="):
-            v = int(n[2:])
-            if v < before and (best is None or v > best):
-                best = v
-    return None if best is None else f"{path}/v={best}"
-
-
-def _drop_versions_before(spark: SparkSession, path: str, keep: str | None) -> None:
-    """Retention: delete state snapshots older than ``keep`` (the one the newest
-    snapshot was built from stays, so a replayed batch can rebuild it)."""
-    if keep is None:
-        return
-    keep_v = int(keep.rsplit("v=", 1)[1])
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for st in fs.listStatus(p):
-        n = st.getPath().getName()
-        if st.isDirectory() and n.startswith("v=") and int(n[2:]) < keep_v:
-            fs.delete(st.getPath(), True)
+    """Overwrite one batch's folder; a batch without rows leaves an empty file that names the columns."""
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, cols: list[str]) -> DataFrame:
@@ -145,13 +107,8 @@ def monitor(stream_df: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_
         try:
             _write_batch(scored, scores, batch_id)
             _write_batch(scored.where(R.is_alert("risk_band")), alerts, batch_id)
-            cols = state_cols or [c for c in scored.columns if c not in (key, order)]
-            latest = latest_per_key(scored, key, order, cols)
-            prev = _latest_version(spark, state, batch_id)
-            if prev is not None:
-                latest = latest_per_key(spark.read.parquet(prev).unionByName(latest), key, order, cols)
-            latest.write.mode("overwrite").parquet(f"{state}/v={batch_id}")
-            _drop_versions_before(spark, state, prev)
+            log = _state_log(spark, state, key, order, scored, state_cols)
+            log.append(scored.select(*log_columns(log)), batch_id)
         finally:
             scored.unpersist()
 
@@ -159,128 +116,109 @@ def monitor(stream_df: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_
     return _trigger(w, trigger).start()
 
 
-def read_state(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Latest snapshot of the monitor's per-key state."""
-    v = _latest_version(spark, f"{out_dir}/state", 1 << 62)
-    if v is None:
+def _state_log(spark: SparkSession, path: str, key: str, order: str, rows: DataFrame,
+               state_cols: list[str] | None = None) -> KeyedLog:
+    cols = state_cols or [c for c in rows.columns if c not in (key, order)]
+    fields = [(c, rows.schema[c].dataType.simpleString()) for c in (key, order, *cols)]
+    return latest_log(spark, path, key, order, fields)
+
+
+def log_columns(log: KeyedLog) -> list[str]:
+    return [f.name for f in Ty.StructType.fromDDL(log.schema).fields]
+
+
+def read_state(spark: SparkSession, out_dir: str, key: str, order: str) -> DataFrame:
+    """The monitor's latest row of every key."""
+    path = f"{out_dir}/state"
+    written = numbered(spark, f"{path}/changes", "batch_id=")
+    if not written:
         raise FileNotFoundError("no state written yet")
-    return spark.read.parquet(v)
+    rows = spark.read.parquet(f"{path}/changes/batch_id={written[-1]}")  # for its schema
+    return _state_log(spark, path, key, order, rows).read()
 
 
-def sample_frames(stream_df: DataFrame, every: int = SAMPLE_EVERY, frame_col: str | None = None,
-                  key: str | None = None, order: list[str] | None = None,
-                  idle_timeout: str | None = None) -> DataFrame:
-    """Keep frames whose 1-based number is a multiple of ``every``.
+def sample_frames(df: DataFrame, frame_col: str, every: int = SAMPLE_EVERY) -> DataFrame:
+    """Frames whose 1-based number is a multiple of ``every``, the number being given: a stateless filter that
+    reaches the source."""
+    return df.where(F.col(frame_col) % every == 0)
 
-    With ``frame_col`` the number is given and the filter is stateless (and is
-    pushed to the source). Otherwise a counter per ``key`` is kept in state:
-    each micro-batch's rows of a key are numbered in ``order`` after the rows
-    already seen, so files must arrive in that order. Only the count is held
-    per key (one long); ``idle_timeout`` drops keys that stay silent.
-    """
-    if frame_col is not None:
-        return stream_df.where(F.col(frame_col) % every == 0)
-    if key is None or not order:
-        raise ValueError("key and order are needed without an explicit frame number")
-    fields = stream_df.schema.fields
-    out_schema = Ty.StructType(fields + [Ty.StructField("frame_no", Ty.LongType())])
-    state_schema = Ty.StructType([Ty.StructField("seen", Ty.LongType())])
-    names = [f.name for f in fields]
-
-    def count_frames(_key, pdfs, st):
-        if st.hasTimedOut:
-            st.remove()
-            return
-        seen = st.get[0] if st.exists else 0
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(order, kind="mergesort")
-        n = len(pdf)
-        frame_no = np.arange(seen + 1, seen + n + 1, dtype=np.int64)
-        keep = frame_no % every == 0
-        st.update((int(seen + n),))
-        if idle_timeout:
-            st.setTimeoutDuration(idle_timeout)
-        if keep.any():
-            yield pdf.loc[keep, names].assign(frame_no=frame_no[keep])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout else GroupStateTimeout.NoTimeout
-    return stream_df.groupBy(key).applyInPandasWithState(count_frames, out_schema, state_schema,
-                                                         "append", timeout)
-
-
-@contextmanager
-def _start_conf(spark: SparkSession, settings: dict):
-    """Start a query under extra session settings.
-
-    A streaming query clones the session when it starts (and keeps the number
-    of state partitions in its checkpoint), so the caller's settings are
-    restored right after ``start()`` without affecting the running query.
+
+def _frame_log(spark: SparkSession, path: str, key: str, kind: str) -> KeyedLog:
+    return KeyedLog(spark, path, [key], lambda: [F.sum("seen").alias("seen")], f"`{key}` {kind}, seen long")
+
+
+def count_frames(stream_df: DataFrame, key: str, order: list[str], out_dir: str, checkpoint: str,
+                 every: int = SAMPLE_EVERY, trigger: str | None = "availableNow") -> StreamingQuery:
+    """L3/D6 without frame numbers: count the frames of every ``key`` and keep each ``every``-th, with its ``frame_no``.
+
+    A micro-batch ranks its frames exactly within their key (``key_rank``: a key with a
+    third of all frames is cut into ranges, none is held in one task) and numbers them
+    after those its key had before. The counts are a change log with one row for each
+    key of the batch; it is read in full (two narrow columns a key) and written only
+    for the keys that changed. Counts are never forgotten, so numbers never restart.
+    Files must arrive in ``order``, which must be unique within a key.
     """
-    prev = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, str(v))
-    try:
-        yield
-    finally:
-        for k, v in prev.items():
-            if v is None:
-                spark.conf.unset(k)
-            else:
-                spark.conf.set(k, v)
+    spark = stream_df.sparkSession
+    kind = stream_df.schema[key].dataType.simpleString()
 
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        log = _frame_log(batch.sparkSession, f"{out_dir}/counts", key, kind)
+        ranked = key_rank(batch, [key], order, "_rank")
+        before = log.read(before=batch_id).withColumnRenamed("seen", "_seen").withColumnRenamed(key, "_key")
+        ranked = ranked.join(before, F.col(key).eqNullSafe(F.col("_key")), "left")
+        frame_no = (F.coalesce("_seen", F.lit(0)) + F.col("_rank")).alias("frame_no")
+        kept = ranked.select(*batch.columns, frame_no).where(F.col("frame_no") % every == 0)
+        _write_batch(kept, f"{out_dir}/frames", batch_id)
+        log.append(batch.select(key, F.lit(1).cast("long").alias("seen")), batch_id)
+
+    w = stream_df.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
+
+
+def read_frames(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Frames kept so far."""
+    return spark.read.parquet(f"{out_dir}/frames").drop("batch_id")
 
-def _shuffle_partitions(spark: SparkSession, n: int | None):
-    """Start a query with ``n`` shuffle (= state store) partitions."""
-    return _start_conf(spark, {"spark.sql.shuffle.partitions": n} if n else {})
+
+def _capture_log(spark: SparkSession, path: str, id_col: str, kinds: tuple[str, str]) -> KeyedLog:
+    def merge():
+        last = F.max(F.struct("written", id_col))  # equal times: the larger id
+        return [last.getField("written").alias("written"), last.getField(id_col).alias(id_col),
+                F.sum("n_writes").alias("n_writes")]
+    return KeyedLog(spark, path, ["capture_name"], merge,
+                    f"capture_name string, written {kinds[0]}, `{id_col}` {kinds[1]}, n_writes long")
 
 
 def capture_stream(stream_df: DataFrame, ts_col: str, id_col: str, out_dir: str, checkpoint: str,
-                   delay: str = "1 minute", trigger: str | None = "availableNow",
-                   state_partitions: int | None = None) -> StreamingQuery:
-    """A9 on a stream: one capture name per second of event time, last write wins.
-
-    Event-time tumbling windows of one second with a watermark: state is kept
-    only for seconds newer than ``delay`` behind the latest event, rows later
-    than that are dropped. Update mode emits the seconds that changed in each
-    micro-batch; they are written per batch id (replay-safe) and
-    ``read_captures`` keeps the newest version of each name. The query runs in
-    UTC so a zone-less timestamp maps to event time without DST shifts.
+                   trigger: str | None = "availableNow") -> StreamingQuery:
+    """A9 on a stream: one capture for each second (its name), last write wins without a horizon.
+
+    Each micro-batch appends the names it wrote, with the last write and the number of
+    writes, to a change log that is merged when it is read: a capture that arrives
+    late, however late, is counted and wins if it was written last. A time without a
+    zone gives the same name under every session time zone.
     """
-    ev = stream_df.select(F.col(ts_col).cast("timestamp").alias("_et"), id_col)
-    agg = (ev.withWatermark("_et", delay)
-             .groupBy(F.window("_et", "1 second").alias("_w"))
-             .agg(F.max_by(id_col, "_et").alias(id_col), F.count(F.lit(1)).alias("n_writes")))
-    named = agg.select(F.concat(F.lit("capture_"), F.date_format("_w.start", "yyyyMMdd_HHmmss"),
-                                F.lit(".png")).alias("capture_name"), id_col, "n_writes")
+    kinds = tuple(stream_df.schema[c].dataType.simpleString() for c in (ts_col, id_col))
+    rows = stream_df.select(capture_name(ts_col).alias("capture_name"), F.col(ts_col).alias("written"), id_col,
+                            F.lit(1).cast("long").alias("n_writes"))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, out_dir, batch_id)
+        _capture_log(batch.sparkSession, out_dir, id_col, kinds).append(batch, batch_id)
 
-    w = (named.writeStream.outputMode("update").foreachBatch(per_batch)
-               .option("checkpointLocation", checkpoint))
-    settings = {"spark.sql.session.timeZone": "UTC"}
-    if state_partitions:
-        settings["spark.sql.shuffle.partitions"] = state_partitions
-    with _start_conf(stream_df.sparkSession, settings):
-        return _trigger(w, trigger).start()
+    w = rows.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
 
 
-def read_captures(spark: SparkSession, out_dir: str, id_col: str) -> DataFrame:
-    """Newest emitted version of each capture name (highest batch id)."""
-    d = spark.read.parquet(out_dir)
-    last = d.groupBy("capture_name").agg(F.max_by(F.struct(id_col, "n_writes"), "batch_id").alias("_s"))
-    return last.select("capture_name", f"_s.{id_col}", "_s.n_writes")
+def read_captures(spark: SparkSession, out_dir: str, id_col: str, id_type: str = "long",
+                  ts_type: str = "timestamp_ntz") -> DataFrame:
+    """capture_name, the id that was written last, and the number of writes."""
+    return _capture_log(spark, out_dir, id_col, (ts_type, id_type)).read().drop("written")
 
 
 def run_to_parquet(df: DataFrame, path: str, checkpoint: str, trigger: str | None = "availableNow",
-                   partition_by: str | None = None, state_partitions: int | None = None) -> StreamingQuery:
-    """Append a streaming DataFrame to parquet (file sink: exactly-once via its log).
-
-    ``state_partitions`` sets the state store partitions of a stateful query
-    on its first start (e.g. the cluster's parallelism); later restarts reuse
-    the number recorded in the checkpoint.
-    """
+                   partition_by: str | None = None) -> StreamingQuery:
+    """Append a streaming DataFrame to parquet (file sink: exactly-once via its log)."""
     w = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     if partition_by:
         w = w.partitionBy(partition_by)
-    with _shuffle_partitions(df.sparkSession, state_partitions):
-        return _trigger(w.outputMode("append"), trigger).start()
+    return _trigger(w.outputMode("append"), trigger).start()

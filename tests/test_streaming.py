@@ -23,11 +23,9 @@ def _sampled(spark, tmp_dir, counts, max_files=None):
     _frames(spark, src_dir, counts)
     src = (spark.readStream.schema("user_id long, event_id long, ts long")
            .option("maxFilesPerTrigger", max_files or 1000).option("recursiveFileLookup", "true").parquet(src_dir))
-    out = St.sample_frames(src, 30, key="user_id", order=["ts", "event_id"])
-    St.run_to_parquet(out, os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")).awaitTermination()
-    if not os.path.exists(os.path.join(tmp_dir, "out")):
-        return []
-    return sorted(r.frame_no for r in spark.read.parquet(os.path.join(tmp_dir, "out")).collect())
+    out = os.path.join(tmp_dir, "out")
+    St.count_frames(src, "user_id", ["ts", "event_id"], out, os.path.join(tmp_dir, "ck")).awaitTermination()
+    return sorted(r.frame_no for r in St.read_frames(spark, out).collect())
 
 
 @pytest.mark.parametrize("n,expected", [(29, []), (30, [30]), (60, [30, 60]), (61, [30, 60])])
@@ -42,7 +40,7 @@ def test_counter_survives_micro_batches(spark, tmp_dir):
 
 def test_explicit_frame_number_is_stateless(spark):
     df = spark.createDataFrame([(i,) for i in range(1, 62)], "frame_no long")
-    assert [r[0] for r in St.sample_frames(df, 30, frame_col="frame_no").collect()] == [30, 60]
+    assert [r[0] for r in St.sample_frames(df, "frame_no", 30).collect()] == [30, 60]
 
 
 def test_stream_equals_batch(spark):
@@ -73,7 +71,7 @@ def test_monitor_dead_letter(spark, tmp_dir):
     alerts = spark.read.parquet(f"{out}/alerts").collect()
     # a non-blank text without any known term scores sigma(0) = 0.5 -> MEDIUM, which alerts
     assert sorted((a.stream_id, a.seq, a.risk_band) for a in alerts) == [(1, 1, "HIGH"), (2, 1, "MEDIUM")]
-    state = {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out).collect()}
+    state = {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out, "stream_id", "seq").collect()}
     assert state == {1: (1, "HIGH"), 2: (1, "MEDIUM")}
 
 
@@ -105,37 +103,38 @@ def test_processing_time_trigger_start_and_stop(spark, tmp_dir):
     finally:
         q.stop()
     assert not q.isActive
-    state = {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out).collect()}
+    state = {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out, "stream_id", "seq").collect()}
     assert state == {1: (2, "MEDIUM"), 2: (1, "HIGH")}
     assert spark.read.parquet(f"{out}/scores").count() == 3
-    # retention: only the newest snapshot and the one it was built from remain
-    versions = sorted(int(n[2:]) for n in os.listdir(f"{out}/state") if n.startswith("v="))
-    assert len(versions) == 2 and versions[1] == versions[0] + 1
 
 
-def test_capture_stream_watermark_and_last_write(spark, tmp_dir):
+def test_late_captures_win_under_every_zone(spark, tmp_dir):
     import datetime as dt
     src_dir = os.path.join(tmp_dir, "caps")
-    t0 = dt.datetime(2024, 1, 1, 0, 0, 0)
+    t0 = dt.datetime(2024, 3, 10, 2, 30, 0)  # an hour that New York skips
     batches = [
         [(1, t0 + dt.timedelta(milliseconds=100)), (2, t0 + dt.timedelta(milliseconds=500)),
          (3, t0 + dt.timedelta(minutes=5))],
-        # id 4 is behind the watermark, but its second's state still exists: it counts (as in batch)
         [(4, t0 + dt.timedelta(milliseconds=900)), (5, t0 + dt.timedelta(minutes=5, milliseconds=700))],
-        # that state was evicted at the end of the previous batch: id 6 arrives too late and is dropped
-        [(6, t0 + dt.timedelta(milliseconds=950))],
+        [(6, t0 + dt.timedelta(milliseconds=950)), (7, t0 + dt.timedelta(days=9))],
+        [(8, t0 + dt.timedelta(milliseconds=200)), (9, None)],  # days late, and not the last of its second
     ]
     for i, rows in enumerate(batches):
         spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").coalesce(1) \
             .write.mode("overwrite").parquet(os.path.join(src_dir, f"part{i}"))
-    src = (spark.readStream.schema("event_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1)
-           .option("recursiveFileLookup", "true").parquet(src_dir))
     tz = spark.conf.get("spark.sql.session.timeZone")
-    out = os.path.join(tmp_dir, "out")
-    St.capture_stream(src, "ts", "event_id", out, os.path.join(tmp_dir, "ck"), delay="1 minute").awaitTermination()
-    assert spark.conf.get("spark.sql.session.timeZone") == tz
-    got = {r.capture_name: (r.event_id, r.n_writes) for r in St.read_captures(spark, out, "event_id").collect()}
-    assert got == {"capture_20240101_000000.png": (4, 3), "capture_20240101_000500.png": (5, 2)}
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            src = (spark.readStream.schema("event_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1)
+                   .option("recursiveFileLookup", "true").parquet(src_dir))
+            out = os.path.join(tmp_dir, zone.replace("/", "-"))
+            St.capture_stream(src, "ts", "event_id", out, out + "-ck").awaitTermination()
+            got = {r.capture_name: (r.event_id, r.n_writes) for r in St.read_captures(spark, out, "event_id").collect()}
+            assert got == {"capture_20240310_023000.png": (6, 5), "capture_20240310_023500.png": (5, 2),
+                           "capture_20240319_023000.png": (7, 1), None: (9, 1)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
 
 
 def test_monitor_with_trained_pipeline(spark, tmp_dir):
@@ -150,5 +149,62 @@ def test_monitor_with_trained_pipeline(spark, tmp_dir):
                os.path.join(tmp_dir, "ck"), key="stream_id", order="seq", trigger="availableNow").awaitTermination()
     alerts = [(r.stream_id, r.seq) for r in spark.read.parquet(f"{out}/alerts").collect()]
     assert alerts == [(1, 1)]
-    state = {r.stream_id: (r.seq, r.risk_band, r.risk_score) for r in St.read_state(spark, out).collect()}
+    state = {r.stream_id: (r.seq, r.risk_band, r.risk_score) for r in St.read_state(spark, out, "stream_id", "seq").collect()}
     assert state[1][:2] == (2, "LOW") and state[2] == (1, "LOW", 0.0)
+
+
+def _log(spark, path):
+    from riskline.streaming.keyed_log import latest_log
+    return latest_log(spark, path, "k", "o", [("k", "string"), ("o", "long"), ("v", "string")])
+
+
+def _size(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(path) for f in fs)
+
+
+def test_keyed_log_writes_what_changed_and_compacts(spark, tmp_dir):
+    log = _log(spark, tmp_dir)
+    assert log.read().count() == 0
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("k"), F.lit(0).cast("long").alias("o"),
+                                      F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    log.append(many, 0)
+    few = spark.createDataFrame([("5", 1, "new"), ("x", 1, "new"), ("5", 3, "newest"), (None, 1, "no key")], "k string, o long, v string")
+    log.append(few, 1)
+    # the second batch merges into a base once; the next small ones only add what they changed
+    before = _size(f"{tmp_dir}/base")
+    log.append(spark.createDataFrame([("7", 1, "late")], "k string, o long, v string"), 2)
+    log.append(spark.createDataFrame([("7", 0, "older"), ("8", -1, "older")], "k string, o long, v string"), 3)
+    assert _size(f"{tmp_dir}/base") == before
+    assert max(_size(f"{tmp_dir}/changes/batch_id={b}") for b in (2, 3)) < before / 20
+    for _ in range(2):  # replaying a batch changes nothing
+        got = {r.k: (r.o, r.v) for r in log.read().where("k in ('5', '7', 'x') or k is null").collect()}
+        assert got == {"5": (3, "newest"), "7": (1, "late"), "x": (1, "new"), None: (1, "no key")}
+        assert log.read().count() == 20_002 and log.read().where("k = '8' and o = 0").count() == 1
+        log.append(spark.createDataFrame([("7", 0, "older"), ("8", -1, "older")], "k string, o long, v string"), 3)
+    assert log.read(before=1).count() == 20_000
+
+
+def test_keyed_log_ignores_a_torn_base(spark, tmp_dir):
+    log = _log(spark, tmp_dir)
+    for b in range(3):
+        log.append(spark.createDataFrame([("a", b, "v%d" % b)], "k string, o long, v string"), b)
+    log.compact(2)
+    os.remove(f"{tmp_dir}/base/v=2/_SUCCESS")
+    assert [tuple(r) for r in log.read().collect()] == [("a", 2, "v2")]
+
+
+def test_count_frames_of_a_hot_stream(spark, tmp_dir):
+    """A third of a batch in one stream, null keys, several batches: the numbers go on and equal a plain count."""
+    from pyspark.sql import Window
+    src = os.path.join(tmp_dir, "src")
+    every = spark.range(9_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.col("id") % 40)
+        .cast("long").alias("user_id"), F.col("id").alias("event_id"), F.col("id").alias("ts"))
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    for low in range(0, 9_000, 3_000):
+        every.where(F.col("ts").between(low, low + 2_999)).write.mode("append").parquet(src)
+        St.count_frames(St.file_stream(spark, src), "user_id", ["ts", "event_id"], out, ck, 30).awaitTermination()
+    got = {tuple(r) for r in St.read_frames(spark, out).select("user_id", "event_id", "frame_no").collect()}
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    want = every.withColumn("frame_no", F.row_number().over(w)).where("frame_no % 30 = 0")
+    assert got == {tuple(r) for r in want.select("user_id", "event_id", "frame_no").collect()}
