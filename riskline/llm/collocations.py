@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,8 @@ ROUND = 20_000
 
 #: Piece ends become a line feed, tabs a space; everything else belongs to words.
 PIECES = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n\n\n\n\n\n\n\n\n ")
+#: Stands between pieces as a word of its own, number 0; no text holds this byte.
+BREAK = b"\xff"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: One constant a shard: hashes of one phrase in two shards take different places of a bitmap.
 SALTS = mix64(np.arange(1, 65, dtype=np.uint64) * GOLDEN)
@@ -60,25 +63,23 @@ def prepared(df: DataFrame, shards: int = SHARDS) -> DataFrame:
 # Inside tasks -----------------------------------------------------------------------
 
 class Block:
-    """Words of some texts as ids in order of place, -1 between pieces; one stream a (shard, language)."""
+    """Words of some texts as ids in order of place, 0 between pieces; one stream a (shard, language)."""
 
     def __init__(self):
-        self.ids, self.parts, self.size = Counter64(), {}, 0
+        self.ids, self.parts, self.size = Counter64({BREAK: 0}), {}, 0
 
     def add(self, shard: int, lang: str, text: str) -> None:
-        out, get = [-1], self.ids.__getitem__
-        for piece in lower_ascii(text).translate(PIECES).split(b"\n"):
-            words = piece.split()
-            if words:
-                out.extend(map(get, words))
-                out.append(-1)
-        self.parts.setdefault((shard, lang), []).append(np.array(out, np.int32))
-        self.size += len(out)
+        words = (lower_ascii(text).translate(PIECES).replace(b"\n", b" \xff ") + b" \xff").split()
+        self.parts.setdefault((shard, lang), [np.zeros(1, np.int32)]).append(
+            np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words)))
+        self.size += len(words)
 
     def close(self) -> None:
         """Words and their hashes by id, once no more texts are added."""
-        self.words = list(self.ids)
-        self.base = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
+        words = list(self.ids)
+        self.base = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        words[0] = b""
+        self.words = pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string())
 
     def streams(self) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
         """Shard, language, ids, and the hash of every word in that language."""
@@ -113,15 +114,24 @@ def places(stream: np.ndarray, size: int, good: np.ndarray) -> np.ndarray:
     n = len(stream) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    ok = np.append(good, False)[stream]  # -1 reads the last
+    ok = good[stream] & (stream > 0)
     run = ok[:n].copy()
     for j in range(1, size):
         run &= ok[j:j + n]
     return np.flatnonzero(run)
 
 
-def _strings(words: list[bytes]) -> pa.Array:
-    return pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string())
+def distinct(grams: list[np.ndarray], words: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns ``grams`` (ids below ``words``) and how often each occurs."""
+    bits = max(words - 1, 1).bit_length()
+    if bits * len(grams) < 64:
+        packed = np.zeros(len(grams[0]), np.int64)
+        for g in grams:
+            packed = packed << bits | g
+        packed, counts = np.unique(packed, return_counts=True)
+        return [packed >> bits * j & (1 << bits) - 1 for j in reversed(range(len(grams)))], counts
+    rows, counts = np.unique(np.stack(grams, 1), axis=0, return_counts=True)
+    return list(rows.T), counts
 
 
 def _full(value, n: int, kind) -> pa.Array:
@@ -132,12 +142,13 @@ def _count_words(batches):
     """Words of every language, and (with a null phrase) the number of words of every shard and language."""
     for block in blocks(batches):
         for shard, lang, stream, hashes in block.streams():
-            counts = np.bincount(stream[stream >= 0], minlength=len(hashes))
+            counts = np.bincount(stream, minlength=len(hashes))
+            counts[0] = 0
             seen = np.flatnonzero(counts)
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([None] * len(seen) + [shard], pa.int32()),
                 "lang": _full(lang, len(seen) + 1, pa.string()),
-                "phrase": pa.concat_arrays([_strings([block.words[i] for i in seen.tolist()]), pa.nulls(1, pa.string())]),
+                "phrase": pa.concat_arrays([block.words.take(pa.array(seen)), pa.nulls(1, pa.string())]),
                 "key": pa.concat_arrays([pa.array(hashes[seen].view(np.int64)), pa.array([0])]),
                 "n": pa.array(np.append(counts[seen], counts.sum()).astype(np.int64))})
 
@@ -172,13 +183,10 @@ def _count(words, found: dict) -> Callable:
                     at = at[bits.value.has(phrase_hash(hashes, stream, at, size))]
                     if not len(at):
                         continue
-                    grams = np.stack([stream[at + j] for j in range(size)], 1)
-                    grams = grams[np.lexsort(grams.T)]
-                    first = np.flatnonzero(np.append(True, (grams[1:] != grams[:-1]).any(1)))
-                    counts = np.diff(np.append(first, len(grams)))
-                    text = [b" ".join([block.words[i] for i in g]) for g in grams[first].tolist()]
+                    grams, counts = distinct([stream[at + j] for j in range(size)], len(hashes))
+                    text = pc.binary_join_element_wise(*[block.words.take(pa.array(g)) for g in grams], " ")
                     yield pa.RecordBatch.from_pydict({
-                        "lang": _full(lang, len(text), pa.string()), "phrase": _strings(text),
+                        "lang": _full(lang, len(text), pa.string()), "phrase": text,
                         "size": _full(size, len(text), pa.int32()), "n": pa.array(counts.astype(np.int64))})
     return run
 
