@@ -6,9 +6,9 @@ but never routes a whole key to one task: rows are range-partitioned on
 ranges; each range numbers its rows locally, and a small summary
 (one row per (range, key)) supplies the offsets.
 
-``smallest_k_threshold`` finds, per stratum, the k-th smallest value of a
-composite unsigned key by radix histograms: each pass is one scan plus an
-aggregate of at most 65,536 buckets per stratum; usually two passes settle it.
+``thresholds`` finds, per stratum, the k-th smallest value of a composite unsigned
+key by radix histograms: each pass is one scan plus an aggregate of at most 65,536
+buckets per stratum; usually two passes settle it.
 """
 
 from __future__ import annotations
@@ -67,69 +67,41 @@ def _digits(h: Column, tie: Column) -> list[Column]:
     return ds
 
 
-def smallest_k_threshold(df: DataFrame, stratum: str, h: str, tie: str,
-                         need: dict, totals: dict | None = None) -> dict:
-    """Per stratum value s, a digit path P_s such that exactly ``need[s]`` rows
-    have digits lexicographically <= P_s (compare only the first len(P_s) digits).
+def thresholds(df: DataFrame, stratum: str, h: str, tie: str, need: dict) -> DataFrame:
+    """(stratum, path): the digits such that exactly ``need[s]`` = (k, rows) rows of stratum s have digits
+    <= the path (compared over the path's length); the empty path takes all rows, [-1] none.
 
-    Returns {s: (path list[int]) or "none" or "all"}.
+    ``need`` holds the strata worth a threshold (``split`` passes at most 1000). Each pass counts the
+    rows that share a stratum's path so far by their next digit (at most 65,536 buckets a stratum) and
+    picks the bucket the k-th row is in; one row a stratum reaches the driver.
     """
-    hcol, tcol = F.col(h), F.col(tie)
-    digits = _digits(hcol, tcol)
-    result: dict = {}
-    state = {}  # s -> (prefix list, remaining need)
-    if totals is None:
-        totals = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
-    for s, k in need.items():
-        tot = totals.get(s, 0)
-        if k <= 0:
-            result[s] = "none"
-        elif k >= tot:
-            result[s] = "all"
-        else:
-            state[s] = ([], k)
-    level = 0
-    while state and level < len(digits):
-        cond = F.lit(False)
-        for s, (prefix, _) in state.items():
-            c = F.col(stratum) == F.lit(s)
-            for i, d in enumerate(prefix):
-                c = c & (digits[i] == F.lit(d))
-            cond = cond | c
-        hist = (df.where(cond).groupBy(stratum, digits[level].alias("_d")).count().collect())
-        by_s: dict = {}
-        for row in hist:
-            by_s.setdefault(row[0], []).append((row[1], row[2]))
-        new_state = {}
-        for s, (prefix, k) in state.items():
-            cum = 0
-            for d, c in sorted(by_s.get(s, [])):
-                if cum + c >= k:
-                    if cum + c == k or level == len(digits) - 1:
-                        result[s] = prefix + [d]
-                    else:
-                        new_state[s] = (prefix + [d], k - cum)
-                    break
-                cum += c
-        state = new_state
-        level += 1
-    return result
-
-
-def below_threshold(stratum: str, h: str, tie: str, paths: dict) -> Column:
-    """Boolean column: the row's key is within its stratum's threshold path."""
-    digits = _digits(F.col(h), F.col(tie))
-    cond = F.lit(False)
-    for s, path in paths.items():
-        in_s = F.col(stratum) == F.lit(s)
-        if path == "none":
-            continue
-        if path == "all":
-            cond = cond | in_s
-            continue
-        # lexicographic (d_0..d_{m-1}) <= (p_0..p_{m-1})
-        le = F.lit(True)
-        for i in reversed(range(len(path))):
-            le = (digits[i] < F.lit(path[i])) | ((digits[i] == F.lit(path[i])) & le)
-        cond = cond | (in_s & le)
-    return cond
+    spark = df.sparkSession
+    kind = df.schema[stratum].dataType.simpleString()
+    digits = F.array(*_digits(F.col(h), F.col(tie)))
+    paths = {s: [-1] if k <= 0 else [] for s, (k, rows) in need.items() if k <= 0 or k >= rows}
+    state = {s: ([], k) for s, (k, rows) in need.items() if 0 < k < rows}
+    narrow = df.select(F.col(stratum).alias("_s"), digits.alias("_digits"))
+    for level in range(6):
+        if not state:
+            break
+        at = spark.createDataFrame([(s, p, k) for s, (p, k) in state.items()],
+                                   f"_s {kind}, _path array<bigint>, _k bigint")
+        same = F.slice("_digits", 1, level) == F.col("_path") if level else F.lit(True)
+        hist = (narrow.join(F.broadcast(at), "_s").where(same)
+                .groupBy("_s", "_k", F.element_at("_digits", level + 1).alias("_d")).agg(F.count(F.lit(1)).alias("_n")))
+        upto = F.sum("_n").over(Window.partitionBy("_s").orderBy("_d"))
+        hit = (hist.withColumn("_upto", upto)
+               .where((F.col("_upto") >= F.col("_k")) & (F.col("_upto") - F.col("_n") < F.col("_k"))))
+        for r in hit.collect():
+            path = state.pop(r["_s"])[0] + [r["_d"]]
+            if r["_upto"] == r["_k"] or level == 5:
+                paths[r["_s"]] = path
+            else:
+                state[r["_s"]] = (path, r["_k"] - r["_upto"] + r["_n"])
+    return spark.createDataFrame(list(paths.items()), f"_s {kind}, _path array<bigint>")
+
+
+def within(h: str, tie: str, path: str) -> Column:
+    """The row's digits are within ``path``."""
+    digits = F.array(*_digits(F.col(h), F.col(tie)))
+    return F.slice(digits, 1, F.size(path)) <= F.col(path)

@@ -18,6 +18,7 @@ from riskline.functions import risk as R
 from riskline.functions import text as T
 from riskline.operators import evaluate as Ev
 from riskline.operators import features as Fe
+from riskline.operators import scan as Sc
 from riskline.operators import split as Sp
 from riskline.operators.ranking import key_rank
 from riskline.sources import extract as Ex
@@ -309,17 +310,53 @@ def q_extract_page_text(spark, sf):
     return pages.select("page_id", Ex.page_text("html").alias("text"))
 
 
-def q_scan_report(spark, sf):
+def _page_files(spark, sf):
+    """pages as files with image and other names: (filename, html)."""
     p = spread_table(spark, sf, "pages")
     ext = F.element_at(F.array(*[F.lit(e) for e in IMAGE_EXTS]), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
     files = p.select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), ext).alias("filename"), "html")
-    files = files.where(Ex.is_image_name("filename"))
-    texts = files.select("filename", Ex.page_text("html").alias("text"))
+    return files.where(Ex.is_image_name("filename"))
+
+
+def q_scan_report(spark, sf):
+    texts = _page_files(spark, sf).select("filename", Ex.page_text("html").alias("text"))
     s = Fe.score_linear(texts, "filename", "text", doc_linear_model(spark, sf))
     return s.select("filename", T.round_score("risk_score").alias("risk_score"),
                     R.band("risk_score").alias("risk_band"))
 
 
+def q_media_scan_report(spark, sf):
+    """The pages as files of bytes, through the report operator."""
+    files = _page_files(spark, sf).select("filename", F.encode("html", "UTF-8").alias("content"))
+    model = doc_linear_model(spark, sf)
+    return Sc.scan_report(files, Sc.native(lambda c: Ex.page_text(F.decode(c, "UTF-8"))),
+                          lambda d: Fe.score_linear(d, "filename", "text", model))
+
+
+#: Weights of the toy encoder's four numbers.
+TOY_WEIGHTS, TOY_BIAS = [0.125, -0.5, 0.25, -0.0625], -0.75
+
+
+def toy_encoder():
+    """Length, digits, spaces and letters e of a text, in 64ths."""
+    import numpy as np
+
+    def encode(texts):
+        return np.array([[len(t), sum(c in "0123456789" for c in t), t.count(" "), t.count("e")] for t in texts],
+                        dtype=np.float32) / 64
+    return encode
+
+
+def q_vector_scan_report(spark, sf):
+    """Masked clean -> encoder -> fixed weights, through the report operator."""
+    from riskline.operators import model as Mo
+    from riskline.sources import cache as Ca
+    files = _page_files(spark, sf)
+    encoder = Ca.encoder_udf(toy_encoder)
+    return Sc.scan_report(files, Sc.native(Ex.page_text), lambda d: Mo.score_vectors(
+        d, encoder, TOY_WEIGHTS, TOY_BIAS, keep=["filename"]), "html")
+
+
 def q_capture_names(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", T.capture_name("ts").alias("capture_name"))
     return e.groupBy("capture_name").agg(F.max_by("event_id", "ts").alias("event_id"),
@@ -415,9 +452,54 @@ def q_lr_classify(spark, sf):
 
 def q_lr_vectors_fit(spark, sf):
     from riskline.operators import model as Mo
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding",
-                                              (F.col("label") < 5).cast("int").alias("label"))
-    return Mo.train_vectors(e, "vec_id", "embedding", "label").report
+    return Mo.train_vectors(_labelled_vectors(spark, sf), "vec_id", "embedding", "label").report
+
+
+def q_lr_tfidf_optimal(spark, sf):
+    """Every feature's gradient at the fitted weights, on the rows of the fit."""
+    from riskline.operators import model as Mo
+    rows = _labelled_rows(spark, sf)
+    fit_rows = Sp.split(rows, "doc_id", "label").where(F.col("split") == Sp.TRAIN)
+    return Mo.optimality(_lr_tfidf(spark, sf).model, fit_rows).select("feature", "optimal")
+
+
+def _labelled_vectors(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") < 5).cast("int").alias("label"))
+
+
+def q_lr_vectors_optimal(spark, sf):
+    from riskline.operators import model as Mo
+    rows = _labelled_vectors(spark, sf)
+    fit_rows = Sp.split(rows, "vec_id", "label").where(F.col("split") == Sp.TRAIN)
+    return Mo.optimality(Mo.train_vectors(rows, "vec_id", "embedding").model, fit_rows).select("feature", "optimal")
+
+
+def q_model_roundtrip(spark, sf):
+    """A model published and loaded again scores every document as before."""
+    from riskline.operators import model as Mo
+    from riskline.session import scratch_path
+    path = scratch_path(spark, "published")
+    m = Mo.train_variant(_labelled_rows(spark, sf), "doc_id", "baseline").model
+    Mo.save(m, path, "baseline", spark)
+    again, variant = Mo.load(spark, path)
+    docs = _texts(spark, sf).select("doc_id", "text")
+    both = Mo.classify(Mo.classify(docs, m).withColumnsRenamed({"risk_score": "before", "risk_band": "band"})
+                       .select("doc_id", "text", "before", "band"), again)
+    return both.select("doc_id", F.lit(variant).alias("variant"), (F.col("before") == F.col("risk_score")).alias("equal"),
+                       (F.col("band") == F.col("risk_band")).alias("equal_band"))
+
+
+def q_score_linear_blanks(spark, sf):
+    """K5 with blank and null texts among the rows: they score 0.0."""
+    d = _with_injected_blanks(spark, sf)
+    s = Fe.score_linear(d, "doc_id", "text", doc_linear_model(spark, sf))
+    return s.select("doc_id", _r("risk_score", "risk_score"), R.band("risk_score").alias("risk_band"))
+
+
+def q_split_by_source(spark, sf):
+    """J5 with many strata."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    return Sp.split(d, "doc_id", "source").select("doc_id", "source", "split")
 
 
 # ---------------------------------------------------------------------------
@@ -546,6 +628,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lr_tfidf_eval": q_lr_tfidf_eval,
     "lr_classify": q_lr_classify,
     "lr_vectors_fit": q_lr_vectors_fit,
+    "lr_tfidf_optimal": q_lr_tfidf_optimal,
+    "lr_vectors_optimal": q_lr_vectors_optimal,
+    "model_roundtrip": q_model_roundtrip,
+    "score_linear_blanks": q_score_linear_blanks,
+    "split_by_source": q_split_by_source,
+    "media_scan_report": q_media_scan_report,
+    "vector_scan_report": q_vector_scan_report,
 }
 
 

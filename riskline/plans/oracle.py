@@ -403,6 +403,47 @@ SQL["stream_latest_state"] = SQL["latest_state"]
 SQL["stream_frame_sample"] = SQL["frame_sample"]
 SQL["stream_capture_names"] = SQL["capture_names"]
 
+SQL["media_scan_report"] = SQL["scan_report"]
+
+SQL["vector_scan_report"] = f"""
+WITH files AS (SELECT 'page_' || page_id::VARCHAR || ['.png', '.JPG', '.jpeg', '.txt'][page_id % 4 + 1] AS filename,
+                      {page_text_sql('html')} AS text FROM pages),
+imgs AS (SELECT filename, text, {clean_mask_sql('text')} AS c FROM files
+         WHERE lower(filename) LIKE '%.png' OR lower(filename) LIKE '%.jpg' OR lower(filename) LIKE '%.jpeg'),
+v AS (SELECT filename, text, length(c) / 64.0e0 AS a, length(regexp_replace(c, '[^0-9]', '', 'g')) / 64.0e0 AS b,
+             length(regexp_replace(c, '[^ ]', '', 'g')) / 64.0e0 AS s, length(regexp_replace(c, '[^e]', '', 'g')) / 64.0e0 AS e
+      FROM imgs),
+p AS (SELECT filename, CASE WHEN coalesce({blank_sql('text')}, true) THEN 0.0e0
+             ELSE 1.0e0 / (1.0e0 + exp(-(-0.75e0 + a * 0.125e0 - b * 0.5e0 + s * 0.25e0 - e * 0.0625e0))) END AS risk_score FROM v)
+SELECT filename, round_even(risk_score, 3) AS risk_score, {band_sql('risk_score')} AS risk_band FROM p
+"""
+
+SQL["score_linear_blanks"] = f"""
+WITH {DOC_MODEL}, {INJECTED},
+{score_sql('b', ['doc_id'], 'text')}
+SELECT doc_id, round(risk_score, 6) AS risk_score, {band_sql('risk_score')} AS risk_band FROM s_score
+"""
+
+SQL["split_by_source"] = f"""
+WITH {SPLIT.replace("l.toxic AS label", "d.source").replace(" JOIN labels l USING (doc_id)", "")
+      .replace("sr.label", "sr.source").format(strat="source", strat_sr="sr.source")}
+SELECT doc_id, source, split FROM split
+"""
+
+# At the optimum every gradient is small: the features are the vocabulary of the training rows, and the intercept.
+SQL["lr_tfidf_optimal"] = f"""
+WITH {SPLIT_STRAT},
+train AS (SELECT doc_id, text FROM split WHERE split = 'train'),
+{term_counts_cte('trc', 'train', 'doc_id', 'text')},
+{vocab_cte('tvoc', 'trc', 'SELECT count(*) FROM train')}
+SELECT term AS feature, true AS optimal FROM tvoc UNION ALL SELECT '(intercept)', true
+"""
+SQL["lr_vectors_optimal"] = """
+SELECT 'v' || i AS feature, true AS optimal FROM (SELECT unnest(range(max(len(embedding)))) AS i FROM embeddings)
+UNION ALL SELECT '(intercept)', true
+"""
+SQL["model_roundtrip"] = "SELECT doc_id, 'baseline' AS variant, true AS equal, true AS equal_band FROM documents"
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

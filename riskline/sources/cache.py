@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -62,6 +63,15 @@ def cached_features(df: DataFrame, id_col: str, key_col: str, cache_path: str,
     return computed if hits is None else hits.unionByName(computed)
 
 
+def encoder_udf(make_encoder: Callable, batch_size: int = BATCH_SIZE):
+    """F9 as a column function: texts -> ``array<float>`` in batches of ``batch_size``.
+
+    ``make_encoder()`` loads the model, once a Python worker (it is kept for the worker's later tasks);
+    the callable it returns maps an array of texts to an array of vectors, one row each.
+    """
+    return predict_batch_udf(make_encoder, return_type=Ty.ArrayType(Ty.FloatType()), batch_size=batch_size)
+
+
 def encode_batches(df: DataFrame, make_encoder: Callable, text_col: str, out_col: str = "embedding",
                    batch_size: int = BATCH_SIZE) -> DataFrame:
     """texts -> vectors with a user-supplied encoder, in batches of ``batch_size``.

@@ -44,10 +44,11 @@ def is_image_name(col, strict_case: bool = False) -> Column:
 
 
 def read_media(spark, folder: str, strict_case: bool = False) -> DataFrame:
-    """A6 + J1: image files of a folder (top level) as (filename, content), sorted by name.
+    """Image files of a folder (top level) as (filename, path, content).
 
     Uses the ``binaryFile`` source, so files are read by the executors; a name
-    pattern of the listing leaves out all other files.
+    pattern of the listing leaves out all other files. The rows are in no order:
+    the bytes are never shuffled, what is reported of them is sorted (J1, ``scan_report``).
     """
     exact = ",".join(s.lstrip(".") for s in IMAGE_SUFFIXES)
     either = ",".join("".join(f"[{c}{c.upper()}]" for c in s.lstrip(".")) for s in IMAGE_SUFFIXES)
@@ -58,7 +59,7 @@ def read_media(spark, folder: str, strict_case: bool = False) -> DataFrame:
     # ``path`` is a percent-encoded URI: decode only the file name for display.
     name = F.expr("reflect('java.net.URLDecoder', 'decode', replace(_encoded, '+', '%2B'), 'UTF-8')")
     df = df.select(name.alias("filename"), "path", "content")
-    return df.where(is_image_name("filename", strict_case)).orderBy("filename")
+    return df.where(is_image_name("filename", strict_case))
 
 
 def page_text(col) -> Column:

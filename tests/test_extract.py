@@ -52,9 +52,9 @@ def test_media_folder_scan_report(spark, tmp_dir):
         with open(os.path.join(tmp_dir, n), "wb") as f:
             f.write(body.encode())
     media = Ex.read_media(spark, tmp_dir)
-    assert [r.filename for r in media.collect()] == ["a b.JPG", "b.png", "c.jpeg"]
+    assert sorted(r.filename for r in media.collect()) == ["a b.JPG", "b.png", "c.jpeg"]
     strict = Ex.read_media(spark, tmp_dir, strict_case=True)
-    assert [r.filename for r in strict.collect()] == ["b.png", "c.jpeg"]
+    assert sorted(r.filename for r in strict.collect()) == ["b.png", "c.jpeg"]
 
     def decode(s):
         return s.map(lambda b: bytes(b).decode("utf-8"))
@@ -65,6 +65,12 @@ def test_media_folder_scan_report(spark, tmp_dir):
         "filename", round_score("risk_score").alias("risk_score"), R.band("risk_score").alias("risk_band"))
     got = {r.filename: (r.risk_score, r.risk_band) for r in rep.collect()}
     assert got == {"b.png": (0.953, "HIGH"), "a b.JPG": (0.5, "MEDIUM"), "c.jpeg": (0.0, "LOW")}
+    # the report operator over the same files, in order of their names
+    from riskline.operators import scan as Sc
+    scorer = lambda d: Fe.score_linear(d, "filename", "text", model)
+    report = Sc.scan_report(media, Sc.batches(decode), scorer)
+    assert [(r.filename, r.risk_score, r.risk_band) for r in report.collect()] == sorted((k, *v) for k, v in got.items())
+    assert "content" not in report._jdf.queryExecution().executedPlan().toString()  # only the report is sorted
 
 
 def test_one_bad_row_does_not_take_its_batch(spark):

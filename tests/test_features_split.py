@@ -176,3 +176,83 @@ def test_key_rank_with_payload_and_tiny_samples(spark):
     finally:
         for c, v in keep.items():
             spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+
+
+def test_split_of_many_strata_equals_a_plain_split(spark):
+    """More strata than may have thresholds, one of them with a third of the rows."""
+    df = spark.range(9_000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(
+        F.concat(F.lit("s"), F.col("id") % 2_001)).alias("y"), F.repeat(F.lit("x"), 50).alias("text"))
+    got = {r.id: r.split for r in Sp.split(df, "id", "y").collect()}
+    rows = df.withColumn("h", Sp.hash_key("id")).collect()
+    of = {}
+    for r in rows:
+        of.setdefault(r.y, []).append((r.h, r.id))
+    need = Sp.allocate({y: len(v) for y, v in of.items()}, Sp.test_size(len(rows)))
+    test = {i for y, v in of.items() for _, i in sorted(v)[:need[y]]}
+    assert len(of) > Sp.MANY and {i for i, s in got.items() if s == "test"} == test and len(got) == 9_000
+
+
+def test_split_of_a_hundred_thousand_strata(spark):
+    df = spark.range(150_000).select("id", F.concat(F.lit("s"), F.col("id") % 100_000).alias("y"))
+    s = Sp.split(df, "id", "y")
+    assert s.where("split = 'test'").count() == 30_000 and s.count() == 150_000
+    # two rows or one a stratum: largest remainders take the pairs, ties in label order
+    got = s.where("split = 'test'").groupBy("y").count().agg(F.max("count"), F.count(F.lit(1))).first()
+    assert tuple(got) == (1, 30_000)
+
+
+def test_split_of_an_empty_table_and_of_null_labels(spark):
+    df = spark.createDataFrame([], "id long, y int")
+    assert Sp.split(df, "id", "y").count() == 0 and Sp.split(df, "id").count() == 0
+    with pytest.raises(ValueError):
+        Sp.split(spark.createDataFrame([(1, None), (2, 1)], "id long, y int"), "id", "y")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_are_built_inside_the_row(spark):
+    model = Fe.TermModel(("now", "win"), (1.5, 1.25), (2.0, -1.0), 3)
+    df = spark.createDataFrame([(1, "Win win now"), (2, ""), (3, None), (4, "zzz")], "id long, text string")
+    plan = _plan(Fe.score_linear(df, "id", "text", model)) + _plan(Fe.tfidf_rows(df, model, "id"))
+    assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+    w = [1.5, 2 * 1.25]
+    norm = math.sqrt(w[0] ** 2 + w[1] ** 2)
+    got = {(r.id, r.term): (r.idx, r.weight) for r in Fe.tfidf_rows(df, model, "id").collect()}
+    assert got == {(1, "now"): (0, pytest.approx(w[0] / norm)), (1, "win"): (1, pytest.approx(w[1] / norm))}
+    score = {r.id: r.risk_score for r in Fe.score_linear(df, "id", "text", model, 0.5).collect()}
+    assert score[1] == pytest.approx(1 / (1 + math.exp(-(0.5 + (2 * w[0] - w[1]) / norm))))
+    assert score[2] == score[3] == 0.0 and score[4] == pytest.approx(1 / (1 + math.exp(-0.5)))
+    empty = Fe.TermModel((), (), (), 0)
+    assert {r.risk_score for r in Fe.score_linear(df.where("id = 4"), "id", "text", empty).collect()} == {0.5}
+
+
+def test_joined_form_for_large_vocabularies_equals_the_row_form(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    table = Fe.fitted_vocabulary(docs, "text", 300).withColumn("coef", Fe.hash_weight("term"))
+    want = {r.doc_id: r.risk_score for r in Fe.score_linear(docs, "doc_id", "text", table).collect()}
+    monkeypatch.setattr(Fe, "MAX_ROW_LOCAL", 299)
+    got = {r.doc_id: r.risk_score for r in Fe.score_linear(docs, "doc_id", "text", table).collect()}
+    assert len(got) == 200 and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_tfidf_rows_match_brute_force_documents(spark):
+    d = spark.read.parquet(f"{SF001}/documents.parquet")
+    model = Fe.TermModel.of(Fe.fitted_vocabulary(d, "text", 500))
+    vocab, idf, w = brute_tfidf({r.doc_id: r.text for r in d.collect()}, 500)
+    assert list(model.terms) == vocab and model.n_docs == 200
+    got = {(r.doc_id, r.term): r.weight for r in Fe.tfidf_rows(d, model, "doc_id").collect()}
+    assert len(got) == len(w) and max(abs(got[k] - v) for k, v in w.items()) < 1e-12
+
+
+def test_spread_deals_out_tables_of_few_row_groups(spark, tmp_dir):
+    from riskline.sources.tables import spread_table, table
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(300_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("x")).coalesce(1) \
+        .write.parquet(f"{tmp_dir}/one.parquet")
+    spark.range(2 * cores).repartition(2 * cores).write.parquet(f"{tmp_dir}/many.parquet")
+    one = spread_table(spark, tmp_dir, "one")
+    assert one.rdd.getNumPartitions() == cores
+    assert one.exceptAll(table(spark, tmp_dir, "one")).count() == 0 and one.count() == 300_000
+    assert "Exchange" not in _plan(spread_table(spark, tmp_dir, "many"))
