@@ -48,6 +48,26 @@ def remainder(doc_id: Column | str, n: int) -> Column:
     return (F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+def row_key(df: DataFrame) -> Column:
+    """A row's name: equal for rows of equal id and text."""
+    return F.xxhash64(df["doc_id"], F.coalesce(df["text"], F.lit("")))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it, so that no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without_rows(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``row_key`` is in ``keys`` (one column); all its columns stay."""
+    name = unused(df, "row_key")
+    bad = keys.toDF(name).distinct()
+    return df.join(bad, row_key(df) == bad[name], "left_anti")
+
+
 def lower_ascii(text: str) -> bytes:
     """UTF-8 bytes with A-Z lower-cased and nothing else changed."""
     return text.encode("utf-8", "surrogatepass").lower()

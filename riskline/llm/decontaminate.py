@@ -13,8 +13,9 @@ no results. Everything is DataFrame code.
 
 Defined results: words are runs of letters and digits, lower-cased; items of
 fewer than ``min_match`` words are not searched; null or empty texts leak
-nothing; documents of equal id are judged together; rows with a null id cannot be
-named and are left out; equal items are reported each. Extra columns are ignored.
+nothing; in ``leaks`` documents of equal id are judged together, and rows with a
+null id cannot be named and are left out (``decontaminate`` judges every row by
+itself); equal items are reported each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskline.llm.common import row_key, without_rows
+
 #: Word offsets that a mask looks at.
 MASKS = ((0, 1, 3, 4, 6, 7), (0, 2, 3, 5, 7, 8))
 BITS = 20
@@ -99,6 +102,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 10, min_share:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **rule) -> DataFrame:
-    """``docs`` without the documents that leak a benchmark item; all columns stay."""
-    bad = leaks(docs, benchmark, **rule).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")
+    """``docs`` without the documents that leak a benchmark item; all columns stay.
+
+    Each row is judged by its own text, whatever its id: rows of one id do not share a verdict, and a row
+    without id that leaks goes like any other.
+    """
+    named = docs.select(row_key(docs).alias("doc_id"), "text")
+    return without_rows(docs, leaks(named, benchmark, **rule).select("doc_id"))

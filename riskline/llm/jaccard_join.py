@@ -16,9 +16,10 @@ their shingles outside the hub, and only there pairs are formed, never those of
 two members that are both linked to the hub.
 
 Defined results: null or empty text has an empty set, links with nothing and is its
-own component; fewer words than a shingle make one shingle of all; equal ids are
-rows of one id (they share the smallest id of all their components' rows only if
-linked); an empty table gives no rows. Sets are compared by 64-bit hashes.
+own component; fewer words than a shingle make one shingle of all; rows of equal id
+are rows of their own; a row without id takes part like any other, and its component
+has the smallest id of the others, or none; an empty table gives no rows; extra
+columns are ignored. Sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskline.llm.common import Counter64, count_cut, documents, lower_ascii, materialize, mix64
+from riskline.llm.common import (Counter64, count_cut, documents, lower_ascii, materialize, mix64, row_key, unused,
+                                 without_rows)
 from riskline.llm.components import components
 
 LEVELS = 24         # longest extension of a prefix
@@ -77,8 +79,9 @@ def least_overlap(n, percent: int):
 
 
 def survey(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (doc_id, set, n) and rows (shingle, seen) of those frequent within a task."""
+    """One row per document (doc_id, row, set, n) and rows (shingle, seen) of those frequent within a task."""
     d = documents(docs)
+    d = d.select("doc_id", row_key(d).alias("row"), "text")
 
     def run(batches):
         make, held, size = Shingler(width), [], 0
@@ -89,9 +92,9 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
             at, n = at[n >= OFTEN], n[n >= OFTEN]
             none = pa.nulls(len(at), pa.int64())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(len(at), kinds), none, none, pa.array(at.view(np.int64)), pa.array(n, pa.int64())], names)
+                [pa.nulls(len(at), kinds), none, none, none, pa.array(at.view(np.int64)), pa.array(n, pa.int64())], names)
 
-        names = ["doc_id", "set", "n", "shingle", "seen"]
+        names = ["doc_id", "row", "set", "n", "shingle", "seen"]
         for b in batches:
             kinds, sets, sizes = b.column("doc_id").type, [], []
             for t in b.column("text").to_pylist():
@@ -104,13 +107,13 @@ def survey(docs: DataFrame, width: int) -> DataFrame:
                     yield report()
                     held, size = [], 0
             none = pa.nulls(len(sets), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.int64()),
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(sets, pa.int64()),
                                               pa.array(sizes, pa.int64()), none, none], names)
         if held:
             yield report()
 
     id_type = d.schema["doc_id"].dataType.simpleString()
-    return d.mapInArrow(run, f"doc_id {id_type}, set long, n long, shingle long, seen long")
+    return d.mapInArrow(run, f"doc_id {id_type}, row long, set long, n long, shingle long, seen long")
 
 
 class Order:
@@ -183,19 +186,21 @@ def _pairs(lists: DataFrame, key: list[str], extra: list[str]) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """set, items (8-byte hashes in order) of the wanted sets, from the first document of each."""
-    ids = wanted.join(firsts, "set").select(F.col("first").alias("doc_id"), "set")
+    """set, items (8-byte hashes in order) of the wanted sets, from one row of each (``firsts``: set, row)."""
+    rows = wanted.join(firsts, "set").select("row", "set")
+    d = documents(docs)
+    d = d.select(row_key(d).alias("row"), "text")
 
     def run(batches):
         make = Shingler(width)
         for b in batches:
             sets = [make(t) for t in b.column("text").to_pylist()]
-            # another row of the same id may hold another set
+            # keys of unlike rows may be equal
             mine = [len(s) > 0 and fingerprint(s) == f for s, f in zip(sets, b.column("set").to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("set"), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "items"]).filter(pa.array(mine, pa.bool_()))
 
-    return documents(docs).join(ids, "doc_id").select("set", "text").mapInArrow(run, "set long, items binary")
+    return d.join(rows, "row").dropDuplicates(["row", "set"]).select("set", "text").mapInArrow(run, "set long, items binary")
 
 
 def linked(n_a, n_b, both, percent: int):
@@ -245,7 +250,7 @@ def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: in
     top = often.where(F.col("n") >= count_cut(often, frequent)).toArrow()
     order = sc.broadcast(Order(top.column("shingle").to_numpy().view(np.uint64), top.column("n").to_numpy()))
     lists = materialize(shared_postings(postings(docs, width, percent, order)), "shared-postings")
-    firsts = known.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("first"))
+    firsts = known.where("set is not null").groupBy("set").agg(F.min("row").alias("row"))
     in_long = lists.where(F.col("size") > short).groupBy("set").agg(F.count(F.lit(1)).alias("long"))
     fits = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     found = (_pairs(lists.where(F.col("size") <= short), ["shingle"], ["n", "l"]).where(fits)
@@ -280,30 +285,40 @@ def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: in
     return compared.unionByName(again).where("linked").select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, **rule) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs``."""
+def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80, **rule) -> DataFrame:
+    """doc_id, row, n_shingles, group (of the row's set; null for an empty one), component_id for every row of ``docs``.
+
+    The component's id is the smallest doc_id reachable by links; without any, and for empty sets, the row's own.
+    """
     known = materialize(survey(docs, width), "shingle-sets")
     rows = known.where("shingle is null")
     firsts = rows.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("first"))
     group = components(jaccard_links(docs, known, width, percent, **rule))
-    named = firsts.join(group.withColumnRenamed("node", "set"), "set", "left").withColumn("g", F.coalesce("component", "set"))
-    least = named.groupBy("g").agg(F.min("first").alias("component_id"))
-    by_set = named.select("set", "g").join(least, "g").select("set", "component_id")
+    named = firsts.join(group.withColumnRenamed("node", "set"), "set", "left").withColumn("group", F.coalesce("component", "set"))
+    least = named.groupBy("group").agg(F.min("first").alias("component_id"))
+    by_set = named.select("set", "group").join(least, "group").select("set", "group", "component_id")
     return (rows.join(by_set, "set", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
+            .select("doc_id", "row", F.col("n").alias("n_shingles"), "group", F.coalesce("component_id", "doc_id").alias("component_id")))
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, **rule) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs``."""
+    return jaccard_rows(docs, width, percent, **rule).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, **rule) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id.
+    """``docs`` with one row of each component: the one of smallest id (rows without id last), then smallest row key.
 
-    Rows of the same id and the same text count once.
+    Rows are judged by themselves, whatever ids they share: another text of the same id that is linked with
+    nothing stays. Rows of equal id and text count once. Rows without a shingle link with nothing and all stay.
     """
-    comp = materialize(jaccard_components(docs, **rule), "components")
-    told = comp.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(
-        F.max(F.col("doc_id") != F.col("component_id")).alias("__gone"), (F.count(F.lit(1)) > 1).alias("__many"))
-    told = told.where("__gone or __many")
-    joined = docs.join(told, docs["doc_id"] == told["__id"], "left")
-    columns = [docs[c] for c in docs.columns]
-    once = joined.where("__id is null").select(*columns)
-    many = joined.where("not __gone and __many").select(*columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(many)
+    rows = materialize(jaccard_rows(docs, **rule).where("group is not null"), "components")
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("kept"))
+    told = rows.groupBy("row").agg(F.min("group").alias("group"), (F.count(F.lit(1)) > 1).alias("many")).join(best, "group")
+    rest = without_rows(docs, told.where("row <> kept").select("row"))
+    # kept rows that occur more than once: few keys, each with its copies
+    many = materialize(told.where("row = kept and many").select("row"), "repeated")
+    key = unused(docs, "row_key")
+    repeated = many.toDF(key)
+    twice = rest.join(repeated, row_key(rest) == repeated[key], "left_semi").dropDuplicates(["doc_id", "text"])
+    return without_rows(rest, many).unionByName(twice)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import materialize
+from riskline.llm.common import materialize, unused
 
 KINDS = ["assign", "access", "hex", "owned"]
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -127,14 +127,15 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, **scan)
     found = materialize(candidates(docs, **scan), "secret-candidates")
     live = ownership(found).where(F.col("owners") <= max_owners).select("value")
     hits = (found.select("doc_id", F.explode("found.value").alias("value")).distinct()
-            .join(live, "value").groupBy("doc_id").agg(F.collect_list("value").alias("__live")))
+            .join(live, "value").groupBy("doc_id").agg(F.collect_list("value").alias("live")))
 
     columns = docs.columns
+    values_of, id_of = unused(docs, "live_values"), unused(docs, "live_id")
 
     def masked(batches):
         for b in batches:
             out = []
-            for t, values in zip(b.column("text").to_pylist(), b.column("__live").to_pylist()):
+            for t, values in zip(b.column("text").to_pylist(), b.column(values_of).to_pylist()):
                 if values:
                     parts, at, known = [], 0, set(values)
                     for start, stop in sorted((s, e) for _, s, e, v in find_spans(t or "") if v in known):
@@ -147,8 +148,8 @@ def redact(docs: DataFrame, mask: str = "[secret]", max_owners: int = 2, **scan)
             cols["text"] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    right = hits.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(right, docs["doc_id"].eqNullSafe(right["__id"]), "left").drop("__id")
+    right = hits.select(F.col("doc_id").alias(id_of), F.col("live").alias(values_of))
+    joined = docs.join(right, docs["doc_id"].eqNullSafe(right[id_of]), "left").drop(id_of)
     out = joined.mapInArrow(masked, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else out

@@ -378,3 +378,51 @@ def test_pipeline_stages(spark, tmp_path, odd, labels):
         docs = out
     last = corpus_pipeline.run(spark, sf)
     assert last.where(F.col("n_tokens").isNull()).count() == 0
+
+
+# Rows without id, rows of one id ---------------------------------------------------
+
+def _texts(r, n):
+    import random
+    g = random.Random(r)
+    return " ".join("w%d" % g.randrange(5_000) for _ in range(n))
+
+
+def test_one_of_each_judges_rows_not_ids(spark):
+    a, u, other = _texts(1, 60), _texts(2, 60), _texts(3, 60)
+    rows = [(1, a, 0), (5, a + " end", 1), (5, u, 2), (None, other, 3), (None, other, 4), (9, "", 5), (9, "", 6),
+            (None, u + " end", 7), (1, a, 8), (None, _texts(4, 60), 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    got = jaccard_join.one_of_each(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (5, u), (None, other), (9, ""), (9, ""), (None, rows[9][1])], key=str)
+
+
+def test_a_set_of_rows_without_id_keeps_its_links(spark):
+    base = _texts(7, 100).split()
+    left, right = base[:], base[:]
+    left[3], right[90] = "left", "right"
+    near = lambda w: " ".join(w)
+    df = spark.createDataFrame([(1, near(left)), (None, near(base)), (2, near(right))], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(df).collect()), key=str)
+    assert got == [(1, 1), (2, 1), (None, 1)]
+
+
+def test_decontaminate_judges_rows_not_ids(spark):
+    item = _texts(9, 40)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = _texts(10, 80)
+    rows = [(None, clean + " " + item, 1), (None, clean, 2), (4, clean, 3), (4, item + " " + clean, 4), (6, None, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    got = decontaminate.decontaminate(df, bench)
+    assert got.columns == df.columns and sorted(r.row_key for r in got.collect()) == [2, 3, 5]
+
+
+def test_dictionary_numbers_words_exactly():
+    words = ["w%d" % i for i in range(1000)] + ["é", " 日本"]
+    d = byte_bpe.Dictionary(pa.array(words))
+    probe = ["w7", "none", "é", " 日本", "w999", ""]
+    assert d.numbers(probe).tolist() == [7, -1, 1000, 1001, 999, -1]
+    d.hashes[:] = d.hashes[0]  # all hashes alike: only equal words count
+    assert byte_bpe.Dictionary(pa.array([], pa.string())).numbers(["a"]).tolist() == [-1]
