@@ -12,7 +12,8 @@ all labelled training rows.
 Defined results: null or empty text is one window without words and gets the
 score of the bias; repeated rows are scored one by one; without labels of both
 kinds every score is 0; a null id counts as empty text when its fold is taken;
-an empty table gives no rows. Labels, lang, source and doc_id are no inputs.
+an empty table gives no rows; extra columns are ignored, whatever their names.
+Labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import documents, lower_ascii, materialize, remainder
+from riskline.llm.common import documents, lower_ascii, materialize, remainder, row_key, without_rows
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16  # half a window: a passage of up to 17 words lies whole in some window
 BUCKETS, DIM, HID, ATT = 1 << 14, 8, 8, 8
 EDGE = b".,;:!?\"'()[]{}<>"
 BIN = 0.05
@@ -52,7 +53,7 @@ def hashed_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     flat = ((flat ^ (flat >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - BUCKETS.bit_length() + 1)
     owner = np.concatenate([word[a], word[b]])
     order = np.argsort(owner, kind="stable")
-    return bucket, flat[order].astype(np.int64), np.bincount(owner, minlength=len(words))
+    return bucket, flat[order].astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
 class Lexicon(dict):
@@ -75,18 +76,24 @@ class Lexicon(dict):
         return hashed_inputs(words)
 
 
-def segment_mean(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Mean of consecutive groups of rows (zero for empty groups)."""
+def segment_mean(table: np.ndarray, flat: np.ndarray, counts: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+    """Mean of the rows ``flat`` of ``table`` over consecutive groups (zero for empty groups), ``step`` groups at a time."""
+    out = np.zeros((len(counts), table.shape[1]), np.float32)
     ends = np.cumsum(counts)
-    total = np.vstack([np.zeros((1, values.shape[1]), np.float64), np.cumsum(values, 0, np.float64)])
-    return ((total[ends] - total[ends - counts]) / np.maximum(counts, 1)[:, None]).astype(np.float32)
+    for a in range(0, len(counts), step):
+        n, end = counts[a:a + step], ends[a:a + step]
+        low = end[0] - n[0]
+        total = np.zeros((end[-1] - low + 1, table.shape[1]))
+        np.cumsum(table[flat[low:end[-1]]], 0, out=total[1:])
+        out[a:a + step] = (total[end - low] - total[end - n - low]) / np.maximum(n, 1)[:, None]
+    return out
 
 
 def windows(ids: list[int]) -> np.ndarray:
     """Rows of WINDOW word numbers at every STRIDE, zero-padded; at least one row."""
     n = len(ids)
     k = 1 if n <= WINDOW else 1 + -(-(n - WINDOW) // STRIDE)
-    flat = np.zeros((k - 1) * STRIDE + WINDOW, np.int64)
+    flat = np.zeros((k - 1) * STRIDE + WINDOW, np.int32)
     flat[:n] = ids
     return np.lib.stride_tricks.sliding_window_view(flat, WINDOW)[::STRIDE]
 
@@ -101,7 +108,7 @@ class Network:
 
     def inputs(self, bucket, flat, counts) -> np.ndarray:
         """Input vector of each lexicon row."""
-        x = np.hstack([self.p["word"][bucket], segment_mean(self.p["gram"][flat], counts)])
+        x = np.hstack([self.p["word"][bucket], segment_mean(self.p["gram"], flat, counts)])
         x[counts == 0] = 0
         return x
 
@@ -186,18 +193,23 @@ class Network:
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = 5, batch: int = 128, rate: float = 0.01,
-          seed: int = 5) -> Network:
-    """Fit a network: each epoch takes the strongest window of every text and random windows of clean ones."""
+          seed: int = 5, least_steps: int = 100) -> Network:
+    """Fit a network: each epoch takes the strongest window of every text and random windows of clean ones.
+
+    Few texts make few steps an epoch; they get further epochs, up to ``least_steps`` in all.
+    """
     rng, lex = np.random.default_rng(seed), Lexicon()
     docs = [windows(lex.add(words_of(t))) for t in texts]
     y = np.array(toxic)
     net, fresh = Network(seed), lex.fetch()
+    lex.clear()
     bucket, flat, counts = arrays = np.append(0, fresh[0]), fresh[1], np.append(0, fresh[2])
     owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     allw = np.concatenate(docs)
-    start = np.searchsorted(owner, np.arange(len(docs)))
+    start, length = np.searchsorted(owner, np.arange(len(docs))), [len(d) for d in docs]
     # The first coordinate of each embedding starts as the log odds of its bucket among the texts.
     seen = [np.unique(d) for d in docs]
+    del docs
     of = np.cumsum(counts) - counts
     for table, hashed in (("word", lambda u: bucket[u]),
                           ("gram", lambda u: np.concatenate([flat[of[k]:of[k] + counts[k]] for k in u]))):
@@ -208,18 +220,22 @@ def train(texts: list[str], toxic: list[int], epochs: int = 5, batch: int = 128,
                 n[label, np.unique(hashed(u))] += 1
         odds = np.log((n[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((n[0] + 0.5) / ((y == 0).sum() + 1))
         net.p[table][:, 0] = np.clip(odds, -4, 4) * 0.25
+    del seen
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(w) for k, w in net.p.items()}
     step = 0
-    for epoch in range(epochs):
+    a_round = max(1, (len(y) + int((y == 0).sum())) // batch)
+    for epoch in range(max(epochs, -(-least_steps // a_round))):
         if epoch:
             gates = net.project(net.inputs(*arrays))
-            score = np.concatenate([net.forward(gates, allw[k:k + 4096])[0] for k in range(0, len(allw), 4096)])
+            score = np.concatenate([net.forward(gates, allw[k:k + 2048])[0] for k in range(0, len(allw), 2048)])
+            del gates
         else:
-            score = np.maximum(net.inputs(*arrays)[:, [0, DIM]].sum(1), 0)[allw].max(1)
+            word = np.maximum(net.inputs(*arrays)[:, [0, DIM]].sum(1), 0)
+            score = np.concatenate([word[allw[k:k + 2048]].max(1) for k in range(0, len(allw), 2048)])
         best = np.lexsort((-score, owner))[start]
         clean = np.flatnonzero(y == 0)
-        free = start[clean] + (rng.random(len(clean)) * [len(docs[k]) for k in clean]).astype(int)
+        free = start[clean] + (rng.random(len(clean)) * [length[k] for k in clean]).astype(int)
         pick = np.concatenate([best, free])
         label = np.concatenate([y, np.zeros(len(free), int)])
         for rows in np.array_split(rng.permutation(len(pick)), max(1, len(pick) // batch)):
@@ -306,11 +322,6 @@ def fit_scale(hist: list[tuple[float, int, int]]) -> tuple[float, float]:
     return float(max(beta[0], 1e-3)), float(beta[1])
 
 
-def row_key():
-    """A row's name: equal for rows of equal id and text."""
-    return F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit(""))).alias("row")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 1000, max_chars: int = 20_000,
              **fit) -> DataFrame:
     """row, doc_id, held_out, score, predicted for every row of ``docs``.
@@ -321,7 +332,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 1000, max_cha
     texts, kinds = training_rows(docs, labels, train_rows, max_chars)
     held = (remainder("doc_id", 5) == 0).alias("held_out")
     if len(set(kinds)) < 2:
-        return documents(docs).select(row_key(), "doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        d = documents(docs)
+        return d.select(row_key(d).alias("row"), "doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     d = documents(docs)
     net = d.sparkSession.sparkContext.broadcast(train(texts, kinds, **fit))
 
@@ -332,7 +344,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 1000, max_cha
                 [b.column("row"), b.column("doc_id"), pa.array(score(b.column("text").to_pylist()), pa.float64())],
                 ["row", "doc_id", "logit"])
 
-    raw = materialize(d.select(row_key(), "doc_id", "text").mapInArrow(
+    raw = materialize(d.select(row_key(d).alias("row"), "doc_id", "text").mapInArrow(
         run, f"row long, doc_id {d.schema['doc_id'].dataType.simpleString()}, logit double"), "toxicity-logits")
     known = (labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .where(remainder("doc_id", 5) != 0))
@@ -347,5 +359,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 1000, max_cha
 
 def without_toxic(docs: DataFrame, labels: DataFrame, **fit) -> DataFrame:
     """``docs`` without the rows predicted toxic; all columns stay."""
-    bad = toxicity(docs, labels, **fit).where("predicted = 1").select(F.col("row").alias("__row")).distinct()
-    return docs.join(bad, F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == bad["__row"], "left_anti")
+    return without_rows(docs, toxicity(docs, labels, **fit).where("predicted = 1").select("row"))
