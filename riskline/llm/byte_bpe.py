@@ -20,6 +20,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -146,7 +147,7 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
             for t in b.column("text").to_pylist():
                 for w in find(t):
                     seen[w] = seen.get(w, 0) + 1
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 yield rows()
         if seen:
             yield rows()
@@ -155,47 +156,71 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
     return part.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Dictionary:
+    """The frequent words as sorted hashes beside their text: some 20 bytes a word in a task, not a Python dict."""
+
+    def __init__(self, words: pa.Array):
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
+        self.order = np.argsort(h, kind="stable").astype(np.int32)
+        self.hashes, self.words = h[self.order], words
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """Number of each word, -1 for words outside."""
+        if not len(self.hashes) or not words:
+            return np.full(len(words), -1)
+        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(h) and len(self.hashes) - 1)
+        out = np.where(self.hashes[at] == h, self.order[at], -1)
+        found = np.flatnonzero(out >= 0)
+        # another word may have the hash: compare the words themselves
+        same = pc.equal(self.words.take(pa.array(out[found])), pa.array([words[i] for i in found.tolist()], pa.string()))
+        out[found[~same.to_numpy(zero_copy_only=False)]] = -1
+        return out
+
+
 def to_blocks(docs: DataFrame, known, pattern: str, id_type: str) -> DataFrame:
     """Blocks of documents: ids, words per document, word numbers, and the words outside the dictionary."""
     def run(batches):
-        find, index = regex.compile(pattern).findall, _index(known)
-        size = len(index)
-
-        def row(ids, counts, codes, rare):
+        find, dictionary = regex.compile(pattern).findall, _dictionary(known)
+        size = len(dictionary.words)
+
+        def row(ids, counts, codes, local):
+            words = list(local)
+            number = dictionary.numbers(words)
+            rare = np.flatnonzero(number < 0)
+            number[rare] = size + np.arange(len(rare))
             return pa.RecordBatch.from_arrays(
                 [pa.array([ids], pa.list_(ids_type)), pa.array([np.array(counts, "<i4").tobytes()], pa.binary()),
-                 pa.array([np.concatenate(codes).astype("<i4").tobytes()], pa.binary()),
-                 pa.array([list(rare)], pa.list_(pa.string()))], ["ids", "counts", "codes", "rare"])
+                 pa.array([number[np.concatenate(codes)].astype("<i4").tobytes()], pa.binary()),
+                 pa.array([[words[i] for i in rare.tolist()]], pa.list_(pa.string()))], ["ids", "counts", "codes", "rare"])
 
-        ids, counts, codes, rare, chars = [], [], [], Counter64(), 0
+        ids, counts, codes, local, chars = [], [], [], Counter64(), 0
         for b in batches:
             ids_type = b.column("doc_id").type
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 words = find(t)
-                c = [index.get(w, -1) for w in words]
-                c = [k if k >= 0 else size + rare[w] for k, w in zip(c, words)] if -1 in c else c
                 ids.append(i)
-                counts.append(len(c))
-                codes.append(np.array(c, np.int32))
+                counts.append(len(words))
+                codes.append(np.fromiter(map(local.__getitem__, words), np.int32, len(words)))
                 chars += len(t)
                 if chars >= BLOCK_CHARS:
-                    yield row(ids, counts, codes, rare)
-                    ids, counts, codes, rare, chars = [], [], [], Counter64(), 0
+                    yield row(ids, counts, codes, local)
+                    ids, counts, codes, local, chars = [], [], [], Counter64(), 0
         if ids:
-            yield row(ids, counts, codes, rare)
+            yield row(ids, counts, codes, local)
 
     return documents(docs).mapInArrow(run, f"ids array<{id_type}>, counts binary, codes binary, rare array<string>")
 
 
-_cache: dict[int, dict] = {}
+_cache: dict[int, Dictionary] = {}
 
 
-def _index(known) -> dict[str, int]:
-    """word -> number in the dictionary, built once a worker."""
+def _dictionary(known) -> Dictionary:
+    """Built once a worker."""
     if known.value[0] not in _cache:
         _cache.clear()
         with pa.ipc.open_stream(known.value[1]) as r:
-            _cache[known.value[0]] = {w: k for k, w in enumerate(r.read_all().column("word").to_pylist())}
+            _cache[known.value[0]] = Dictionary(r.read_all().column("word").combine_chunks())
     return _cache[known.value[0]]
 
 
@@ -212,18 +237,20 @@ def finish_blocks(blocks: DataFrame, known, pieces: list[bytes], id_type: str) -
     def run(batches):
         with pa.ipc.open_stream(known.value[1]) as r:
             size, flat = _lists(r.read_all().column("ids"))
+        flat = flat.astype(np.uint32)
+        starts = np.cumsum(size) - size
         table = shared.value
         for b in batches:
             for row in range(b.num_rows):
                 more, extra = _lists(b.column("rare_ids").slice(row, 1).flatten())
                 sizes = np.concatenate([size, more])
-                values = np.concatenate([flat, extra]).astype(np.uint32)
-                starts = np.cumsum(sizes) - sizes
+                values = np.concatenate([flat, extra.astype(np.uint32)])
+                first = np.concatenate([starts, len(flat) + np.cumsum(more) - more])
                 codes = np.frombuffer(b.column("codes")[row].as_py(), "<i4")
                 counts = np.frombuffer(b.column("counts")[row].as_py(), "<i4")
                 out, ends = [], np.cumsum(counts)
                 for a, z in zip(ends - counts, ends):
-                    ids, _ = gather(starts, sizes, values, codes[a:z])
+                    ids, _ = gather(first, sizes, values, codes[a:z])
                     out.append((ids.astype("<u4").tobytes(), b"".join(map(table.__getitem__, ids.tolist()))))
                 cols = list(zip(*out))
                 yield pa.RecordBatch.from_arrays(
