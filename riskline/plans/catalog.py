@@ -555,6 +555,40 @@ def q_stream_latest_state(spark, sf):
     return s.select("conv_id", "turn", _r("risk_score", "risk_score"), "risk_band")
 
 
+def q_stream_dead_letter(spark, sf):
+    """Conversations through an extractor that fails on every 5th turn at first, cannot read every 7th, and recovers
+    but for every 10th: after one replay, what each turn came to and after how many attempts."""
+    from riskline.session import scratch_path
+    from riskline.streaming import stream as St
+    model = doc_linear_model(spark, sf)
+    out, ck = scratch_path(spark, "letters"), scratch_path(spark, "letters-ckpt")
+    src = _as_stream(spark, sf, "conversations", ["conv_id", "turn", "text"], ["conv_id", "turn"])
+    n = F.col("conv_id") * 31 + F.col("turn")
+
+    def extract(df, every):
+        failed, unread = F.pmod(n, F.lit(every)) == 0, F.pmod(n, F.lit(7)) == 0
+        return (df.withColumn("text", F.when(failed | unread, F.lit("")).otherwise(F.col("raw")))
+                .withColumn("status", F.when(failed, F.lit(Ex.STATUS_ERROR)).when(unread, F.lit(Ex.STATUS_UNREADABLE))
+                            .otherwise(F.lit(Ex.STATUS_OK)))
+                .withColumn("error", F.when(failed, F.lit("extractor failed"))))
+
+    def scorer(batch):
+        s = Fe.score_linear(batch, "conv_id", "text", model, keep=("turn",))
+        return s.withColumn("risk_band", R.band("risk_score"))
+
+    St.monitor(extract(src.withColumnRenamed("text", "raw"), 5), scorer, out, ck, key="conv_id", order="turn",
+               trigger="availableNow").awaitTermination()
+    St.replay(spark, out, lambda d: extract(d, 10), scorer, "conv_id", "turn", 0)
+    scores = spark.read.parquet(f"{out}/scores")
+    attempts = F.when(F.col("batch_id") >= St.REPLAYS, 2).otherwise(1)
+    left = St.open_letters(spark, out, "conv_id", "turn")
+    done = scores.select("conv_id", "turn", F.lit("scored").alias("came_to"), attempts.alias("attempts"),
+                         _r("risk_score", "risk_score"), "risk_band")
+    return done.unionByName(left.select("conv_id", "turn", F.lit("open").alias("came_to"), F.col("attempt").alias("attempts"),
+                                        F.lit(None).cast("double").alias("risk_score"),
+                                        F.lit(None).cast("string").alias("risk_band")))
+
+
 def q_stream_frame_sample(spark, sf):
     """Frames arrive in time order, a quarter of them between two runs; each run goes on from the checkpoint."""
     from riskline.session import scratch_path
@@ -628,6 +662,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lr_tfidf_eval": q_lr_tfidf_eval,
     "lr_classify": q_lr_classify,
     "lr_vectors_fit": q_lr_vectors_fit,
+    "stream_dead_letter": q_stream_dead_letter,
     "lr_tfidf_optimal": q_lr_tfidf_optimal,
     "lr_vectors_optimal": q_lr_vectors_optimal,
     "model_roundtrip": q_model_roundtrip,

@@ -403,6 +403,18 @@ SQL["stream_latest_state"] = SQL["latest_state"]
 SQL["stream_frame_sample"] = SQL["frame_sample"]
 SQL["stream_capture_names"] = SQL["capture_names"]
 
+SQL["stream_dead_letter"] = f"""
+WITH {DOC_MODEL},
+x AS (SELECT conv_id, turn, (conv_id * 31 + turn) AS n, text AS raw FROM conversations),
+t AS (SELECT conv_id, turn, n, CASE WHEN n % 10 = 0 OR n % 7 = 0 THEN '' ELSE raw END AS text FROM x),
+{score_sql('t', ['conv_id', 'turn'], 'text')}
+SELECT conv_id, turn, CASE WHEN n % 10 = 0 THEN 'open' ELSE 'scored' END AS came_to,
+       (CASE WHEN n % 5 = 0 THEN 2 ELSE 1 END)::INTEGER AS attempts,
+       CASE WHEN n % 10 <> 0 THEN round(risk_score, 6) END AS risk_score,
+       CASE WHEN n % 10 <> 0 THEN {band_sql('risk_score')} END AS risk_band
+FROM t JOIN s_score USING (conv_id, turn)
+"""
+
 SQL["media_scan_report"] = SQL["scan_report"]
 
 SQL["vector_scan_report"] = f"""

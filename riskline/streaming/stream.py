@@ -20,18 +20,19 @@ Triggers: ``processingTime`` for the fixed-interval loops (L1 2 s, L2 3 s),
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from riskline.functions import risk as R
 from riskline.functions.text import capture_name
 from riskline.operators.ranking import key_rank
-from riskline.sources.extract import STATUS_OK
-from riskline.streaming.keyed_log import KeyedLog, latest_log, numbered
+from riskline.sources.extract import STATUS_OK, STATUS_UNREADABLE
+from riskline.streaming.keyed_log import DONE, KeyedLog, file_system, latest_log, numbered
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour for right results).
@@ -84,36 +85,87 @@ def latest_per_key(df: DataFrame, key: str, order: str, cols: list[str]) -> Data
 
 def monitor(stream_df: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_dir: str,
             checkpoint: str, key: str, order: str, trigger: str | None = MONITOR_INTERVAL,
-            state_cols: list[str] | None = None) -> StreamingQuery:
+            state_cols: list[str] | None = None, unreadable: str = "empty", name: str | None = None) -> StreamingQuery:
     """L1/L2/L4/L5/L6/L7 + B6: score every micro-batch, write scores, alerts and latest state.
 
     ``scorer(batch) -> DataFrame`` must add ``risk_score`` and ``risk_band``.
-    If the stream has a ``status`` column (from ``extract_text``), rows whose
-    extraction failed are written to ``dead_letter/`` and skipped.
+    If the stream has a ``status`` column (from ``extract_text``), rows whose extraction
+    failed are written to ``dead_letter/`` with their error and attempt number, whole, for
+    ``replay``. Input that could only not be read scores as empty text (0.0, LOW) under
+    ``unreadable = 'empty'`` and goes the same way as failures under ``'dead_letter'``.
+    (``key``, ``order``) names a row.
     """
-    spark = stream_df.sparkSession
-    scores, alerts = f"{out_dir}/scores", f"{out_dir}/alerts"
-    state, dead = f"{out_dir}/state", f"{out_dir}/dead_letter"
+    if unreadable not in ("empty", "dead_letter"):
+        raise ValueError("unreadable must be 'empty' or 'dead_letter'")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         if "status" in batch.columns:
-            failed = batch.where(F.col("status") != STATUS_OK).withColumn("scan_status", F.lit(SCAN_ERROR))
-            _write_batch(failed, dead, batch_id)
-            batch = batch.where(F.col("status") == STATUS_OK)
-        # Scored once, used by the three outputs; a lost block is recomputed
-        # from the micro-batch's own input (scoring is deterministic).
-        scored = scorer(batch).withColumn("scan_status", F.lit(SCAN_COMPLETE)) \
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            _write_batch(scored, scores, batch_id)
-            _write_batch(scored.where(R.is_alert("risk_band")), alerts, batch_id)
-            log = _state_log(spark, state, key, order, scored, state_cols)
-            log.append(scored.select(*log_columns(log)), batch_id)
-        finally:
-            scored.unpersist()
+            failed = _failed(unreadable)
+            letters = batch.where(failed).withColumn("scan_status", F.lit(SCAN_ERROR)).withColumn("attempt", F.lit(1))
+            _write_batch(letters, f"{out_dir}/dead_letter", batch_id)
+            batch = batch.where(~failed)
+        _publish(batch, scorer, out_dir, batch_id, key, order, state_cols, "state")
 
     w = stream_df.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
-    return _trigger(w, trigger).start()
+    return _trigger(w.queryName(name) if name else w, trigger).start()
+
+
+def _failed(unreadable: str):
+    ok = [STATUS_OK, STATUS_UNREADABLE] if unreadable == "empty" else [STATUS_OK]
+    return ~F.coalesce(F.col("status").isin(ok), F.lit(False))
+
+
+def _publish(rows: DataFrame, scorer, out_dir: str, batch_id: int, key: str, order: str, state_cols, state: str) -> None:
+    """Scores, alerts and state of one batch. Scored once, used by the three outputs; a lost block is recomputed
+    from the batch's own input (scoring is deterministic)."""
+    scored = scorer(rows).withColumn("scan_status", F.lit(SCAN_COMPLETE)).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _write_batch(scored, f"{out_dir}/scores", batch_id)
+        _write_batch(scored.where(R.is_alert("risk_band")), f"{out_dir}/alerts", batch_id)
+        log = _state_log(rows.sparkSession, f"{out_dir}/{state}", key, order, scored, state_cols)
+        log.append(scored.select(*log_columns(log)), batch_id)
+    finally:
+        scored.unpersist()
+
+
+#: Replays are batches of their own, numbered from here on, apart from those of the stream.
+REPLAYS = 1 << 40
+
+
+def open_letters(spark: SparkSession, out_dir: str, key: str, order: str) -> DataFrame:
+    """Rows that failed and have not been scored since, each with its last attempt."""
+    letters = spark.read.parquet(f"{out_dir}/dead_letter").drop("batch_id")
+    rows = [c for c in letters.columns if c not in (key, order)]
+    last = letters.groupBy(key, order).agg(F.max_by(F.struct(*rows), "attempt").alias("_last")).select(key, order, "_last.*")
+    done = spark.read.parquet(f"{out_dir}/scores").select(F.col(key).alias("_key"), F.col(order).alias("_order"))
+    return last.join(done, last[key].eqNullSafe(done["_key"]) & last[order].eqNullSafe(done["_order"]), "left_anti")
+
+
+def replay(spark: SparkSession, out_dir: str, extract: Callable[[DataFrame], DataFrame],
+           scorer: Callable[[DataFrame], DataFrame], key: str, order: str, run: int,
+           state_cols: list[str] | None = None, unreadable: str = "empty") -> None:
+    """Try the open dead letters once more, as replay number ``run`` (0, 1, ...).
+
+    ``extract`` gets the letters without their text, status and error and gives them anew. What
+    succeeds is scored, alerts if it must and enters the latest state (where a newer row of
+    its key stays); what fails again is a letter with the next attempt number. The letters
+    of a run are written down before they are tried, so a run that broke off and is
+    repeated under its number tries the same rows and overwrites its own files.
+    """
+    batch_id, todo = REPLAYS + run, f"{out_dir}/replays/run={run}"
+    p, fs = file_system(spark, f"{todo}/{DONE}")
+    if not fs.exists(p):
+        open_letters(spark, out_dir, key, order).write.mode("overwrite").parquet(todo)
+    letters = spark.read.parquet(todo)
+    again = extract(letters.drop("text", "status", "error", "scan_status"))
+    # extracted once: what fails and what is scored come from the same attempt
+    tried = f"{out_dir}/replays/tried={run}"
+    again.write.mode("overwrite").parquet(tried)
+    again = spark.read.schema(again.schema).parquet(tried)
+    failed = _failed(unreadable)
+    out = again.where(failed).withColumn("attempt", F.col("attempt") + 1).withColumn("scan_status", F.lit(SCAN_ERROR))
+    _write_batch(out.select(*letters.columns), f"{out_dir}/dead_letter", batch_id)
+    _publish(again.where(~failed).drop("attempt"), scorer, out_dir, batch_id, key, order, state_cols, "state_replayed")
 
 
 def _state_log(spark: SparkSession, path: str, key: str, order: str, rows: DataFrame,
@@ -128,13 +180,54 @@ def log_columns(log: KeyedLog) -> list[str]:
 
 
 def read_state(spark: SparkSession, out_dir: str, key: str, order: str) -> DataFrame:
-    """The monitor's latest row of every key."""
-    path = f"{out_dir}/state"
-    written = numbered(spark, f"{path}/changes", "batch_id=")
-    if not written:
+    """The monitor's latest row of every key, replayed rows included."""
+    logs = []
+    for path in (f"{out_dir}/state", f"{out_dir}/state_replayed"):
+        written = numbered(spark, f"{path}/changes", "batch_id=")
+        if written:
+            rows = spark.read.parquet(f"{path}/changes/batch_id={written[-1]}")  # for its schema
+            logs.append(_state_log(spark, path, key, order, rows))
+    if not logs:
         raise FileNotFoundError("no state written yet")
-    rows = spark.read.parquet(f"{path}/changes/batch_id={written[-1]}")  # for its schema
-    return _state_log(spark, path, key, order, rows).read()
+    rows = logs[0].rows()
+    for log in logs[1:]:
+        rows = rows.unionByName(log.rows())
+    return logs[0].merged(rows)
+
+
+class ScanStatus(StreamingQueryListener):
+    """L1/L2: what a running scan does, as rows of a table: one when it starts, one a finished batch that had input,
+    one when it stops.
+
+    (query, run_id, at, event, batch_id, rows, rows_per_second, error); the stop's ``error`` is null when it was asked
+    for or the input ended. Each row is a small file of its own below ``path``, written by the driver, which is told.
+    """
+
+    SCHEMA = ("query string, run_id string, at timestamp, event string, batch_id long, rows long, "
+              "rows_per_second double, error string")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.names = spark, path, {}
+
+    def _row(self, run_id, event, batch_id=None, rows=None, speed=None, error=None):
+        run_id = str(run_id)
+        row = (self.names.get(run_id), run_id, datetime.now(timezone.utc), event, batch_id, rows, speed, error)
+        self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+
+    def onQueryStarted(self, event):
+        self.names[str(event.runId)] = event.name
+        self._row(event.runId, "started")
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        if p.numInputRows:
+            self._row(p.runId, "batch", p.batchId, p.numInputRows, p.processedRowsPerSecond)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        self._row(event.runId, "stopped", error=event.exception)
 
 
 def sample_frames(df: DataFrame, frame_col: str, every: int = SAMPLE_EVERY) -> DataFrame:

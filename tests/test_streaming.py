@@ -208,3 +208,76 @@ def test_count_frames_of_a_hot_stream(spark, tmp_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     want = every.withColumn("frame_no", F.row_number().over(w)).where("frame_no % 30 = 0")
     assert got == {tuple(r) for r in want.select("user_id", "event_id", "frame_no").collect()}
+
+
+def test_replay_is_idempotent_and_keeps_newer_state(spark, tmp_dir):
+    from riskline.functions import risk as R
+    from riskline.operators import features as Fe
+    src_dir, out = os.path.join(tmp_dir, "scans"), os.path.join(tmp_dir, "mon")
+    rows = [(1, 1, "urgent", "", "error", "e1"), (1, 2, "calm", "calm", "ok", None), (2, 1, "urgent", "", "error", "e2"),
+            (3, 1, "", "", "unreadable", None), (4, 1, "urgent", "", "error", "e4")]
+    spark.createDataFrame(rows, "stream_id long, seq long, raw string, text string, status string, error string") \
+        .write.parquet(src_dir)
+    model = Fe.TermModel(("urgent",), (1.0,), (3.0,), 1)
+
+    def scorer(b):
+        return Fe.score_linear(b, "stream_id", "text", model, keep=("seq",)).withColumn("risk_band", R.band("risk_score"))
+
+    def extract(bad):
+        return lambda d: d.withColumn("text", F.when(F.col("stream_id").isin(bad), F.lit("")).otherwise(F.col("raw"))) \
+            .withColumn("status", F.when(F.col("stream_id").isin(bad), F.lit("error")).otherwise(F.lit("ok"))) \
+            .withColumn("error", F.when(F.col("stream_id").isin(bad), F.lit("again")))
+
+    St.monitor(St.file_stream(spark, src_dir), scorer, out, os.path.join(tmp_dir, "ck"), key="stream_id", order="seq",
+               trigger="availableNow").awaitTermination()
+    state = lambda: {r.stream_id: (r.seq, r.risk_band) for r in St.read_state(spark, out, "stream_id", "seq").collect()}
+    left = lambda: sorted((r.stream_id, r.seq, r.attempt, r.error) for r in
+                          St.open_letters(spark, out, "stream_id", "seq").collect())
+    assert state() == {1: (2, "MEDIUM"), 3: (1, "LOW")}  # what could not be read scores 0.0
+    assert left() == [(1, 1, 1, "e1"), (2, 1, 1, "e2"), (4, 1, 1, "e4")]
+    for _ in range(2):  # the same run twice
+        St.replay(spark, out, extract([2, 4]), scorer, "stream_id", "seq", 0)
+        assert left() == [(2, 1, 2, "again"), (4, 1, 2, "again")]
+        assert spark.read.parquet(f"{out}/scores").count() == 3
+        assert state() == {1: (2, "MEDIUM"), 3: (1, "LOW")}  # an older row does not replace a newer one
+    St.replay(spark, out, extract([4]), scorer, "stream_id", "seq", 1)
+    assert left() == [(4, 1, 3, "again")] and state()[2] == (1, "HIGH")
+    alerts = sorted((r.stream_id, r.seq) for r in spark.read.parquet(f"{out}/alerts").collect())
+    assert alerts == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_status_of_a_running_scan(spark, tmp_dir):
+    import time
+    from riskline.functions import risk as R
+    src_dir, out, status = (os.path.join(tmp_dir, n) for n in ("scans", "mon", "status"))
+    schema = "stream_id long, seq long, text string"
+    spark.createDataFrame([(1, 1, "a")], schema).write.parquet(src_dir)
+    listener = St.ScanStatus(spark, status)
+    spark.streams.addListener(listener)
+
+    def scorer(b):
+        return b.withColumn("risk_score", F.lit(0.0)).withColumn("risk_band", R.band("risk_score"))
+
+    def events(n):
+        for _ in range(200):
+            if os.path.exists(f"{status}/_SUCCESS"):
+                got = sorted(spark.read.parquet(status).collect(), key=lambda r: r.at)
+                if len(got) >= n:
+                    return got
+            time.sleep(0.1)
+        raise AssertionError("no status")
+
+    try:
+        q = St.monitor(spark.readStream.schema(schema).parquet(src_dir), scorer, out, os.path.join(tmp_dir, "ck"),
+                       key="stream_id", order="seq", trigger="1 second", name="desk scan")
+        q.processAllAvailable()
+        events(2)
+        spark.createDataFrame([(1, 2, "b"), (2, 1, "c")], schema).write.mode("append").parquet(src_dir)
+        q.processAllAvailable()
+        events(3)
+        q.stop()
+        got = events(4)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [(r.event, r.batch_id, r.rows) for r in got] == [("started", None, None), ("batch", 0, 1), ("batch", 1, 2), ("stopped", None, None)]
+    assert {r.query for r in got} == {"desk scan"} and got[-1].error is None and len({r.run_id for r in got}) == 1
