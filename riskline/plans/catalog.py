@@ -92,8 +92,7 @@ def q_score_linear(spark, sf):
 
 # Derivations of raw label cells from the labels table (every row kept).
 RAW_WORDS = L.PHISHING_WORDS + L.SAFE_WORDS + ["maybe", "2", "1.0", "Phishing Email", "SAFE EMAIL"]
-PSEUDO_FILES = ["Enron.csv", "CEAS_08.csv", "Ling.csv", "Nazario.csv", "Nigerian_Fraud.csv",
-                "SpamAssassin.csv", "phishing_email.csv", "emails.csv", "unknown.csv", "A b.csv"]
+PSEUDO_FILES = [*L.SAFE_SOURCES, *L.PHISHING_SOURCES, *M.EXCLUDED_FILES, "unknown.csv", "A b.csv"]
 
 
 def _docs_labelled(spark, sf):
@@ -193,6 +192,39 @@ def q_union_sources(spark, sf):
     return d.unionByName(p).unionByName(c)
 
 
+def _as_csv(df, folder, name):
+    """Write ``df`` as one mail CSV of that name in ``folder``."""
+    from riskline.sources.sinks import write_csv
+    from riskline.streaming.keyed_log import file_system
+    spark = df.sparkSession
+    part, fs = file_system(spark, write_csv(df.coalesce(1), f"{folder}-parts/{name}"))
+    fs.mkdirs(file_system(spark, folder)[0])
+    for st in fs.listStatus(part):
+        if st.getPath().getName().startswith("part-"):
+            fs.rename(st.getPath(), file_system(spark, f"{folder}/{name}")[0])
+
+
+def q_mail_ingest(spark, sf):
+    """Labelled documents as CSV files of unlike headers in the shared folder, read back as one collection."""
+    from riskline.session import scratch_path
+    d = _docs_labelled(spark, sf)
+    folder = scratch_path(spark, "mails")
+    part = lambda k: d.where(F.pmod("doc_id", F.lit(5)) == k)
+    named = F.when(F.col("toxic") == 1, F.lit(L.STRICT_PHISHING)).otherwise(F.lit(L.STRICT_SAFE))
+    files = {
+        "a b+c%.csv": part(0).select("doc_id", F.col("source").alias("subject"), F.col("text").alias("body"),
+                                     F.col("toxic").alias("label"), F.lit("x").alias("source_file")),
+        "words.csv": part(1).select(F.lit("no").alias("Body"), F.lit("no").alias("_path"), F.lit("no").alias("_kind"),
+                                    F.col("text").alias("Email Text"), named.alias("Email Type")),
+        "Enron.csv": part(2).select("text", F.col("source").alias("Subject"), F.col("lang").alias("sender")),
+        "unknown.csv": part(3).select("text"),
+        "emails.csv": part(4).select("text", F.col("toxic").alias("label")),
+    }
+    for name, df in files.items():
+        _as_csv(df, folder, name)
+    return M.read_mail_dir(spark, folder)
+
+
 def _with_injected_blanks(spark, sf):
     """documents left-joined with labels; every 10th text replaced by its whitespace
     skeleton (blank) and the next by null, so D2/D3 have rows to drop."""
@@ -662,6 +694,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lr_tfidf_eval": q_lr_tfidf_eval,
     "lr_classify": q_lr_classify,
     "lr_vectors_fit": q_lr_vectors_fit,
+    "mail_ingest": q_mail_ingest,
     "stream_dead_letter": q_stream_dead_letter,
     "lr_tfidf_optimal": q_lr_tfidf_optimal,
     "lr_vectors_optimal": q_lr_vectors_optimal,

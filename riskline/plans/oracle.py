@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from riskline.functions import labels as _L
 from riskline.functions.text import NON_WS, TOKEN, WS
+from riskline.sources.mail import EXCLUDED_FILES
 from riskline.sources.extract import HTML_COMMENT, HTML_SCRIPT, HTML_STYLE, HTML_TAG
 
 K = 5000
@@ -139,8 +140,7 @@ def severity_sql(band: str) -> str:
 
 
 RAW_WORDS = _L.PHISHING_WORDS + _L.SAFE_WORDS + ["maybe", "2", "1.0", "Phishing Email", "SAFE EMAIL"]
-PSEUDO_FILES = ["Enron.csv", "CEAS_08.csv", "Ling.csv", "Nazario.csv", "Nigerian_Fraud.csv",
-                "SpamAssassin.csv", "phishing_email.csv", "emails.csv", "unknown.csv", "A b.csv"]
+PSEUDO_FILES = [*_L.SAFE_SOURCES, *_L.PHISHING_SOURCES, *EXCLUDED_FILES, "unknown.csv", "A b.csv"]
 
 SQL["assemble_text"] = f"""
 SELECT page_id, trim(concat_ws(' ', {clean_basic_sql('body')}, {clean_basic_sql('urls')})) AS text FROM (
@@ -403,6 +403,14 @@ SQL["stream_latest_state"] = SQL["latest_state"]
 SQL["stream_frame_sample"] = SQL["frame_sample"]
 SQL["stream_capture_names"] = SQL["capture_names"]
 
+SQL["mail_ingest"] = f"""
+WITH d AS (SELECT doc_id, source, lang, toxic, {clean_basic_sql('text')} AS t FROM documents JOIN labels USING (doc_id))
+SELECT trim({clean_basic_sql('source')} || ' ' || t) AS text, toxic::INTEGER AS label, 'a b+c%.csv' AS source_file
+FROM d WHERE doc_id % 5 = 0
+UNION ALL SELECT trim(t), toxic::INTEGER, 'words.csv' FROM d WHERE doc_id % 5 = 1
+UNION ALL SELECT trim({clean_basic_sql('lang')} || ' ' || t), 0, 'Enron.csv' FROM d WHERE doc_id % 5 = 2
+"""
+
 SQL["stream_dead_letter"] = f"""
 WITH {DOC_MODEL},
 x AS (SELECT conv_id, turn, (conv_id * 31 + turn) AS n, text AS raw FROM conversations),

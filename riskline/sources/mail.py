@@ -1,19 +1,18 @@
 """Mail ingest.
 
-Files in a folder may differ in header. Decisions that depend on the header
-(which text columns, which label rule) are taken on the driver from metadata
-only; rows stay distributed. Files sharing a header are read by one reader.
+Files in a folder may differ in header. Their records are landed by place in one
+job, their headers become a table of one row a file, and decisions that depend on
+the header (which text columns, which label rule) are expressions over the two.
 """
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskline.functions import labels as L
 from riskline.functions.text import clean_basic, is_blank
+from riskline.session import scratch_path
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's behaviour for right results).
@@ -105,67 +104,89 @@ def list_csv_files(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) ->
     return sorted(out)
 
 
-def header_names(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Exact header names of one CSV file, from its first line (a one-row read)."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return ()
-    return tuple(next(csv.reader([first[0][0]])))
+#: Most columns a mail CSV may have.
+MAX_COLUMNS = 64
+
+
+def land_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Records of CSV files by place, whatever their headers: (file, id, cells), written once to the shared folder.
+
+    One job for all files. A multi-line CSV can only be parsed from its start, by one task a
+    file; what is landed is split like any parquet table. ``file`` is the scan's URI, ``id``
+    ascends within a file, so the header is the record of least id.
+    """
+    names = [f"c{i}" for i in range(MAX_COLUMNS + 1)]  # one more than allowed, to notice it
+    df = (_csv_reader(spark).option("header", False).schema(", ".join(f"{n} string" for n in names)).csv(paths)
+          .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"),
+                  F.array(*names).alias("cells")))
+    return _written(df, "mail-rows")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """(file, header_id, header, source_file, rule) of every file, one row each; written once.
+
+    ``source_file`` is the bare file name (A5), ``rule`` what its label comes from (C5): the name
+    of a column, 'source' for the rule by file name, or null.
+    """
+    h = rows.groupBy("file").agg(F.min("id").alias("header_id"), F.min_by("cells", "id").alias("header"))
+    encoded = F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B"))
+    name = F.reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), encoded, F.lit("UTF-8"))
+    has = lambda c: F.array_contains("header", c)
+    rule = (F.when(has(LABEL_COLUMN), F.lit(LABEL_COLUMN)).when(has(EMAIL_TYPE_COLUMN), F.lit(EMAIL_TYPE_COLUMN))
+            .when(L.label_from_source("source_file").isNotNull(), F.lit(BY_SOURCE)))
+    return _written(h.withColumn("source_file", name).withColumn("rule", rule), "mail-headers")
+
+
+#: Rule of a file whose label comes from its name.
+BY_SOURCE = "source"
+
+
+def _cell(name: str) -> Column:
+    """A row's cell under the header ``name`` (exact spelling; the first of equal names); null where there is none."""
+    at = F.array_position("header", name)
+    return L.na_to_null(F.when(at > 0, F.get("cells", (at - 1).cast("int"))))
 
 
 def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> DataFrame:
     """A2-A5 + C5-C7 + J3: all usable CSVs of a folder as (text, label, source_file).
 
-    * one reader per header signature (a multi-file read would apply one
-      header to all files);
-    * ``source_file`` is the bare listed name (the scan's file name is
-      percent-encoded, so it is mapped back through the listing);
-    * the label column's kind (numeric / boolean / string) is decided per
-      file by one small aggregate and joined back (one row per file).
+    The number of jobs does not depend on the number of files or headers: all records are
+    landed by place (``land_rows``), the headers are a table of one row a file, and a cell
+    is found through its file's header. Column names are compared exactly and never
+    become columns here, so ``text`` and ``Text``, ``source_file`` or any other name may
+    stand in a header. The label column's kind (numeric / boolean / string) is
+    decided a file. Files without a record are passed over.
     """
     files = list_csv_files(spark, folder, exclude)
     if not files:
         raise FileNotFoundError(f"{folder} holds no CSV file to read")
-    by_header: dict[tuple, list[tuple[str, str]]] = {}
-    for name, path in files:
-        cols = header_names(spark, path)
-        by_header.setdefault(cols, []).append((name, path))
-    if any(len({c.lower() for c in cols}) < len(cols) for cols in by_header):
-        # Names that differ only by case (``text`` and ``Text``) are distinct
-        # columns here; Spark would otherwise rename them (``text1``, ``Text2``).
-        spark.conf.set("spark.sql.caseSensitive", "true")
-    parts = []
-    for cols, group in by_header.items():
-        if not find_text_columns(cols):
-            raise ValueError(f"no known text column among {list(cols)}")
-        rules = {name: label_rule(cols, name) for name, _ in group}
-        usable = [(n, p) for n, p in group if rules[n] is not None]
-        if not usable:
-            continue
-        df = read_mail_csv(spark, [p for _, p in usable])
-        # The scan's _metadata.file_path is percent-encoded (``A b.csv`` -> ``A%20b.csv``);
-        # map it back through the encoded form of each listed path (A5).
-        jvm = spark.sparkContext._jvm
-        uris = [(jvm.org.apache.hadoop.fs.Path(p).toUri().toString(), n) for n, p in usable]
-        path_to_name = spark.createDataFrame(uris, "_path string, source_file string")
-        df = df.drop("source_file")  # a column of that name gives way to the file's own name
-        df = (df.withColumn("_path", F.col("_metadata.file_path"))
-                .join(F.broadcast(path_to_name), "_path").drop("_path"))
-        df = build_text(df)
-        rule = rules[usable[0][0]]
-        if rule[0] == "column":
-            kinds = (df.groupBy("source_file").agg(L.column_kind(F.col(f"`{rule[1]}`")).alias("_kind")))
-            df = df.join(F.broadcast(kinds), "source_file")
-            label = L.normalize_label(F.col(f"`{rule[1]}`"), F.col("_kind"))
-        else:
-            label = L.label_from_source("source_file")
-        parts.append(df.select("text", label.alias("label"), "source_file"))
-    if not parts:
+    rows = land_rows(spark, [p for _, p in files])
+    known = headers(rows)
+    text_names = F.array_intersect("header", F.array(*[F.lit(c) for c in TEXT_CANDIDATES]))
+    wrong = known.where((F.size(text_names) == 0) | F.get("header", F.lit(MAX_COLUMNS)).isNotNull()).first()
+    if wrong:
+        names = [c for c in wrong["header"] if c is not None]
+        raise ValueError(f"more than {MAX_COLUMNS} columns in {wrong['source_file']}" if len(names) > MAX_COLUMNS
+                         else f"no known text column among {names}")
+    known = known.where("rule is not null")
+    if known.isEmpty():
         raise ValueError(f"no CSV file of {folder} has a label rule")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    d = rows.join(known, "file").where("id <> header_id")
+    joined = F.concat_ws(" ", *(F.when(F.array_contains("header", c), clean_basic(_cell(c))) for c in TEXT_CANDIDATES))
+    raw = F.when(F.col("rule") == LABEL_COLUMN, _cell(LABEL_COLUMN)).when(
+        F.col("rule") == EMAIL_TYPE_COLUMN, _cell(EMAIL_TYPE_COLUMN))
+    d = d.select(F.trim(joined).alias("text"), raw.alias("raw"), "rule", "source_file")
+    kinds = d.where(F.col("rule") != BY_SOURCE).groupBy("source_file").agg(L.column_kind("raw").alias("kind"))
+    d = d.join(_written(kinds, "mail-kinds"), "source_file", "left")  # one row a file
+    label = F.when(F.col("rule") == BY_SOURCE, L.label_from_source("source_file")).otherwise(
+        L.normalize_label("raw", F.col("kind")))
+    return d.select("text", label.alias("label"), "source_file")
 
 
 def drop_unusable(df: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:

@@ -104,3 +104,46 @@ def test_headers_differing_by_case(spark, tmp_dir):
         spark.conf.set("spark.sql.caseSensitive", prev)
     # only the exact name ``text`` is a candidate; ``Text`` is ignored
     assert rows == [("s lower one", 1, "CEAS_08.csv")]
+
+
+def test_odd_headers_and_names(spark, tmp_dir):
+    files = {
+        "a b+c%41.csv": 'source_file,_path,file,id,body,Body,body,label\nx,y,z,9,first,no,second,1\n',
+        "quoted.csv": '"sub\nject","subject",Email Type\n"a, ""b""",S,fraud\n,,ham\n',
+        "short.csv": 'body,label\nonly\nb,0,more\n',
+        "head.csv": 'body,label\n',
+        "empty.csv": '',
+    }
+    for name, body in files.items():
+        with open(os.path.join(tmp_dir, name), "w") as f:
+            f.write(body)
+    before = spark.conf.get("spark.sql.caseSensitive")
+    got = sorted(map(tuple, M.read_mail_dir(spark, tmp_dir).collect()), key=str)
+    assert spark.conf.get("spark.sql.caseSensitive") == before
+    assert got == sorted([("first", 1, "a b+c%41.csv"), ("s", 1, "quoted.csv"), ("", 0, "quoted.csv"),
+                          ("only", None, "short.csv"), ("b", 0, "short.csv")], key=str)
+    with open(os.path.join(tmp_dir, "wide.csv"), "w") as f:
+        f.write(",".join(["label", "body"] + ["c%d" % i for i in range(M.MAX_COLUMNS)]) + "\n1,x\n")
+    with pytest.raises(ValueError, match="columns"):
+        M.read_mail_dir(spark, tmp_dir)
+
+
+def test_number_of_jobs_does_not_grow_with_files(spark, tmp_dir):
+    def jobs(n):
+        folder = os.path.join(tmp_dir, str(n))
+        os.makedirs(folder)
+        for i in range(n):
+            with open(os.path.join(folder, f"m{i}.csv"), "w") as f:
+                f.write(f"body,x{i},label\nt{i},1,{i % 2}\n")
+        group = f"ingest-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            df = M.read_mail_dir(spark, folder)
+            count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert df.count() == n
+        return count
+
+    few, many = jobs(2), jobs(25)
+    assert many == few
