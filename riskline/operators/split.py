@@ -111,6 +111,6 @@ def quotas(sizes: DataFrame, frac: float, label_col: str | None) -> DataFrame:
     return ranked.select("_s", "n", (F.col("base") + (F.col("place") <= extra).cast("bigint")).alias("k"))
 
 
-def split_sizes(df: DataFrame, split_col: str = "split") -> DataFrame:
-    """H4: rows per split."""
-    return df.groupBy(split_col).agg(F.count(F.lit(1)).alias("n_rows"))
+def split_sizes(df: DataFrame, split_col: str = "split", *by: str) -> DataFrame:
+    """H4: rows per split, and per value of ``by`` where given."""
+    return df.groupBy(split_col, *by).agg(F.count(F.lit(1)).alias("n_rows"))

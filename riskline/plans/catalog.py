@@ -119,6 +119,11 @@ def q_strict_label(spark, sf):
     return d.select("doc_id", "email_type", L.strict_label("email_type").alias("label"))
 
 
+def q_strict_label_drop(spark, sf):
+    d = M.valid_text(_docs_labelled(spark, sf).withColumn("email_type", _email_type()), "text")
+    return L.apply_strict_label(d, "email_type", on_unmapped="drop").select("doc_id", "label")
+
+
 def _raw_word():
     w = F.element_at(F.array(*[F.lit(x) for x in RAW_WORDS]), (F.pmod("doc_id", F.lit(len(RAW_WORDS))) + 1).cast("int"))
     deco = F.pmod("doc_id", F.lit(3))
@@ -244,6 +249,55 @@ def q_row_counts(spark, sf):
     return Ev.row_counts(_with_injected_blanks(spark, sf), M.usable())
 
 
+def q_combined_dataset(spark, sf):
+    """B1: the usable rows landed as parquet by source, and as CSV, both read back."""
+    from riskline.session import scratch_path
+    from riskline.sources.sinks import read_combined, write_csv
+    d = _docs_labelled(spark, sf).select("text", F.col("toxic").alias("label"), F.col("source").alias("source_file"))
+    d = M.drop_unusable(d)
+    path = M.land(d, scratch_path(spark, "combined"))
+    again = read_combined(spark, write_csv(spark.read.parquet(path).select(*d.columns), scratch_path(spark, "combined-csv")))
+    return again.select("source_file", "label", F.md5("text").alias("text_md5"))
+
+
+def q_report_file(spark, sf):
+    """B2 + J1: the scan report written as CSV and read back, with each file's place in the order of names."""
+    from riskline.session import scratch_path
+    from riskline.sources.sinks import read_report, write_report
+    report = read_report(spark, write_report(q_scan_report(spark, sf), scratch_path(spark, "report")))
+    placed = key_rank(report.withColumn("all", F.lit(0)), ["all"], ["filename"], "place")
+    return placed.select("place", "filename", "risk_score", "risk_band")
+
+
+def q_run_metrics(spark, sf):
+    """Two runs appended to the table of runs."""
+    from riskline.operators import model as Mo
+    from riskline.session import scratch_path
+    path = scratch_path(spark, "runs")
+    for name in ("first", "second"):
+        Mo.write_run_metrics(spark, path, "labels", name, Ev.accuracy_f1(_cm(spark, sf)))
+    runs = spark.read.parquet(path)
+    return runs.select("dataset", "model", "accuracy", "f1", F.col("ts").rlike("^[0-9]{4}(-[0-9]{2}){2} [0-9]{2}(:[0-9]{2}){2}$").alias("dated"))
+
+
+def q_unreadable_inputs(spark, sf):
+    """Pages through a pandas extractor that cannot read some and fails on others, under each policy."""
+    p = spread_table(spark, sf, "pages").select("page_id", "html")
+
+    def extract(s):
+        import pandas as pd
+        n = s.str.len()
+        if (n % 11 == 0).any():
+            raise ValueError("too odd")
+        return pd.Series([None if k % 7 == 0 else "read %d" % k for k in n], dtype=object)
+
+    out = None
+    for policy in ("empty", "skip"):
+        part = Ex.extract_text(p, extract, "html", policy).select(F.lit(policy).alias("policy"), "page_id", "status", "text")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def q_class_distribution(spark, sf):
     return Ev.class_distribution(_docs_labelled(spark, sf).withColumnRenamed("toxic", "label"))
 
@@ -269,7 +323,7 @@ def q_split_stratified(spark, sf):
 
 def q_split_sizes(spark, sf):
     s = Sp.split(_labelled_rows(spark, sf), "doc_id", "label")
-    return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+    return Sp.split_sizes(s, "split", "label")
 
 
 def q_tfidf_holdout(spark, sf):
@@ -695,6 +749,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lr_classify": q_lr_classify,
     "lr_vectors_fit": q_lr_vectors_fit,
     "mail_ingest": q_mail_ingest,
+    "strict_label_drop": q_strict_label_drop,
+    "combined_dataset": q_combined_dataset,
+    "report_file": q_report_file,
+    "run_metrics": q_run_metrics,
+    "unreadable_inputs": q_unreadable_inputs,
     "stream_dead_letter": q_stream_dead_letter,
     "lr_tfidf_optimal": q_lr_tfidf_optimal,
     "lr_vectors_optimal": q_lr_vectors_optimal,

@@ -411,6 +411,32 @@ UNION ALL SELECT trim(t), toxic::INTEGER, 'words.csv' FROM d WHERE doc_id % 5 =
 UNION ALL SELECT trim({clean_basic_sql('lang')} || ' ' || t), 0, 'Enron.csv' FROM d WHERE doc_id % 5 = 2
 """
 
+SQL["strict_label_drop"] = f"""
+SELECT doc_id, label FROM ({SQL["strict_label"]}) WHERE label IS NOT NULL
+"""
+
+SQL["combined_dataset"] = f"""
+SELECT source AS source_file, toxic::INTEGER AS label, md5(text) AS text_md5
+FROM documents JOIN labels USING (doc_id) WHERE toxic IS NOT NULL AND text IS NOT NULL AND NOT {blank_sql('text')}
+"""
+
+SQL["report_file"] = f"""
+SELECT row_number() OVER (ORDER BY filename) AS place, * FROM ({SQL["scan_report"]})
+"""
+
+SQL["run_metrics"] = f"""
+SELECT 'labels' AS dataset, unnest(['first', 'second']) AS model, round(accuracy, 3) AS accuracy, round(f1, 3) AS f1,
+       true AS dated FROM ({SQL["accuracy_f1"]})
+"""
+
+SQL["unreadable_inputs"] = """
+WITH s AS (SELECT page_id, length(html) AS n FROM pages),
+r AS (SELECT page_id, CASE WHEN n % 11 = 0 THEN 'error' WHEN n % 7 = 0 THEN 'unreadable' ELSE 'ok' END AS status,
+             CASE WHEN n % 11 = 0 OR n % 7 = 0 THEN '' ELSE 'read ' || n END AS text FROM s)
+SELECT policy, page_id, status, text FROM r, (SELECT unnest(['empty', 'skip']) AS policy)
+WHERE policy = 'empty' OR status = 'ok'
+"""
+
 SQL["stream_dead_letter"] = f"""
 WITH {DOC_MODEL},
 x AS (SELECT conv_id, turn, (conv_id * 31 + turn) AS n, text AS raw FROM conversations),

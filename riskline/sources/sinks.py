@@ -26,3 +26,9 @@ def write_report(report: DataFrame, path: str) -> str:
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
             .schema("filename string, risk_score double, risk_band string").csv(path))
+
+
+def read_combined(spark: SparkSession, path: str) -> DataFrame:
+    """B1: the combined dataset from its CSV."""
+    return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+            .schema("text string, label int, source_file string").csv(path))

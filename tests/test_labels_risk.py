@@ -62,3 +62,16 @@ def test_blank_guard(spark):
     df = spark.createDataFrame([("", 0.9), (" ", 0.9), ("\t\n", 0.9), ("x", 0.9), (None, 0.9)],
                                "t string, p double")
     assert [r[0] for r in df.select(R.blank_guard("t", "p")).collect()] == [0.0, 0.0, 0.0, 0.9, 0.0]
+
+
+def test_strict_label_policies(spark):
+    import pytest
+    from riskline.functions import labels as L
+    df = spark.createDataFrame([(1, "Safe Email"), (2, "safe email"), (3, None), (4, "Phishing Email")], "id int, `a b` string")
+    get = lambda p: sorted((r.id, r.label) for r in L.apply_strict_label(df, "a b", on_unmapped=p).collect())
+    assert get("null") == [(1, 0), (2, None), (3, None), (4, 1)] and get("drop") == [(1, 0), (4, 1)]
+    with pytest.raises(Exception, match="no label for"):
+        get("fail")
+    assert L.apply_strict_label(df.where("id in (1, 4)"), "a b", on_unmapped="fail").count() == 2
+    with pytest.raises(ValueError):
+        get("other")
