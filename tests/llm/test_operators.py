@@ -1,6 +1,7 @@
 """Each operator against a plain version on a small corpus, and on odd rows."""
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -50,6 +51,25 @@ def test_quality_forest_keeps_most_and_isolates_outliers(odd, labels, empty):
     assert far > 0.65 > 0.5 > near
 
 
+def test_forest_isolates_rows_outside_a_constant_statistic():
+    r = np.random.default_rng(5)
+    x = np.column_stack([r.normal(5, 0.3, 3000), np.zeros(3000), r.exponential(1, 3000)])
+    f = quality_forest.Forest(x[:2000], 100, 256, 1)
+    good, bad = f.score(x[2000:]), f.score(x[2000:] + [0.0, 0.5, 0.0])
+    assert (bad > np.quantile(good, 0.99)).mean() > 0.9
+
+
+def test_quality_forest_rejects_unseen_bad_rows(spark):
+    r = random.Random(9)
+    text = lambda bad: " ".join("".join(r.choice("abcdef") for _ in range(r.randint(2, 7))) +  # noqa: E731
+                                ("#" if bad and r.random() < 0.5 else "") for _ in range(80))
+    d = spark.createDataFrame([(i, text(i % 10 == 0)) for i in range(1200)], "doc_id long, text string")
+    labels = d.selectExpr("doc_id", "cast(doc_id % 10 > 0 as int) as quality").where("doc_id < 900")
+    out = quality_forest.quality_forest(d, labels).where("doc_id >= 900").collect()
+    assert sum(not x.kept for x in out if x.doc_id % 10 == 0) >= 25
+    assert sum(not x.kept for x in out if x.doc_id % 10) <= 5
+
+
 # 2 -----------------------------------------------------------------------------
 
 def test_gradients_of_the_network():
