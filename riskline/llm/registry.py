@@ -102,31 +102,21 @@ FROM s LEFT JOIN reach r ON r.node = s.doc_id GROUP BY s.doc_id, len(s.g)
 """
 
 
-def _seed_sql(name: str, id_col: str) -> str:
-    parts = []
-    for k, offsets in enumerate(decontaminate.MASKS):
-        key = " || ' ' || ".join(f"t[i + {o + 1}]" for o in offsets)
-        parts.append(f"SELECT {id_col}, {k} AS mask, i AS pos, {key} AS key FROM (SELECT {id_col}, t, "
-                     f"unnest(range(0, len(t) - {max(offsets)})) AS i FROM {name})")
-    return " UNION ALL ".join(parts)
-
-
-DECONTAMINATE_SQL = rf"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t
+#: All diagonals by plain equality of words, without any seed.
+DECONTAMINATE_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
            FROM documents WHERE doc_id IS NOT NULL),
-b AS (SELECT * FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS t
-           FROM benchmark) WHERE len(t) >= 10),
-ds AS ({_seed_sql("d", "doc_id")}),
-bs AS ({_seed_sql("b", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.pos - bs.pos AS diagonal FROM ds JOIN bs USING (mask, key)),
-places AS (
-  SELECT DISTINCT h.doc_id, h.item_id, q FROM hits h JOIN b USING (item_id) JOIN d USING (doc_id),
-         unnest(range(0, len(b.t))) AS u(q)
-  WHERE h.diagonal + q >= 0 AND d.t[h.diagonal + q + 1] = b.t[q + 1])
-SELECT p.doc_id, p.item_id, count(*) AS n_match, CAST(any_value(len(b.t)) AS BIGINT) AS item_words,
-       round(count(*) / any_value(len(b.t)), 6) AS share
-FROM places p JOIN b USING (item_id) GROUP BY 1, 2
-HAVING count(*) >= 10 AND count(*) >= 0.5 * any_value(len(b.t))
+b AS (SELECT * FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t
+           FROM benchmark) WHERE len(t) >= 4),
+dw AS (SELECT doc_id, r, unnest(t) AS word, unnest(range(0, len(t))) AS p FROM d),
+bw AS (SELECT item_id, len(t) AS n, unnest(t) AS word, unnest(range(0, len(t))) AS q FROM b),
+lines AS (
+  SELECT doc_id, r, item_id, n, p - q AS diagonal, list(q) AS places FROM dw JOIN bw USING (word)
+  GROUP BY ALL HAVING count(*) >= CASE WHEN n >= 10 THEN 8 ELSE n END),
+found AS (
+  SELECT doc_id, item_id, n, len(list_distinct(flatten(list(places)))) AS n_match FROM lines GROUP BY doc_id, r, item_id, n)
+SELECT doc_id, item_id, CAST(max(n_match) AS BIGINT) AS n_match, CAST(n AS BIGINT) AS item_words, round(max(n_match) / n, 6) AS share
+FROM found WHERE n_match >= least(10, n) AND n_match >= 0.5 * n GROUP BY doc_id, item_id, n
 """
 
 

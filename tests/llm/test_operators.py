@@ -255,6 +255,42 @@ def test_decontamination(spark, docs, empty, odd):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def plain_leaks(text, item):
+    """Words of ``item`` found in ``text`` on the diagonals that count, by trying every diagonal."""
+    w, b = text.split(), item.split()
+    least = 8 if len(b) >= 10 else len(b)
+    lines = [[q for q in range(len(b)) if 0 <= d + q < len(w) and w[d + q] == b[q]] for d in range(-len(b), len(w))]
+    n = len({q for line in lines if len(line) >= least for q in line})
+    return n if len(b) >= 4 and n >= min(10, len(b)) and n >= 0.5 * len(b) else 0
+
+
+def test_decontamination_recall_under_substitution(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.choice((1, 2, 4))))
+    items = [" ".join(word() for _ in range(r.choice((4, 7, 9, 16, 20, 30, 59)))) for _ in range(40)] + ["a b c"]
+    texts = []
+    for k in range(1200):
+        w = r.choice(items).split()
+        rate, period = r.choice((0, 0.2, 0.3, 0.4)), r.choice((0, 0, 2, 3, 4, 5))
+        w = [word() if (period and q % period == 0) or (not period and r.random() < rate) else x for q, x in enumerate(w)]
+        if k % 5 == 0 and len(w) > 10:  # a word between two parts: two diagonals
+            w.insert(len(w) // 2, word())
+        texts.append(" ".join([word() for _ in range(r.randrange(20))] + w + [word() for _ in range(r.randrange(20))]))
+    want = {(i, j): n for i, t in enumerate(texts) for j, b in enumerate(items) if (n := plain_leaks(t, b))}
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.leaks(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id): x.n_match for x in found}
+    assert got.keys() <= want.keys() and len(got) >= 0.96 * len(want) > 400
+    assert {k for k in want if len(items[k[1]].split()) < 10} <= got.keys()
+
+
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "where is the cat"), (2, "just three words")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "So: where IS the cat?"), (2, "where is the dog"), (3, "just three words"),
+                               (4, "where is the cat")], "doc_id long, text string")
+    assert {(x.doc_id, x.item_id, x.n_match) for x in decontaminate.leaks(d, bench).collect()} == {(1, 1, 4), (4, 1, 4)}
+
+
 # 6 -----------------------------------------------------------------------------
 
 def test_token_shards(docs, corpus, empty, odd):
