@@ -1,11 +1,18 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
-A page is split into blocks (runs of text between block-level tags). A linear
-classifier over block features gives each block a cost of being called content
-and a cost of being called boilerplate; they become capacities from the source
-and to the sink. Neighbouring blocks are tied by an adjacency edge, blocks of
-the same parent element by a proximity edge. The minimum cut is the cheapest
-labelling; blocks on the source side are the main text.
+A page is split into blocks (runs of text between block-level tags). The graph
+has a node for each block and for each element that holds one. A linear
+classifier over a block's own text (length, sentence end, links, tag) gives it a
+cost of being called content and a cost of being called boilerplate; they become
+capacities from the source and to the sink. What an element is called says
+nothing about a block by itself: it is a capacity of the element's node (towards
+content in an article, towards boilerplate in menus, footers, adverts and the
+like). A block is tied to its element, an element to the one around it
+(tightly for paragraphs and list items, loosely for sections) and to its
+neighbour in the text. The minimum cut is the cheapest labelling; blocks on the
+source side are the main text. So a short line follows the paragraphs around
+it, a long sentence the advert that holds it, and pages without telling names
+are split by their text alone.
 
 Defined results: null or empty html and pages without content give an empty
 text; unclosed tags end with their container; repeated rows are labelled one by
@@ -42,38 +49,49 @@ HINTS = frozenset("nav navbar navigation menu footer sidebar aside ad ads advert
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dd", "dt", "p"), "dd": ("dd", "dt", "p"),
           "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 #: Weights of the linear block classifier, in nats towards content.
-WEIGHTS = {"bias": -0.4, "barred": -9.0, "hinted": -9.0, "article": 3.0, "paragraph": 0.8, "heading": 0.4,
-           "list_links": -2.5, "words": 1.2, "sentence": 0.6, "links": -4.0}
-ADJACENT, SIBLING = 0.35, 0.25
+WEIGHTS = {"bias": -1.2, "paragraph": 0.5, "heading": 0.8, "words": 2.4, "sentence": 0.5, "links": -3.0,
+           "list_links": -1.5}
+#: A block's text never outweighs its tie to an element whose kind is known.
+STRONGEST = 2.4
+#: Capacities of the edges: block or text element to what holds it, section to section, neighbours in the text.
+TIED, LOOSE, ADJACENT = 3.0, 0.2, 0.1
+#: Capacity of an element whose kind is known.
+KNOWN = 1e7
+TEXT_ELEMENTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th tbody thead blockquote pre figcaption".split())
 
 
 class Block:
-    __slots__ = ("text", "parent", "barred", "hinted", "article", "tag", "linked")
+    __slots__ = ("text", "element", "tag", "linked")
 
-    def __init__(self, text, parent, barred, hinted, article, tag, linked):
-        self.text, self.parent, self.barred, self.hinted = text, parent, barred, hinted
-        self.article, self.tag, self.linked = article, tag, linked
+    def __init__(self, text, element, tag, linked):
+        self.text, self.element, self.tag, self.linked = text, element, tag, linked
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's text blocks in order, each with what its ancestors say."""
+class Element:
+    """An element that is not inline: its parent's number, its name and its kind (1 article, -1 boilerplate, 0 not known)."""
+
+    __slots__ = ("parent", "name", "kind")
+
+    def __init__(self, parent, name, kind):
+        self.parent, self.name, self.kind = parent, name, kind
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's text blocks in order, and its elements; an element's kind holds for all inside it."""
     out: list[Block] = []
-    # (name, barred, hinted, article, number); children inherit the flags
-    stack = [("", False, False, False, 0)]
+    elements = [Element(-1, "", 0)]
+    # (name, boilerplate, article, number of the innermost element that is not inline)
+    stack = [("", False, False, 0)]
     parts: list[str] = []
-    link_chars, in_link, made = 0, 0, 0
+    link_chars, in_link = 0, 0
 
     def flush():
         nonlocal link_chars
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                k = len(stack) - 1
-                while k and stack[k][0] in INLINE:
-                    k -= 1
-                name, barred, hinted, article, _ = stack[k]
-                holder = stack[k - 1][4] if k else 0
-                out.append(Block(text, holder, barred, hinted, article, name, min(1.0, link_chars / len(text))))
+                holder = stack[-1][3]
+                out.append(Block(text, holder, elements[holder].name, min(1.0, link_chars / len(text))))
             parts.clear()
         link_chars = 0
 
@@ -117,33 +135,35 @@ def blocks_of(page: str) -> list[Block]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        _, barred, hinted, article, _ = stack[-1]
-        made += 1
-        hint = hinted or any(w.lower() in HINTS for a in ATTR.findall(m["attrs"]) for w in HINT.findall(a)) \
-            if m["attrs"] else hinted
-        stack.append((name, barred or name in BARRED or (name == "header" and not article), hint,
-                      article or name in ("article", "main"), made))
+        _, barred, article, number = stack[-1]
+        barred = barred or name in BARRED or (name == "header" and not article) or any(
+            w.lower() in HINTS for a in ATTR.findall(m["attrs"]) for w in HINT.findall(a))
+        article = article or name in ("article", "main")
+        if not inline:
+            elements.append(Element(number, name, -1 if barred else int(article)))
+            number = len(elements) - 1
+        stack.append((name, barred, article, number))
     parts.append(page[at:])
     flush()
-    return out
+    return out, elements
 
 
 def content_score(b: Block) -> float:
-    """Nats in favour of content."""
+    """Nats in favour of content, by the block's own text."""
     w = WEIGHTS
     words = b.text.count(" ") + 1
-    return (w["bias"] + w["barred"] * b.barred + w["hinted"] * b.hinted + w["article"] * b.article
-            + w["paragraph"] * (b.tag == "p") + w["heading"] * (b.tag in ("h1", "h2", "h3", "h4"))
-            + w["list_links"] * (b.tag == "li" and b.linked > 0.5)
-            + w["words"] * min(words, 30) / 30 + w["sentence"] * b.text.endswith((".", "!", "?", "。"))
-            + w["links"] * b.linked * (not b.article))
+    score = (w["bias"] + w["paragraph"] * (b.tag == "p") + w["heading"] * (b.tag in ("h1", "h2", "h3", "h4"))
+             + w["words"] * min(words, 30) / 30 + w["sentence"] * b.text.endswith((".", "!", "?", "。"))
+             + w["links"] * b.linked + w["list_links"] * (b.tag == "li" and b.linked > 0.5))
+    return max(-STRONGEST, min(STRONGEST, score))
 
 
 def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """True for nodes on the source side of a minimum cut (undirected edges).
 
     Flow that a node can pass straight from source to sink is taken at once; the
-    rest moves by shortest augmenting paths searched from the nodes with excess.
+    rest moves along the trees of breadth-first searches from the nodes with
+    excess; a search ends when it has met enough room for the excess.
     """
     n = len(source)
     excess = [s - t for s, t in zip(source, sink)]
@@ -159,31 +179,32 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
     closed = [False] * n  # searched in vain: no way to a sink any more
     for s in range(n):
         while excess[s] > 1e-9 and not closed[s]:
-            came, queue, end = {s: -1}, deque([s]), -1
-            while queue and end < 0:
+            came, queue, ends, room = {s: -1}, deque([s]), [], 0.0
+            while queue and room < excess[s]:
                 u = queue.popleft()
                 for e in graph[u]:
                     v = to[e]
                     if cap[e] > 1e-9 and v not in came and not closed[v]:
                         came[v] = e
-                        if excess[v] < -1e-9:
-                            end = v
-                            break
                         queue.append(v)
-            if end < 0:
+                        if excess[v] < -1e-9:
+                            ends.append(v)
+                            room -= excess[v]
+            if not ends:
                 for v in came:
                     closed[v] = True
                 break
-            path, v = [], end
-            while v != s:
-                path.append(came[v])
-                v = to[came[v] ^ 1]
-            push = min(excess[s], -excess[end], min(cap[e] for e in path))
-            for e in path:
-                cap[e] -= push
-                cap[e ^ 1] += push
-            excess[s] -= push
-            excess[end] += push
+            for end in ends:
+                path, v = [], end
+                while v != s:
+                    path.append(came[v])
+                    v = to[came[v] ^ 1]
+                push = min(excess[s], -excess[end], min(cap[e] for e in path))
+                for e in path:
+                    cap[e] -= push
+                    cap[e ^ 1] += push
+                excess[s] -= push
+                excess[end] += push
     side = [x > 1e-9 for x in excess]
     queue = deque(v for v in range(n) if side[v])
     while queue:
@@ -195,23 +216,30 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
     return side
 
 
-def label_blocks(blocks: list[Block]) -> list[bool]:
+def label_blocks(blocks: list[Block], elements: list[Element]) -> list[bool]:
     """Content or not, by the minimum cut of the page's graph."""
     score = [content_score(b) for b in blocks]
-    last: dict[int, int] = {}
-    edges = []
+    edges = [(k, k + 1, ADJACENT) for k in range(len(blocks) - 1)]
+    node: dict[int, int] = {}  # element -> its node, made when a block below it is met
     for k, b in enumerate(blocks):
-        if k:
-            edges.append((k - 1, k, ADJACENT))
-        if b.parent in last:
-            edges.append((last[b.parent], k, SIBLING))
-        last[b.parent] = k
-    return min_cut([max(s, 0.0) for s in score], [max(-s, 0.0) for s in score], edges)
+        low, up, tie = k, b.element, TIED
+        while up >= 0:
+            known = up in node
+            if not known:
+                node[up] = len(score)
+                score.append(KNOWN * elements[up].kind)
+            edges.append((low, node[up], tie))
+            if known:
+                break
+            low, tie = node[up], TIED if elements[up].name in TEXT_ELEMENTS else LOOSE
+            up = elements[up].parent
+    side = min_cut([max(x, 0.0) for x in score], [max(-x, 0.0) for x in score], edges)
+    return side[:len(blocks)]
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    return "\n\n".join(b.text for b, keep in zip(blocks, label_blocks(blocks)) if keep)
+    blocks, elements = blocks_of(page or "")
+    return "\n\n".join(b.text for b, keep in zip(blocks, label_blocks(blocks, elements)) if keep)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

@@ -351,9 +351,29 @@ def test_main_text(spark):
         assert r.text == PAGES[r.page_id][1] and r.n_chars == len(r.text)
 
 
+def test_cut_decides_on_pages_without_telling_names():
+    long = "This paragraph runs on for quite a while and tells the reader something about the matter at hand."
+    page = ("<body><div><ul>" + "".join(f"<li><a href={k}>Item {k}</a></li>" for k in range(6)) + "</ul></div>"
+            f"<div><h2>Heading</h2><p>{long}</p><p>So it goes</p><p>{long}</p><p>Why</p></div>"
+            "<div><a href=x>Next page</a> <a href=y>Top</a></div><div>All rights</div></body>")
+    blocks, elements = html_cut.blocks_of(page)
+    keep = html_cut.label_blocks(blocks, elements)
+    assert [b.text for b, k in zip(blocks, keep) if k] == ["Heading", long, "So it goes", long, "Why"]
+    alone = [html_cut.content_score(b) > 0 for b in blocks]
+    assert sum(a != k for a, k in zip(alone, keep)) >= 3  # the heading and the short lines
+    assert html_cut.main_text(f"<main><p>Hi</p><p class=ad>{long}</p></main>") == "Hi"
+
+
+def test_long_pages_are_cut_in_reasonable_time():
+    lines = ["Yes", "A longer line of plain words that reads like running text."] * 10_000
+    page = "<article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+    assert html_cut.main_text(page) == "\n\n".join(lines)
+    assert html_cut.main_text(page.replace("article", "div")) == "\n\n".join(lines)
+
+
 def test_min_cut_is_minimal():
     r = np.random.default_rng(4)
-    for _ in range(60):
+    for _ in range(300):
         n = int(r.integers(1, 8))
         s, t = r.integers(0, 5, n).tolist(), r.integers(0, 5, n).tolist()
         e = [(a, b, float(r.integers(1, 4))) for a in range(n) for b in range(a + 1, n) if r.random() < 0.5]
