@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -162,8 +161,9 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
     """True for nodes on the source side of a minimum cut (undirected edges).
 
     Flow that a node can pass straight from source to sink is taken at once; the
-    rest moves along the trees of breadth-first searches from the nodes with
-    excess; a search ends when it has met enough room for the excess.
+    rest moves in phases, each a blocking flow along the levels of one search
+    from all nodes with excess, so large pages take few passes over their graph.
+    The last search meets no sink: what it reaches is the source side.
     """
     n = len(source)
     excess = [s - t for s, t in zip(source, sink)]
@@ -176,44 +176,44 @@ def min_cut(source: list[float], sink: list[float], edges: list[tuple[int, int,
         graph[b].append(len(to))
         to.append(a)
         cap.append(c)
-    closed = [False] * n  # searched in vain: no way to a sink any more
-    for s in range(n):
-        while excess[s] > 1e-9 and not closed[s]:
-            came, queue, ends, room = {s: -1}, deque([s]), [], 0.0
-            while queue and room < excess[s]:
-                u = queue.popleft()
-                for e in graph[u]:
-                    v = to[e]
-                    if cap[e] > 1e-9 and v not in came and not closed[v]:
-                        came[v] = e
-                        queue.append(v)
-                        if excess[v] < -1e-9:
-                            ends.append(v)
-                            room -= excess[v]
-            if not ends:
-                for v in came:
-                    closed[v] = True
-                break
-            for end in ends:
-                path, v = [], end
-                while v != s:
-                    path.append(came[v])
-                    v = to[came[v] ^ 1]
-                push = min(excess[s], -excess[end], min(cap[e] for e in path))
-                for e in path:
-                    cap[e] -= push
-                    cap[e ^ 1] += push
-                excess[s] -= push
-                excess[end] += push
-    side = [x > 1e-9 for x in excess]
-    queue = deque(v for v in range(n) if side[v])
-    while queue:
-        u = queue.popleft()
-        for e in graph[u]:
-            if cap[e] > 1e-9 and not side[to[e]]:
-                side[to[e]] = True
-                queue.append(to[e])
-    return side
+    while True:
+        queue = [v for v in range(n) if excess[v] > 1e-9]
+        starts, level, found = len(queue), [-1] * n, False
+        for v in queue:
+            level[v] = 0
+        for u in queue:
+            for e in graph[u]:
+                v = to[e]
+                if level[v] < 0 and cap[e] > 1e-9:
+                    level[v] = level[u] + 1
+                    queue.append(v)
+                    found = found or excess[v] < -1e-9
+        if not found:
+            return [x >= 0 for x in level]
+        arc = [0] * n
+        for s in queue[:starts]:
+            path, u = [], s
+            while excess[s] > 1e-9:
+                if excess[u] < -1e-9:
+                    push = min(excess[s], -excess[u], min(cap[e] for e in path))
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    excess[s] -= push
+                    excess[u] += push
+                    path, u = [], s
+                    continue
+                way = graph[u]
+                while arc[u] < len(way) and not (cap[way[arc[u]]] > 1e-9 and level[to[way[arc[u]]]] == level[u] + 1):
+                    arc[u] += 1
+                if arc[u] < len(way):
+                    path.append(way[arc[u]])
+                    u = to[path[-1]]
+                elif path:  # no way on from here in this phase
+                    level[u] = -1
+                    u = to[path.pop() ^ 1]
+                else:
+                    break
 
 
 def label_blocks(blocks: list[Block], elements: list[Element]) -> list[bool]:
