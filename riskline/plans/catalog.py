@@ -197,21 +197,10 @@ def q_union_sources(spark, sf):
     return d.unionByName(p).unionByName(c)
 
 
-def _as_csv(df, folder, name):
-    """Write ``df`` as one mail CSV of that name in ``folder``."""
-    from riskline.sources.sinks import write_csv
-    from riskline.streaming.keyed_log import file_system
-    spark = df.sparkSession
-    part, fs = file_system(spark, write_csv(df.coalesce(1), f"{folder}-parts/{name}"))
-    fs.mkdirs(file_system(spark, folder)[0])
-    for st in fs.listStatus(part):
-        if st.getPath().getName().startswith("part-"):
-            fs.rename(st.getPath(), file_system(spark, f"{folder}/{name}")[0])
-
-
 def q_mail_ingest(spark, sf):
     """Labelled documents as CSV files of unlike headers in the shared folder, read back as one collection."""
     from riskline.session import scratch_path
+    from riskline.sources.sinks import write_csv
     d = _docs_labelled(spark, sf)
     folder = scratch_path(spark, "mails")
     part = lambda k: d.where(F.pmod("doc_id", F.lit(5)) == k)
@@ -226,7 +215,7 @@ def q_mail_ingest(spark, sf):
         "emails.csv": part(4).select("text", F.col("toxic").alias("label")),
     }
     for name, df in files.items():
-        _as_csv(df, folder, name)
+        write_csv(df, f"{folder}/{name}")
     return M.read_mail_dir(spark, folder)
 
 

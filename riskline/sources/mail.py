@@ -1,12 +1,15 @@
 """Mail ingest.
 
-Files in a folder may differ in header. Their records are landed by place in one
-job, their headers become a table of one row a file, and decisions that depend on
+Files in a folder may differ in header. Their records are landed by place in few
+jobs, their headers become a table of one row a file, and decisions that depend on
 the header (which text columns, which label rule) are expressions over the two.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,37 +92,208 @@ def label_rule(columns, file_name: str) -> tuple[str, str | None] | None:
 def list_csv_files(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> list[tuple[str, str]]:
     """A2/A3: top-level names ending in '.csv' (case-sensitive), sorted, minus ``exclude``.
 
-    Returns (name, qualified path) pairs; works on any Hadoop file system.
+    Returns (name, qualified path) pairs; works on any Hadoop file system. A CSV that Spark
+    wrote is a folder of that name: each of its ``part-`` files is a pair of its own.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = p.getFileSystem(conf)
+    fs, p = _file_system(spark, folder)
     out = []
     for st in fs.listStatus(p):
-        if st.isFile():
-            name = st.getPath().getName()
-            if name.endswith(CSV_SUFFIX) and name not in exclude:
-                out.append((name, st.getPath().toString()))
+        name = st.getPath().getName()
+        if name.endswith(CSV_SUFFIX) and name not in exclude:
+            files = [st] if st.isFile() else [x for x in fs.listStatus(st.getPath())
+                                              if x.isFile() and x.getPath().getName().startswith("part-")]
+            out += [(name, x.getPath().toString()) for x in files]
     return sorted(out)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 #: Most columns a mail CSV may have.
 MAX_COLUMNS = 64
+#: The cells of a record by place; one more than allowed, to notice it.
+CELLS = [f"c{i}" for i in range(MAX_COLUMNS + 1)]
+CELL_SCHEMA = ", ".join(f"{n} string" for n in CELLS)
+
+_QUOTED = re.compile(rb'[^"]*(?:""[^"]*)*').match
+_CLOSED = re.compile(rb'"[\x00-\x20]*(,|$)').match
+
+
+def open_after(line: bytes, quoted: bool) -> bool:
+    """Whether a quoted field is open behind a line that begins inside one (``quoted``) or at a record's start.
+
+    The CSV reader's rules: a quote opens a field only as its first byte, doubled quotes are
+    text, a quote followed by other text than blanks gives an unquoted field.
+    """
+    at = 0
+    if b'"' not in line:
+        return quoted
+    while True:
+        if not quoted and line[at:at + 1] == b'"':
+            quoted, at = True, at + 1
+        if quoted:
+            at = _QUOTED(line, at).end()
+            if at == len(line):
+                return True
+            closed = _CLOSED(line, at)
+            quoted, at = False, closed.start(1) if closed else at + 1
+        at = line.find(b",", at) + 1
+        if not at:
+            return False
+
+
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, block, line): the lines of the files, split by ranges of bytes; ``block`` is where a range begins.
+
+    A task reads the lines of a range in the file's order.
+    """
+    return (spark.read.option("lineSep", "\n").text(paths)
+            .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.col("value").cast("binary").alias("line")))
+
+
+def _by_block(batches):
+    """((file, block), place of the line, line, other columns) of every line.
+
+    A place lies between the range's and the line's first byte: ascending and unique within a file.
+    """
+    key = place = None
+    for b in batches:
+        more = [c.to_pylist() for c in b.columns[3:]]
+        for k, *row in zip(zip(b.column("file").to_pylist(), b.column("block").to_pylist()),
+                           b.column("line").to_pylist(), *more):
+            if k != key:
+                key, place = k, k[1] + (k[1] > 0)
+            yield k, place, row[0], row[1:]
+            place += len(row[0]) + 1
+
+
+BLOCK_ENDS = "file string, block long, plain boolean, open boolean, last long, open_if boolean, last_if long"
+
+
+def _block_ends(batches):
+    """What a range does: whether a field is open behind it and where its last record begins, if it begins
+    at a record's start, and if (``_if``) it begins inside a quoted field."""
+    def row():
+        return pa.RecordBatch.from_pylist([dict(zip(names, (*key, plain, *ends[0], *ends[1])))], schema)
+
+    schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("plain", pa.bool_()), ("open", pa.bool_()),
+                        ("last", pa.int64()), ("open_if", pa.bool_()), ("last_if", pa.int64())])
+    names, key = schema.names, None
+    for k, place, line, _ in _by_block(batches):
+        if k != key:
+            if key is not None:
+                yield row()
+            # the reader takes the first line end for that of the file, and knows two-byte encodings by their mark
+            key, ends, plain = k, [(False, None), (True, None)], not (
+                place == 0 and (b"\r" in line or line[:2] in (b"\xff\xfe", b"\xfe\xff")))
+        plain = plain and b"\0" not in line
+        for i, (quoted, last) in enumerate(ends):
+            ends[i] = open_after(line, quoted), last if quoted or not line else place
+    if key is not None:
+        yield row()
+
+
+def _block_starts(rows):
+    """How each range of a file begins (inside a quoted field or not), and where the record begins that is open then."""
+    rows = rows.sort_values("block")
+    plain, quoted, owner, starts = bool(rows["plain"].all()), False, None, []
+    for r in rows.itertuples():
+        starts.append((plain, quoted, owner))
+        end, last = (r.open_if, r.last_if) if quoted else (r.open, r.last)
+        quoted, owner = end, owner if last is None or last != last else int(last)
+    out = rows[["file", "block"]].copy()
+    out["plain"], out["quoted"] = [p for p, _, _ in starts], [q for _, q, _ in starts]
+    out["owner"] = [-1 if o is None else o for _, _, o in starts]
+    return out
+
+
+def _records(batches):
+    """Records and, of those that begin or end in another range, the pieces: (file, id, place, whole, record).
+
+    An empty cell is put behind a record, as the parser takes a quote before the end of its input for text.
+    """
+    def row():
+        return key[0], owner, first, whole and not quoted, b"\n".join(held) + (b"" if quoted else b",")
+
+    def batch():
+        cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))]
+        return pa.RecordBatch.from_arrays(cols, ["file", "id", "place", "whole", "record"])
+
+    key, held, out, size = None, [], [], 0
+    for k, place, line, (begins_quoted, begun) in _by_block(batches):
+        if k != key:
+            if held:
+                out.append(row())
+            key, held, quoted, owner, whole, first = k, [], begins_quoted, begun, False, place
+        if not quoted:
+            if not line:
+                continue
+            owner, whole, first = place, True, place
+        held.append(line)
+        quoted = open_after(line, quoted)
+        if not quoted:
+            out.append(row())
+            size += len(out[-1][-1])
+            held = []
+        if size > 1 << 22 or len(out) > 10_000:
+            yield batch()
+            out, size = [], 0
+    if held:
+        out.append(row())
+    if out:
+        yield batch()
+
+
+def _parsed(record: Column) -> Column:
+    return F.from_csv(record, CELL_SCHEMA, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"})
+
+
+def _cells(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.when(F.col("parsed").isNotNull(), F.array(*[F.col("parsed")[n] for n in CELLS])).alias("cells"))
 
 
 def land_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Records of CSV files by place, whatever their headers: (file, id, cells), written once to the shared folder.
 
-    One job for all files. A multi-line CSV can only be parsed from its start, by one task a
-    file; what is landed is split like any parquet table. ``file`` is the scan's URI, ``id``
-    ascends within a file, so the header is the record of least id.
+    A fixed number of jobs for all files. Files are read by ranges of bytes, so that a file of any
+    size is dealt over many tasks: a first pass tells of each range how it ends for either way it
+    may begin, a few bytes a range; then each range's beginning is known, and a second pass cuts
+    its records. Records over a range's end are put together from their pieces. Files whose lines
+    do not end in ``\\n``, in a two-byte encoding or with NUL bytes are parsed from their start by
+    one task a file. ``file`` is the scan's URI, ``id`` ascends within a file, so the header is the record
+    of least id.
     """
-    names = [f"c{i}" for i in range(MAX_COLUMNS + 1)]  # one more than allowed, to notice it
-    df = (_csv_reader(spark).option("header", False).schema(", ".join(f"{n} string" for n in names)).csv(paths)
-          .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"),
-                  F.array(*names).alias("cells")))
-    return _written(df, "mail-rows")
+    lines = _lines(spark, paths)
+    ends = _written(lines.mapInArrow(_block_ends, BLOCK_ENDS), "mail-blocks")
+    starts = _written(ends.groupBy("file").applyInPandas(
+        _block_starts, "file string, block long, plain boolean, quoted boolean, owner long"), "mail-starts")
+    plain = F.broadcast(starts.where("plain").drop("plain"))  # one row a range; a join that keeps the lines' order
+    cut = (lines.join(plain, ["file", "block"]).select("file", "block", "line", "quoted", "owner")
+           .mapInArrow(_records, "file string, id long, place long, whole boolean, record binary")
+           .withColumn("record", F.col("record").cast("string"))
+           .withColumn("parsed", F.when(F.col("whole"), _parsed(F.col("record"))))
+           .withColumn("piece", F.when(~F.col("whole"), F.col("record"))))
+    landed = _written(_cells(cut, "file", "id", "place", "piece"), "mail-rows")
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("place", "piece"))), lambda x: x["piece"])
+    joined = (landed.where("piece is not null").groupBy("file", "id").agg(F.array_join(pieces, "\n").alias("record"))
+              .withColumn("parsed", _parsed(F.col("record"))))
+    rows = landed.where("piece is null").select("file", "id", "cells").unionByName(_cells(joined, "file", "id"))
+    other = {_plain_uri(r.file) for r in starts.where("not plain").select("file").distinct().collect()}
+    if other:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        df = (_csv_reader(spark).option("header", False).schema(CELL_SCHEMA)
+              .csv([p for p in paths if _plain_uri(path(p).toUri().toString()) in other])
+              .select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"),
+                      F.array(*CELLS).alias("cells")))
+        rows = rows.unionByName(_written(df, "mail-other-rows"))
+    return rows
+
+
+def _plain_uri(uri: str) -> str:
+    return re.sub("^file:/+", "file:/", uri)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -128,14 +302,16 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def headers(rows: DataFrame) -> DataFrame:
+def headers(rows: DataFrame, folder: str) -> DataFrame:
     """(file, header_id, header, source_file, rule) of every file, one row each; written once.
 
-    ``source_file`` is the bare file name (A5), ``rule`` what its label comes from (C5): the name
-    of a column, 'source' for the rule by file name, or null.
+    ``source_file`` is the bare name in ``folder`` (A5), ``rule`` what its label comes from (C5): the
+    name of a column, 'source' for the rule by file name, or null.
     """
     h = rows.groupBy("file").agg(F.min("id").alias("header_id"), F.min_by("cells", "id").alias("header"))
-    encoded = F.replace(F.element_at(F.split("file", "/"), -1), F.lit("+"), F.lit("%2B"))
+    fs, path = _file_system(rows.sparkSession, folder)
+    above = sum(map(bool, fs.makeQualified(path).toUri().toString().split("/")))
+    encoded = F.replace(F.get(F.filter(F.split("file", "/"), lambda c: c != ""), F.lit(above)), F.lit("+"), F.lit("%2B"))
     name = F.reflect(F.lit("java.net.URLDecoder"), F.lit("decode"), encoded, F.lit("UTF-8"))
     has = lambda c: F.array_contains("header", c)
     rule = (F.when(has(LABEL_COLUMN), F.lit(LABEL_COLUMN)).when(has(EMAIL_TYPE_COLUMN), F.lit(EMAIL_TYPE_COLUMN))
@@ -167,7 +343,7 @@ def read_mail_dir(spark: SparkSession, folder: str, exclude=EXCLUDED_FILES) -> D
     if not files:
         raise FileNotFoundError(f"{folder} holds no CSV file to read")
     rows = land_rows(spark, [p for _, p in files])
-    known = headers(rows)
+    known = headers(rows, folder)
     text_names = F.array_intersect("header", F.array(*[F.lit(c) for c in TEXT_CANDIDATES]))
     wrong = known.where((F.size(text_names) == 0) | F.get("header", F.lit(MAX_COLUMNS)).isNotNull()).first()
     if wrong:

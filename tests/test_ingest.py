@@ -147,3 +147,40 @@ def test_number_of_jobs_does_not_grow_with_files(spark, tmp_dir):
 
     few, many = jobs(2), jobs(25)
     assert many == few
+
+
+def test_one_large_file_is_read_by_many_tasks_as_by_one(spark, tmp_dir):
+    odd = ['"line\nof ""quotes"", and\n\n\ncommas",1\n', '"odd" tail",0\n', '"" ,1\n', 'plain "text",0\n', '\n\n',
+           'é "x\n,"""",1\n', f'"{"long, " * 3000}\n{"field " * 3000}",1\n', '"q" x"y"\n', 'a,b,c\n']
+    with open(os.path.join(tmp_dir, "CEAS_08.csv"), "w", encoding="utf-8") as f:
+        f.write("﻿body,label\n" + "".join(odd[i % len(odd)] for i in range(450)) + '"open\nto the end')
+    with open(os.path.join(tmp_dir, "Ling.csv"), "w", newline="") as f:  # other line ends: the plain reader's
+        f.write('body,label\r\n"a\r\nb",1\r\nlone\nend,0\r\n')
+    paths = [p for _, p in M.list_csv_files(spark, tmp_dir)]
+    whole = (M._csv_reader(spark).option("header", False).schema(M.CELL_SCHEMA).csv(paths)
+             .select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"),
+                     F.monotonically_increasing_id().alias("id"), F.array(*M.CELLS).alias("cells")))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+    try:
+        rows = M.land_rows(spark, paths)
+        part = F.element_at(F.split("_metadata.file_path", "/"), -1)
+        landed = [p for p in rows.inputFiles() if "mail-rows" in p]
+        tasks = spark.read.parquet(*landed).where("file like '%CEAS%'").select(part).distinct().count()
+        got = [(r.file.split("/")[-1], r.cells) for r in sorted(rows.collect(), key=lambda r: (r.file, r.id))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(r.file, r.cells) for r in sorted(whole.collect(), key=lambda r: (r.file, r.id))]
+    assert tasks > 20
+
+
+def test_a_folder_of_parts_is_one_file(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "a b+c%.csv")
+    os.makedirs(folder)
+    for k, body in enumerate(["body,label\nfirst,1\n", "body,label\nsecond,0\n", "body,label\n"]):
+        with open(os.path.join(folder, f"part-{k}.csv"), "w") as f:
+            f.write(body)
+    with open(os.path.join(folder, "_SUCCESS"), "w"):
+        pass
+    got = sorted(map(tuple, M.read_mail_dir(spark, tmp_dir).collect()))
+    assert got == [("first", 1, "a b+c%.csv"), ("second", 0, "a b+c%.csv")]
