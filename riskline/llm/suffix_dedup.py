@@ -111,13 +111,15 @@ def _chunks(texts: list[bytes]):
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     """Starts of the suffixes sorted by at least ``depth`` symbols (beyond the end: 0)."""
     n = len(text)
-    sym = np.unique(text, return_inverse=True)[1].astype(np.uint64)
-    if text.min(initial=1) > 0:
-        sym += np.uint64(1)
-    pad, have = np.append(sym, np.zeros(8, np.uint64)), 6
+    used = np.bincount(text, minlength=1) > 0  # the values in use, numbered; 0 stays 0
+    used[0] = False
+    sym = np.cumsum(used).astype(np.uint64)[text]
+    bits = int(sym.max(initial=1)).bit_length()
+    have = 64 // bits  # as many symbols as a key holds
+    pad = np.append(sym, np.zeros(have, np.uint64))
     key = np.zeros(n, np.uint64)
     for k in range(have):
-        key = key << np.uint64(10) | pad[k:n + k]
+        key = key << np.uint64(bits) | pad[k:n + k]
     while True:
         order = np.argsort(key)
         k = key[order]
@@ -132,6 +134,15 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         have *= 2
 
 
+def stable_order(key: np.ndarray) -> np.ndarray:
+    """Stable order of keys of 0 or more: small ones are sorted with their places in one number, without a merge."""
+    if not len(key) or int(key.max()) >> 31 or len(key) >> 32:
+        return np.argsort(key, kind="stable")
+    both = key << 32 | np.arange(len(key))
+    both.sort()
+    return both & 0xFFFFFFFF
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """Common prefix of neighbouring suffixes in ``order``, by increasing value below ``length``; -1 where longer.
 
@@ -142,7 +153,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
     n = len(text)
     bwt = text[order - 1].astype(np.int64)
     front = np.empty(n, np.int64)
-    front[np.argsort(bwt, kind="stable")] = np.arange(n)  # where the suffix one to the left stands
+    front[np.argsort(bwt.astype(np.uint16), kind="stable")] = np.arange(n)  # where the suffix one to the left stands
     value = np.full(n + 1, -1, np.int64)
     value[0] = value[n] = 0
     lo, hi = np.array([0]), np.array([n])
@@ -162,7 +173,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndar
             if level:
                 ok = bwt[place] > 0
                 place, key = place[ok], key[ok]
-            by = np.argsort(key, kind="stable")
+            by = stable_order(key)
             key, to = key[by], front[place[by]]
             if len(key):
                 edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
