@@ -15,9 +15,11 @@ writes no shard and gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,25 @@ SHARD_TOKENS = 1 << 21
 PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,;:!?]?").fullmatch
 
 
+class Words(Counter64):
+    """Numbers words; ``seen`` has the latest."""
+
+    def __init__(self):
+        self.seen = []
+
+    def __missing__(self, word):
+        self.seen.append(word)
+        return super().__missing__(word)
+
+
+def extended(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``a`` with ``more`` behind its first ``used`` items; its room doubles, so that items are seldom moved."""
+    if used + len(more) > len(a):
+        a = np.concatenate([a[:used], np.empty(max(used, len(more)), a.dtype)])
+    a[used:used + len(more)] = more
+    return a
+
+
 class CachedEncoder:
     """Ids of whole texts; each distinct white-space-separated word is encoded once.
 
@@ -43,6 +64,7 @@ class CachedEncoder:
     """
 
     def __init__(self, tokenizer_json: str, memory: int = 1_200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker on every core
         from tokenizers import Tokenizer
         self.tok, self.memory = Tokenizer.from_str(tokenizer_json), memory
         suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
@@ -56,8 +78,8 @@ class CachedEncoder:
         self.clear()
 
     def clear(self):
-        self.rows, self.starts, self.sizes = Counter64(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.rows, self.starts, self.sizes = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.held = np.zeros(0, np.uint32), 0
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start and number of ids of each word, all ids). Plain words, with or without one punctuation mark
@@ -70,7 +92,7 @@ class CachedEncoder:
         at, flat, held = np.flatnonzero(marks), [], 0
         for a in range(0, len(at), 1000):
             part = at[a:a + 1000]
-            ids = np.array(self.tok.encode(" ".join([words[k] for k in part]), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self._ids([" ".join([words[k] for k in part])])[0], np.uint32)
             closed = np.flatnonzero(self.closing[ids]) + 1
             if len(closed) != marks[part].sum():
                 raise ValueError("the tokenizer does not close each pre-token once")
@@ -79,27 +101,40 @@ class CachedEncoder:
             starts[part] = held + ends - sizes[part]
             flat.append(ids)
             held += len(ids)
-        for k in np.flatnonzero(marks == 0).tolist():
-            flat.append(np.array(self.tok.encode(words[k], add_special_tokens=False).ids, np.uint32))
-            starts[k], sizes[k] = held, len(flat[-1])
+        rest = np.flatnonzero(marks == 0)
+        for a in range(0, len(rest), 1000):
+            part = rest[a:a + 1000]
+            found = self._ids([words[k] for k in part])
+            sizes[part] = np.fromiter(map(len, found), np.int64, len(part))
+            starts[part] = held + np.cumsum(sizes[part]) - sizes[part]
+            flat.append(np.array([i for ids in found for i in ids], np.uint32))
             held += len(flat[-1])
         return starts, sizes, np.concatenate(flat)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids alone: places in the text are not followed."""
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.rows) > self.memory:
             self.clear()
-        known, per_text = len(self.rows), []
+        known, words = len(self.rows), []
         for t in texts:
             b = t.encode("utf-8", "surrogatepass")
-            words = (b if b"<|" in b else b.lower()).split() if self.lower else b.split()
-            per_text.append(np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words)))
+            words.append((b if b"<|" in b else b.lower()).split() if self.lower else b.split())
+        counts = np.cumsum([0, *map(len, words)])
+        numbers = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64, counts[-1])
         if len(self.rows) > known:
-            fresh = [w.decode("utf-8", "surrogatepass") for w in list(self.rows)[known:]]
+            fresh = [w.decode("utf-8", "surrogatepass") for w in self.rows.seen]
+            self.rows.seen.clear()
             starts, sizes, flat = self._encode(fresh)
-            self.starts = np.concatenate([self.starts, len(self.flat) + starts])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, flat])
-        return [gather(self.starts, self.sizes, self.flat, r)[0] for r in per_text]
+            self.starts = extended(self.starts, known, self.held + starts)
+            self.sizes = extended(self.sizes, known, sizes)
+            self.flat = extended(self.flat, self.held, flat)
+            self.held += len(flat)
+        flat, sizes = gather(self.starts, self.sizes, self.flat, numbers)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[counts].tolist()
+        return [flat[a:z] for a, z in zip(ends, ends[1:])]
 
 
 _encoders: dict[int, CachedEncoder] = {}
@@ -263,11 +298,12 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int
 
     def run(batches):
         encode, part, made = worker_encoder(shared.value), TaskContext.get().partitionId(), 0
-        ids, held, docs_held = [], 0, []
+        ids, held, docs_held, end = [], 0, [], np.array([end_id], np.uint32)
 
         def flush():
             nonlocal made, ids, held, docs_held
-            data = pack(np.concatenate(ids), pa.concat_arrays(docs_held), np.array([len(x) for x in ids]))
+            lengths = np.array([len(x) + 1 for x in ids])
+            data = pack(np.concatenate([x for text in ids for x in (text, end)]), pa.concat_arrays(docs_held), lengths)
             name = write_file(folder, f"part-{part:06d}-{made:05d}.wvm", data)
             row = pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([held], pa.int64())})
             made, ids, held, docs_held = made + 1, [], 0, []
@@ -278,8 +314,8 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, folder: str, end_id: int
             for a in range(0, len(texts), 512):
                 docs_held.append(doc_ids.slice(a, 512))
                 for x in encode(texts[a:a + 512]):
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    held += len(ids[-1])
+                    ids.append(x)
+                    held += len(x) + 1
                 if held >= shard_tokens:
                     yield flush()
         if ids:
