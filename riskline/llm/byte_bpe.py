@@ -17,6 +17,8 @@ one; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import io
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -160,7 +162,8 @@ class Dictionary:
     """The frequent words as sorted hashes beside their text: some 20 bytes a word in a task, not a Python dict."""
 
     def __init__(self, words: pa.Array):
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words.to_pylist()], np.uint64)
+        some = (words.slice(a, 10_000).to_pylist() for a in range(0, len(words), 10_000))  # never all as Python strings
+        h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(some)), np.uint64, len(words))
         self.order = np.argsort(h, kind="stable").astype(np.int32)
         self.hashes, self.words = h[self.order], words
 
@@ -280,10 +283,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1_0
     counts = materialize(count_words(docs, pattern), "bpe-words")
     frequent = counts.where(F.col("n") >= count_cut(counts, dictionary)).select("word").repartition(spark.sparkContext.defaultParallelism)
     words = frequent.select("word", F.get(encode_words(F.array("word"), table), F.lit(0)).alias("ids")).toArrow()
-    sink = pa.BufferOutputStream()
+    sink = io.BytesIO()
     with pa.ipc.new_stream(sink, words.schema) as w:
         w.write_table(words.combine_chunks())
-    data = sink.getvalue().to_pybytes()
+    del words
+    data = sink.getvalue()
     known = spark.sparkContext.broadcast((hash(data), data))
     pieces = [b""] * (max(ranks.values()) + 1)
     for k, r in ranks.items():
