@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import io
+from collections import Counter
 from itertools import chain
 
 import numpy as np
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import Counter64, count_cut, documents, gather, materialize
+from riskline.llm.common import Counter64, count_cut, documents, extended, gather, materialize
 
 NONE = 2147483647
 BLOCK_CHARS = 1 << 21
@@ -137,7 +138,7 @@ def _encode(word: Column, table: RankTable, arrays: Column) -> Column:
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n over all whole texts; words are counted inside a task before they are shuffled."""
     def run(batches):
-        find, seen = regex.compile(pattern).findall, {}
+        find, seen = regex.compile(pattern).findall, Counter()
 
         def rows():
             out = pa.RecordBatch.from_pydict({"word": pa.array(seen.keys(), pa.string()),
@@ -147,8 +148,7 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
 
         for b in batches:
             for t in b.column("text").to_pylist():
-                for w in find(t):
-                    seen[w] = seen.get(w, 0) + 1
+                seen.update(find(t))
             if len(seen) > 200_000:
                 yield rows()
         if seen:
@@ -171,7 +171,7 @@ class Dictionary:
         """Number of each word, -1 for words outside."""
         if not len(self.hashes) or not words:
             return np.full(len(words), -1)
-        h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
         at = np.minimum(np.searchsorted(self.hashes, h), len(h) and len(self.hashes) - 1)
         out = np.where(self.hashes[at] == h, self.order[at], -1)
         found = np.flatnonzero(out >= 0)
@@ -237,28 +237,33 @@ def finish_blocks(blocks: DataFrame, known, pieces: list[bytes], id_type: str) -
     """doc_id, ids (4-byte little-endian) and decoded bytes of every document."""
     shared = blocks.sparkSession.sparkContext.broadcast(pieces)
 
+    def column(ends, data):
+        """Binary values that lie one behind the other."""
+        if int(ends[-1]) >> 31:
+            raise ValueError("a block of documents has more than 2 GB of ids or bytes")
+        return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
     def run(batches):
         with pa.ipc.open_stream(known.value[1]) as r:
-            size, flat = _lists(r.read_all().column("ids"))
-        flat = flat.astype(np.uint32)
-        starts = np.cumsum(size) - size
-        table = shared.value
+            sizes, values = _lists(r.read_all().column("ids"))
+        values, first = values.astype(np.uint32), np.cumsum(sizes) - sizes
+        words, held = len(sizes), len(values)
+        table = pa.array(shared.value, pa.binary())
         for b in batches:
             for row in range(b.num_rows):
+                # a block's own words stand behind those of the dictionary
                 more, extra = _lists(b.column("rare_ids").slice(row, 1).flatten())
-                sizes = np.concatenate([size, more])
-                values = np.concatenate([flat, extra.astype(np.uint32)])
-                first = np.concatenate([starts, len(flat) + np.cumsum(more) - more])
+                sizes, values = extended(sizes, words, more), extended(values, held, extra.astype(np.uint32))
+                first = extended(first, words, held + np.cumsum(more) - more)
                 codes = np.frombuffer(b.column("codes")[row].as_py(), "<i4")
                 counts = np.frombuffer(b.column("counts")[row].as_py(), "<i4")
-                out, ends = [], np.cumsum(counts)
-                for a, z in zip(ends - counts, ends):
-                    ids, _ = gather(first, sizes, values, codes[a:z])
-                    out.append((ids.astype("<u4").tobytes(), b"".join(map(table.__getitem__, ids.tolist()))))
-                cols = list(zip(*out))
+                ids, n = gather(first, sizes, values, codes)
+                ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts))]
+                found = table.take(pa.array(ids))
+                bytes_ = np.append(0, np.cumsum(pc.binary_length(found).to_numpy()))[ends]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("ids").slice(row, 1).flatten(), pa.array(cols[0], pa.binary()),
-                     pa.array(cols[1], pa.binary())], ["doc_id", "ids", "decoded"])
+                    [b.column("ids").slice(row, 1).flatten(), column(4 * ends, pa.py_buffer(ids.astype("<u4"))),
+                     column(bytes_, found.buffers()[2] or pa.py_buffer(b""))], ["doc_id", "ids", "decoded"])
 
     return blocks.mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
 

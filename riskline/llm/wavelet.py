@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import Counter64, documents, gather, scratch_path
+from riskline.llm.common import Counter64, documents, extended, gather, scratch_path
 
 MAGIC = b"WVMX0001"
 BLOCK = 1 << 16  # bytes of a plane in one compressed block
@@ -49,14 +49,6 @@ class Words(Counter64):
         return super().__missing__(word)
 
 
-def extended(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
-    """``a`` with ``more`` behind its first ``used`` items; its room doubles, so that items are seldom moved."""
-    if used + len(more) > len(a):
-        a = np.concatenate([a[:used], np.empty(max(used, len(more)), a.dtype)])
-    a[used:used + len(more)] = more
-    return a
-
-
 class CachedEncoder:
     """Ids of whole texts; each distinct white-space-separated word is encoded once.
 

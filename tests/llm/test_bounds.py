@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 from riskline.llm import registry
-from riskline.llm.byte_bpe import Dictionary
+from riskline.llm.byte_bpe import Dictionary, encode
 from riskline.llm.suffix_dedup import stable_order, suffix_order
 from riskline.llm.wavelet import CachedEncoder
 
@@ -50,3 +50,12 @@ def test_stable_order():
         key = r.integers(0, top, 5000)
         assert stable_order(key).tolist() == np.argsort(key, kind="stable").tolist()
     assert len(stable_order(np.zeros(0, np.int64))) == 0
+
+
+def test_blocks_without_ids_and_words_outside_the_dictionary(spark):
+    pattern = registry.public_tokenizers.PATTERN
+    for rows in ([(1, ""), (2, None)], [(1, "an odd xqzvk"), (2, ""), (3, "xqzvk é an"), (4, None)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: (len(r.ids), bytes(r.decoded)) for r in encode(docs, registry.BYTE_RANKS, pattern, 2).collect()}
+        assert {k: v[1] for k, v in got.items()} == {k: (t or "").encode() for k, t in rows}
+        assert all((n > 0) == bool(t) for (n, _), (_, t) in zip(map(got.get, range(1, 5)), rows))
