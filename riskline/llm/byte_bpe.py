@@ -233,6 +233,13 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(a.offsets.to_numpy()), a.flatten().to_numpy(zero_copy_only=False)
 
 
+def _stream(table: pa.Table) -> bytes:
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table.combine_chunks())
+    return sink.getvalue()
+
+
 def finish_blocks(blocks: DataFrame, known, pieces: list[bytes], id_type: str) -> DataFrame:
     """doc_id, ids (4-byte little-endian) and decoded bytes of every document."""
     shared = blocks.sparkSession.sparkContext.broadcast(pieces)
@@ -240,13 +247,21 @@ def finish_blocks(blocks: DataFrame, known, pieces: list[bytes], id_type: str) -
     def column(ends, data):
         """Binary values that lie one behind the other."""
         if int(ends[-1]) >> 31:
-            raise ValueError("a block of documents has more than 2 GB of ids or bytes")
+            raise ValueError("ids or bytes of more than 2 GB")
         return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
 
+    def slices(ends, most=1 << 16):
+        """Documents of about ``most`` words, or one longer document."""
+        a = 0
+        while a < len(ends) - 1:
+            z = max(a + 1, int(np.searchsorted(ends, ends[a] + most, side="right")) - 1)
+            yield a, z
+            a = z
+
     def run(batches):
-        with pa.ipc.open_stream(known.value[1]) as r:
+        with pa.ipc.open_stream(known.value) as r:
             sizes, values = _lists(r.read_all().column("ids"))
-        values, first = values.astype(np.uint32), np.cumsum(sizes) - sizes
+        values, first = values.astype(np.uint32, copy=False), (np.cumsum(sizes) - sizes).astype(np.int32)
         words, held = len(sizes), len(values)
         table = pa.array(shared.value, pa.binary())
         for b in batches:
@@ -257,13 +272,15 @@ def finish_blocks(blocks: DataFrame, known, pieces: list[bytes], id_type: str) -
                 first = extended(first, words, held + np.cumsum(more) - more)
                 codes = np.frombuffer(b.column("codes")[row].as_py(), "<i4")
                 counts = np.frombuffer(b.column("counts")[row].as_py(), "<i4")
-                ids, n = gather(first, sizes, values, codes)
-                ends = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts))]
-                found = table.take(pa.array(ids))
-                bytes_ = np.append(0, np.cumsum(pc.binary_length(found).to_numpy()))[ends]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("ids").slice(row, 1).flatten(), column(4 * ends, pa.py_buffer(ids.astype("<u4"))),
-                     column(bytes_, found.buffers()[2] or pa.py_buffer(b""))], ["doc_id", "ids", "decoded"])
+                docs, ends = b.column("ids").slice(row, 1).flatten(), np.append(0, np.cumsum(counts, dtype=np.int64))
+                for a, z in slices(ends):
+                    ids, n = gather(first, sizes, values, codes[ends[a]:ends[z]])
+                    stops = np.append(0, np.cumsum(n))[ends[a:z + 1] - ends[a]]
+                    found = table.take(pa.array(ids))
+                    held_bytes = np.append(0, np.cumsum(pc.binary_length(found).to_numpy()))[stops]
+                    yield pa.RecordBatch.from_arrays(
+                        [docs.slice(a, z - a), column(4 * stops, pa.py_buffer(ids.astype("<u4", copy=False))),
+                         column(held_bytes, found.buffers()[2] or pa.py_buffer(b""))], ["doc_id", "ids", "decoded"])
 
     return blocks.mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
 
@@ -288,16 +305,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1_0
     counts = materialize(count_words(docs, pattern), "bpe-words")
     frequent = counts.where(F.col("n") >= count_cut(counts, dictionary)).select("word").repartition(spark.sparkContext.defaultParallelism)
     words = frequent.select("word", F.get(encode_words(F.array("word"), table), F.lit(0)).alias("ids")).toArrow()
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, words.schema) as w:
-        w.write_table(words.combine_chunks())
-    del words
-    data = sink.getvalue()
+    data = _stream(words.select(["word"]))
     known = spark.sparkContext.broadcast((hash(data), data))
+    known_ids = spark.sparkContext.broadcast(_stream(words.select(["ids"])))  # each kind of task holds what it reads
+    del words, data
     pieces = [b""] * (max(ranks.values()) + 1)
     for k, r in ranks.items():
         pieces[r] = k
     blocks = to_blocks(docs, known, pattern, id_type)
     folded = blocks.select("ids", "counts", "codes",
                            encode_words(F.col("rare"), table).alias("rare_ids"))
-    return finish_blocks(folded, known, pieces, id_type)
+    return finish_blocks(folded, known_ids, pieces, id_type)
