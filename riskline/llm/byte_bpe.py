@@ -135,6 +135,13 @@ def _encode(word: Column, table: RankTable, arrays: Column) -> Column:
         let(rank(data), lambda whole: F.when(whole != NONE, F.array(whole)).otherwise(let(single, fold))))
 
 
+def texts_of(batch: pa.RecordBatch, rows: int = 256):
+    """(doc_id or None, text) of a batch; few texts at a time are Python strings."""
+    ids = batch.column("doc_id").to_pylist() if "doc_id" in batch.schema.names else [None] * batch.num_rows
+    for a in range(0, batch.num_rows, rows):
+        yield from zip(ids[a:a + rows], batch.column("text").slice(a, rows).to_pylist())
+
+
 def count_words(docs: DataFrame, pattern: str) -> DataFrame:
     """word, n over all whole texts; words are counted inside a task before they are shuffled."""
     def run(batches):
@@ -147,7 +154,7 @@ def count_words(docs: DataFrame, pattern: str) -> DataFrame:
             return out
 
         for b in batches:
-            for t in b.column("text").to_pylist():
+            for _, t in texts_of(b):
                 seen.update(find(t))
             if len(seen) > 200_000:
                 yield rows()
@@ -200,7 +207,7 @@ def to_blocks(docs: DataFrame, known, pattern: str, id_type: str) -> DataFrame:
         ids, counts, codes, local, chars = [], [], [], Counter64(), 0
         for b in batches:
             ids_type = b.column("doc_id").type
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            for i, t in texts_of(b):
                 words = find(t)
                 ids.append(i)
                 counts.append(len(words))
