@@ -34,8 +34,8 @@ from riskline.llm.common import Counter64, documents, extended, gather, scratch_
 MAGIC = b"WVMX0001"
 BLOCK = 1 << 16  # bytes of a plane in one compressed block
 SHARD_TOKENS = 1 << 21
-#: Words of letters that no normalizer composes and no pre-tokenizer splits.
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+[.,;:!?]?").fullmatch
+#: Words of letters that no normalizer composes and no pre-tokenizer splits, and the marks behind them.
+PLAIN = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 class Words(Counter64):
@@ -67,42 +67,74 @@ class CachedEncoder:
             self.lower = '"Lowercase"' in json.dumps(json.loads(tokenizer_json)["normalizer"])
             for piece, k in self.tok.get_vocab(with_added_tokens=False).items():
                 self.closing[k] = piece.endswith(suffix)
+        self.closes = bool(self.closing.any())
         self.clear()
 
     def clear(self):
         self.rows, self.starts, self.sizes = Words(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.held = np.zeros(0, np.uint32), 0
+        self.flat, self.held, self.apart = np.zeros(0, np.uint32), 0, {}
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start and number of ids of each word, all ids). Plain words, with or without one punctuation mark
-        behind, go to the tokenizer joined by blanks: each pre-token ends with one closing id, so the
-        closing ids show where a word ends. Other words go one by one."""
+    def _encode(self, words: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start and number of ids of each word, all ids). ``plain`` words, of letters alone, go to the tokenizer
+        joined by blanks: each ends with one closing id, so the closing ids show where a word ends. Other words
+        go one by one."""
         starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        marks = np.fromiter((PLAIN(w) and 1 + (not w[-1].isalpha()) or 0 for w in words), np.int64, len(words))
-        if not self.closing.any():
-            marks[:] = 0
-        at, flat, held = np.flatnonzero(marks), [], 0
+        at, flat, held = np.flatnonzero(plain), [], 0
         for a in range(0, len(at), 1000):
             part = at[a:a + 1000]
             ids = np.array(self._ids([" ".join([words[k] for k in part])])[0], np.uint32)
-            closed = np.flatnonzero(self.closing[ids]) + 1
-            if len(closed) != marks[part].sum():
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(part):
                 raise ValueError("the tokenizer does not close each pre-token once")
-            ends = closed[np.cumsum(marks[part]) - 1]
             sizes[part] = np.diff(ends, prepend=0)
             starts[part] = held + ends - sizes[part]
             flat.append(ids)
             held += len(ids)
-        rest = np.flatnonzero(marks == 0)
+        rest = np.flatnonzero(~plain)
         for a in range(0, len(rest), 1000):
             part = rest[a:a + 1000]
             found = self._ids([words[k] for k in part])
             sizes[part] = np.fromiter(map(len, found), np.int64, len(part))
             starts[part] = held + np.cumsum(sizes[part]) - sizes[part]
-            flat.append(np.array([i for ids in found for i in ids], np.uint32))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[part].sum())))
             held += len(flat[-1])
         return starts, sizes, np.concatenate(flat)
 
+    def _apart(self, marks: str) -> bool:
+        """Whether the tokenizer takes these marks behind a letter as if they stood alone; asked once."""
+        if marks not in self.apart:
+            whole, letter, alone = self._ids(["a" + marks, "a", marks])
+            self.apart[marks] = whole == letter + alone
+        return self.apart[marks]
+
+    def _learn(self, known: int):
+        """Ids of the words seen since ``known``. Letters with marks behind them have the ids of both, so
+        the letters are encoded once, whatever marks follow them."""
+        seen, words, plain, alone, joined, halves = self.rows.seen, [], [], [], [], []
+        for k, b in enumerate(seen, known):  # ``seen`` grows by letters and marks that are new themselves
+            w = b.decode("utf-8", "surrogatepass")
+            m = PLAIN(w) if self.closes else None
+            if m and m[2] and self._apart(m[2]):
+                joined.append(k)
+                halves += self.rows[m[1].encode()], self.rows[m[2].encode()]
+            else:
+                words.append(w)
+                plain.append(bool(m and not m[2]))
+                alone.append(k - known)
+        starts, sizes = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
+        starts[alone], sizes[alone], flat = self._encode(words, np.array(plain))
+        self.starts = extended(self.starts, known, self.held + starts)
+        self.sizes = extended(self.sizes, known, sizes)
+        self.flat = extended(self.flat, self.held, flat)
+        self.held += len(flat)
+        if joined:
+            flat, sizes = gather(self.starts, self.sizes, self.flat, np.array(halves))
+            sizes = sizes.reshape(-1, 2).sum(1)
+            self.starts[joined], self.sizes[joined] = self.held + np.cumsum(sizes) - sizes, sizes
+            self.flat = extended(self.flat, self.held, flat)
+            self.held += len(flat)
+        seen.clear()
+
     def _ids(self, texts: list[str]) -> list[list[int]]:
         """Ids alone: places in the text are not followed."""
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,13 +149,7 @@ class CachedEncoder:
         counts = np.cumsum([0, *map(len, words)])
         numbers = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64, counts[-1])
         if len(self.rows) > known:
-            fresh = [w.decode("utf-8", "surrogatepass") for w in self.rows.seen]
-            self.rows.seen.clear()
-            starts, sizes, flat = self._encode(fresh)
-            self.starts = extended(self.starts, known, self.held + starts)
-            self.sizes = extended(self.sizes, known, sizes)
-            self.flat = extended(self.flat, self.held, flat)
-            self.held += len(flat)
+            self._learn(known)
         flat, sizes = gather(self.starts, self.sizes, self.flat, numbers)
         ends = np.concatenate([[0], np.cumsum(sizes)])[counts].tolist()
         return [flat[a:z] for a, z in zip(ends, ends[1:])]

@@ -36,6 +36,17 @@ def test_encoder_moves_its_ids_seldom_and_gives_those_of_single_words():
     assert [x.tolist() for x in encode(texts)] == [x.tolist() for x in ids]
 
 
+def test_letters_are_encoded_once_whatever_marks_follow(monkeypatch):
+    with open(registry.WORD_TOKENIZER, encoding="utf-8") as f:
+        encode = CachedEncoder(f.read())
+    asked, ids = [], encode._ids
+    monkeypatch.setattr(encode, "_ids", lambda texts: asked.extend(w for t in texts for w in t.split()) or ids(texts))
+    text = " ".join("grün" + m for m in ("", ".", ",", "$$$", ",***", "!!", "'", "<|", "1", "'s", "É", ".a")) + " ,*** $$$a ß."
+    got = [x.tolist() for t in (text, text[::-1], text) for x in encode([t])]
+    assert got == [encode.tok.encode(t, add_special_tokens=False).ids for t in (text, text[::-1], text)]
+    assert [w for w in asked if w.startswith("grün")] == ["grün", "grün1", "grün's", "grünÉ", "grün.a"]
+
+
 def test_suffixes_are_sorted_by_as_many_symbols_as_a_key_holds():
     r = np.random.default_rng(5)
     for symbols in (1, 2, 5, 70, 256):
