@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ SCALE = 1_000_000
 SHARDS = 4
 MAX_BITS = 28
 #: Words held in a task before their phrases are counted.
-BLOCK = 1 << 19
+BLOCK = 1 << 20
 #: Candidates that one window of the ranking sorts, about.
 ROUND = 20_000
 
@@ -75,11 +76,15 @@ class Block:
         self.size += len(words)
 
     def close(self) -> None:
-        """Words and their hashes by id, once no more texts are added."""
+        """Hashes of the words by id, once no more texts are added."""
+        self.base = np.fromiter(map(xxhash.xxh64_intdigest, self.ids), np.uint64, len(self.ids))
+
+    @cached_property
+    def words(self) -> pa.Array:
+        """The words by id; only passes that give words ask for them."""
         words = list(self.ids)
-        self.base = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
         words[0] = b""
-        self.words = pa.array([w.decode("utf-8", "surrogatepass") for w in words], pa.string())
+        return pa.array(words, pa.binary()).cast(pa.string())
 
     def streams(self) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
         """Shard, language, ids, and the hash of every word in that language."""

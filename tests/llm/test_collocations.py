@@ -75,3 +75,11 @@ def test_bitmap_never_loses_an_entry(spark):
     assert bits.has(keys.view(np.uint64)).all()
     other = np.random.default_rng(1).integers(-2**63, 2**63, 3000).view(np.uint64)
     assert bits.has(other).mean() < 0.1
+
+
+def test_mining_passes_make_no_text_of_words():
+    block = C.Block()
+    block.add(0, "en", "Some words, ï words.")
+    block.close()
+    assert "words" not in vars(block) and len(block.base) == 4
+    assert block.words.to_pylist() == ["", "some", "words", "ï"]
