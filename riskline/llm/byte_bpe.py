@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import Counter64, count_cut, documents, extended, gather, materialize
+from riskline.llm.common import Counter64, count_cut, documents, extended, gather, give_back, materialize
 
 NONE = 2147483647
 BLOCK_CHARS = 1 << 21
@@ -322,4 +322,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, dictionary: int = 1_0
     blocks = to_blocks(docs, known, pattern, id_type)
     folded = blocks.select("ids", "counts", "codes",
                            encode_words(F.col("rare"), table).alias("rare_ids"))
+    del ranks, table
+    give_back()
     return finish_blocks(folded, known_ids, pieces, id_type)

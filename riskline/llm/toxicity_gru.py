@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskline.llm.common import documents, lower_ascii, materialize, remainder, row_key, without_rows
+from riskline.llm.common import documents, give_back, lower_ascii, materialize, remainder, row_key, without_rows
 
 WINDOW, STRIDE = 32, 16  # half a window: a passage of up to 17 words lies whole in some window
 BUCKETS, DIM, HID, ATT = 1 << 14, 8, 8, 8
@@ -38,8 +38,13 @@ def words_of(text: str) -> list[bytes]:
     return [w.strip(EDGE) or w for w in lower_ascii(text.lower()).split()]
 
 
-def hashed_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word buckets, n-gram buckets, n-grams per word): hashed character 3- and 4-grams of ``<word>``."""
+def hashed_inputs(words: list[bytes], step: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word buckets, n-gram buckets, n-grams per word): hashed character 3- and 4-grams of ``<word>``, ``step`` words at a time."""
+    parts = [_hashed(words[a:a + step]) for a in range(0, max(len(words), 1), step)]
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
+def _hashed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bucket = np.fromiter((zlib.crc32(w) & (BUCKETS - 1) for w in words), np.int64, len(words))
     size = np.fromiter(map(len, words), np.int64, len(words)) + 2
     text = np.frombuffer(b"<" + b"><".join(words) + b">" + b"\0" * 4, np.uint8).astype(np.uint32)
@@ -336,6 +341,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = 1000, max_cha
         return d.select(row_key(d).alias("row"), "doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     d = documents(docs)
     net = d.sparkSession.sparkContext.broadcast(train(texts, kinds, **fit))
+    del texts, kinds
+    give_back()
 
     def run(batches):
         score = Scorer(net.value)
