@@ -7,13 +7,17 @@ their prefixes of n - ceil(t*n) + l. Each document lengthens its prefix (chooses
 its l) by the estimated cost of its candidates, and a pair is verified only if it
 shares as many prefix shingles as the smaller l of the two asks for.
 
-Lists of a prefix shingle that are longer than ``short`` are not paired up. Their
-smallest set is the hub: every member is compared with the hub alone. Members
+Lists of a prefix shingle that are longer than ``short`` are not paired up. They
+matter only to pairs that share no shorter list, so all shingles such a pair asks
+for lie in long lists. A member stays in a long list only if it stands in as many
+long lists as the l of some member of like size asks for, and that member does too.
+The smallest set that stays is the hub: every member is compared with the hub alone. Members
 linked to the hub are in one component. If x is not linked to hub p, any set y of
 the list that is linked to x shares a shingle with x outside p (|y| >= |p|, so the
 overlap of x and y exceeds that of x and p). So the members are listed again by
 their shingles outside the hub, and only there pairs are formed, never those of
-two members that are both linked to the hub.
+two members that links found before connect. Lists that are still long there have
+a hub of their own, and so on; only what is long after ``ROUNDS`` is paired up.
 
 Defined results: null or empty text has an empty set, links with nothing and is its
 own component; fewer words than a shingle make one shingle of all; rows of equal id
@@ -24,20 +28,24 @@ columns are ignored. Sets are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskline.llm.common import (Counter64, count_cut, documents, lower_ascii, materialize, mix64, row_key, unused,
-                                 without_rows)
+from riskline.llm.common import (Counter64, count_cut, documents, give_back, lower_ascii, materialize, mix64, row_key,
+                                 unused, without_rows)
 from riskline.llm.components import components
 
 LEVELS = 24         # longest extension of a prefix
 UNSEEN = 0.25       # other members expected in the list of a shingle outside the frequent ones
 FLUSH = 1 << 20     # shingles after which a task reports its frequent ones
 OFTEN = 6           # reported if seen so often among them
+ROUNDS = 2          # times that members are listed again outside a hub, before pairs of long lists are formed
 
 
 class Shingler:
@@ -168,11 +176,27 @@ def postings(docs: DataFrame, width: int, percent: int, order) -> DataFrame:
 
 
 def shared_postings(lists: DataFrame) -> DataFrame:
-    """Postings of shingles with two or more sets, with the list's size and hub (smallest set)."""
+    """Postings of shingles with two or more sets, with the list's size."""
     w = Window.partitionBy("shingle")
     return (lists.repartition("shingle").withColumn("lo", F.min("set").over(w)).withColumn("hi", F.max("set").over(w))
             .where("lo <> hi").drop("lo", "hi").dropDuplicates(["shingle", "set"])
-            .withColumn("size", F.count(F.lit(1)).over(w)).withColumn("hub", F.min(F.struct("n", "set")).over(w)))
+            .withColumn("size", F.count(F.lit(1)).over(w)))
+
+
+def long_members(long: DataFrame, percent: int) -> DataFrame:
+    """set, n, hub of the postings in ``long`` lists that a pair may need which shares no other list.
+
+    Such a pair shares l long lists, l being the smaller of its two: one set stands in as many as its own
+    l asks for, the other in as many as that. Sizes that fit lie in the same or in neighbouring bins.
+    """
+    width = max(1.001 * math.log(100 / percent), 0.01)
+    like = Window.partitionBy("shingle").orderBy("bin").rangeBetween(-1, 1)
+    of = Window.partitionBy("shingle")
+    return (long.join(long.groupBy("set").agg(F.count(F.lit(1)).alias("long")), "set")
+            .withColumn("bin", F.floor(F.log("n") / width).cast("int"))
+            .withColumn("least", F.min(F.when(F.col("long") >= F.col("l"), F.col("l"))).over(like))
+            .where("long >= least").withColumn("hub", F.min(F.struct("n", "set")).over(of)["set"])
+            .select("set", "n", "hub").distinct())
 
 
 def _pairs(lists: DataFrame, key: list[str], extra: list[str]) -> DataFrame:
@@ -212,8 +236,8 @@ def compare(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame
 
     Where b is the hub of a, ``rest`` are the shingles of a outside b by which to look further.
     """
-    def run(batches):
-        for batch in batches:
+    def run(batches, rows=256):
+        for batch in (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows)):
             ok, rest = [], []
             for x, y, hub in zip(*(batch.column(c).to_pylist() for c in ("ia", "ib", "hub"))):
                 s, p = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -230,6 +254,7 @@ def compare(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("a", "b", "hub")), pa.array(ok, pa.bool_()),
                  pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "hub", "linked", "rest"])
+        give_back()  # the worker goes on to other tasks
 
     return (pairs.join(sets.select(F.col("set").alias("b"), F.col("items").alias("ib")), "b")
             .join(sets.select(F.col("set").alias("a"), F.col("items").alias("ia")), "a")
@@ -237,6 +262,25 @@ def compare(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame
             .mapInArrow(run, "a long, b long, hub boolean, linked boolean, rest array<long>"))
 
 
+def linked_pairs(compared: DataFrame) -> DataFrame:
+    return compared.where("linked").select("a", "b")
+
+
+def outside_hubs(hubs: DataFrame, sizes: DataFrame, links: DataFrame) -> DataFrame:
+    """hub, z, set, n, group, degree, size: members by their shingles z outside the hub, where not all are connected yet.
+
+    By the ``links`` (a, b) found so far, ``group`` is a member's component and ``degree`` its number of links.
+    """
+    w = Window.partitionBy("hub", "z")
+    degree = links.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count(F.lit(1)).alias("degree"))
+    of = (sizes.join(components(links).withColumnRenamed("node", "set"), "set", "left").join(degree, "set", "left")
+          .select("set", "n", F.coalesce("component", "set").alias("group"), F.coalesce("degree", F.lit(0)).alias("degree")))
+    listed = hubs.select(F.col("a").alias("set"), F.col("b").alias("hub"), "rest").join(of, "set")
+    return (listed.select("hub", F.explode("rest").alias("z"), "set", "n", "group", "degree").repartition("hub", "z")
+            .withColumn("size", F.count(F.lit(1)).over(w)).withColumn("low", F.min("group").over(w))
+            .withColumn("high", F.max("group").over(w)).where("low <> high").drop("low", "high"))
+
+
 def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: int = 80, short: int = 32,
                   frequent: int = 50_000) -> DataFrame:
     """Links (a, b) between different sets whose components are those of all links.
@@ -260,29 +304,39 @@ def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: in
     close = (found.join(side("a"), "a", "left").join(side("b"), "b", "left")
              .where(F.col("k") + F.least(F.coalesce("long_a", F.lit(0)), F.coalesce("long_b", F.lit(0))) >= F.col("l"))
              .select("a", "b"))
-    members = (lists.where((F.col("size") > short) & (F.col("set") != F.col("hub.set")))
-               .select(F.col("set").alias("a"), F.col("hub.set").alias("b")).distinct())
+    in_hubs = materialize(long_members(lists.where(F.col("size") > short), percent), "long-members")
+    members = in_hubs.where(F.col("set") != F.col("hub")).select(F.col("set").alias("a"), F.col("hub").alias("b"))
     first = materialize(close.withColumn("hub", F.lit(False)).unionByName(members.withColumn("hub", F.lit(True))), "pairs")
     named = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
     sets = materialize(sets_of(docs, named(first), firsts, width), "sets")  # sets outside any pair are not fetched
     compared = materialize(compare(first, sets, order, percent), "compared")
-    hubs = compared.where("hub").select(F.col("a").alias("set"), F.col("b").alias("hub"), "linked", "rest")
-    n = lists.groupBy("set").agg(F.max("n").alias("n"))
-    again = hubs.select("set", "hub", "linked", F.explode("rest").alias("z")).repartition("hub", "z")
-    w = Window.partitionBy("hub", "z")
-    again = (again.withColumn("size", F.count(F.lit(1)).over(w))
-             .withColumn("open", F.sum((~F.col("linked")).cast("int")).over(w)).where("size > 1 and open > 0").join(n, "set"))
-    again = materialize(again, "outside-hubs")
-    few = _pairs(again.where(F.col("size") <= short), ["hub", "z"], ["n", "linked"]).where(fits & ~(F.col("linked_a") & F.col("linked_b")))
-    # Longer lists outside a hub: members not linked to it against the list, spread over blocks.
-    rest = again.where(F.col("size") > short)
-    x = rest.where("not linked").select("hub", "z", F.col("set").alias("a"), F.col("n").alias("n_a"), F.lit(False).alias("linked_a"))
-    y = rest.select("hub", "z", F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("linked").alias("linked_b"))
-    many = x.join(y, ["hub", "z"]).where(F.col("a") != F.col("b")).where(fits)
-    more = few.select("a", "b").unionByName(many.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    second = materialize(more.distinct().withColumn("hub", F.lit(False)), "outside-pairs")
-    again = compare(second, sets.join(named(second), "set", "left_semi"), order, percent)
-    return compared.unionByName(again).where("linked").select("a", "b")
+    n = in_hubs.select("set", "n").distinct()
+    links, few, hubs = linked_pairs(compared), [], compared.where("hub")
+    for left in reversed(range(ROUNDS)):
+        again = materialize(outside_hubs(hubs, n, links), "outside-hubs")
+        few.append(_pairs(again.where(F.col("size") <= short), ["hub", "z"], ["n", "group"])
+                   .where(fits & (F.col("group_a") != F.col("group_b"))).select("a", "b"))
+        rest = again.where(F.col("size") > short)
+        if not left or rest.isEmpty():
+            break
+        # The smallest set of such a list is the hub of the next round. The set of most links is no hub, but may connect many.
+        w = Window.partitionBy("hub", "z")
+        led = rest.select("set", "group", F.min(F.struct("n", "set")).over(w)["set"].alias("next"),
+                          F.max(F.struct("degree", "set", "group")).over(w).alias("best"))
+        members = (led.where("set <> next").select(F.col("set").alias("a"), F.col("next").alias("b"), F.lit(True).alias("hub"))
+                   .unionByName(led.where("group <> best.group")
+                                .select(F.col("set").alias("a"), F.col("best.set").alias("b"), F.lit(False).alias("hub"))))
+        found = materialize(compare(members.distinct(), sets, order, percent), "compared")
+        hubs = found.where("hub")
+        links = links.unionByName(linked_pairs(found))
+    # Longer lists after the last round: every member against those of other groups, spread over blocks.
+    x, y = (rest.select("hub", "z", *[F.col(c).alias(f"{k}_{t}") for c, k in (("set", "s"), ("n", "n"), ("group", "group"))])
+            for t in "ab")
+    many = x.join(y, ["hub", "z"]).where((F.col("s_a") < F.col("s_b")) & (F.col("group_a") != F.col("group_b"))).where(fits)
+    few.append(many.select(F.col("s_a").alias("a"), F.col("s_b").alias("b")))
+    second = materialize(reduce(DataFrame.unionByName, few).distinct().withColumn("hub", F.lit(False)), "outside-pairs")
+    last = compare(second, sets.join(named(second), "set", "left_semi"), order, percent)
+    return links.unionByName(linked_pairs(last))
 
 
 def jaccard_rows(docs: DataFrame, width: int = 5, percent: int = 80, **rule) -> DataFrame:
