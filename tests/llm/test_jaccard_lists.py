@@ -38,7 +38,7 @@ def brute(texts):
 
 def test_one_common_passage_compares_no_members(spark, monkeypatch):
     r = random.Random(5)
-    common_words = " ".join(f"common{i}" for i in range(9))
+    common_words = " ".join(f"common{i}" for i in range(14))
     texts = [" ".join(f"w{r.random()}" for _ in range(70)) + " " + common_words for _ in range(80)]
     seen = watch(monkeypatch)
     docs = frame(spark, texts)
