@@ -17,7 +17,9 @@ the list that is linked to x shares a shingle with x outside p (|y| >= |p|, so t
 overlap of x and y exceeds that of x and p). So the members are listed again by
 their shingles outside the hub, and only there pairs are formed, never those of
 two members that links found before connect. Lists that are still long there have
-a hub of their own, and so on; only what is long after ``ROUNDS`` is paired up.
+a hub of their own, and so on. The members of what is long after ``ROUNDS`` are no
+rows of pairs either: they are dealt into cells of bounded size, each of which holds
+its sets once and gives the links that connect members not connected yet.
 
 Defined results: null or empty text has an empty set, links with nothing and is its
 own component; fewer words than a shingle make one shingle of all; rows of equal id
@@ -34,18 +36,19 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskline.llm.common import (Counter64, count_cut, documents, give_back, lower_ascii, materialize, mix64, row_key,
-                                 unused, without_rows)
+from riskline.llm.common import (Counter64, count_cut, documents, gather, give_back, lower_ascii, materialize, mix64,
+                                 row_key, unused, without_rows)
 from riskline.llm.components import components
 
 LEVELS = 24         # longest extension of a prefix
 UNSEEN = 0.25       # other members expected in the list of a shingle outside the frequent ones
 FLUSH = 1 << 20     # shingles after which a task reports its frequent ones
 OFTEN = 6           # reported if seen so often among them
-ROUNDS = 2          # times that members are listed again outside a hub, before pairs of long lists are formed
+ROUNDS = 2          # times that members are listed again outside a hub, before members of long lists are compared in cells
+BLOCK = 1 << 20     # shingles expected on each side of a cell
 
 
 class Shingler:
@@ -183,17 +186,21 @@ def shared_postings(lists: DataFrame) -> DataFrame:
             .withColumn("size", F.count(F.lit(1)).over(w)))
 
 
+def size_bin(percent: int) -> Column:
+    """Bin of a set's size n: sizes that fit lie in the same or in neighbouring bins."""
+    return F.floor(F.log("n") / max(1.001 * math.log(100 / percent), 0.01)).cast("int")
+
+
 def long_members(long: DataFrame, percent: int) -> DataFrame:
     """set, n, hub of the postings in ``long`` lists that a pair may need which shares no other list.
 
     Such a pair shares l long lists, l being the smaller of its two: one set stands in as many as its own
-    l asks for, the other in as many as that. Sizes that fit lie in the same or in neighbouring bins.
+    l asks for, the other in as many as that.
     """
-    width = max(1.001 * math.log(100 / percent), 0.01)
     like = Window.partitionBy("shingle").orderBy("bin").rangeBetween(-1, 1)
     of = Window.partitionBy("shingle")
     return (long.join(long.groupBy("set").agg(F.count(F.lit(1)).alias("long")), "set")
-            .withColumn("bin", F.floor(F.log("n") / width).cast("int"))
+            .withColumn("bin", size_bin(percent))
             .withColumn("least", F.min(F.when(F.col("long") >= F.col("l"), F.col("l"))).over(like))
             .where("long >= least").withColumn("hub", F.min(F.struct("n", "set")).over(of)["set"])
             .select("set", "n", "hub").distinct())
@@ -281,8 +288,121 @@ def outside_hubs(hubs: DataFrame, sizes: DataFrame, links: DataFrame) -> DataFra
             .withColumn("high", F.max("group").over(w)).where("low <> high").drop("low", "high"))
 
 
+def crowds(lists: DataFrame) -> DataFrame:
+    """crowd, z, set, n, group: members to compare with each other, so that no pair of one of the ``lists`` is left out.
+
+    A crowd is a list, all members of a hub, or all members of hubs that share members: lists of like members
+    become one crowd where that makes fewer pairs than the lists do. Its z is 0 unless it is a list.
+    """
+    of_hub = lists.groupBy("hub", "set").agg(F.sum("size").alias("pairs"))
+    near = components(of_hub.select(F.col("hub").alias("a"), F.col("set").alias("b"))).toDF("hub", "near")
+    hubs = (of_hub.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.sum("pairs").alias("pairs")).join(near, "hub")
+            .select("hub", "near", (F.col("members") * F.col("members") <= F.col("pairs")).alias("by_hub"),
+                    F.least(F.col("members") * F.col("members"), "pairs").alias("pairs")))
+    members = of_hub.join(near, "hub").groupBy("near").agg(F.countDistinct("set").alias("members"))
+    whole = (hubs.groupBy("near").agg(F.sum("pairs").alias("pairs")).join(members, "near")
+             .select("near", (F.col("members") * F.col("members") <= F.col("pairs")).alias("by_near")))
+    by = hubs.join(whole, "near").select("hub", "near", "by_hub", "by_near")
+    return lists.join(by, "hub").select(
+        F.when(F.col("by_near"), F.col("near")).otherwise(F.col("hub")).alias("crowd"),
+        F.when(F.col("by_near") | F.col("by_hub"), F.lit(0)).otherwise(F.col("z")).alias("z"), "set", "n", "group").distinct()
+
+
+def cells(members: DataFrame, percent: int, block: int) -> DataFrame:
+    """crowd, z, cell, side, set, group: any two members of a crowd whose sizes fit meet in one cell.
+
+    A crowd's members of like size are dealt into parts of about ``block`` shingles. A cell has one part (all
+    of side 0) or two (sides 0 and 1, to be compared across). Cells of members connected already are left out.
+    """
+    of = members.withColumn("bin", size_bin(percent))
+    beside = lambda k: F.sum("parts").over(Window.partitionBy("crowd", "z").orderBy("bin").rangeBetween(k, k))
+    parts = (of.groupBy("crowd", "z", "bin").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
+             .withColumn("before", F.coalesce(beside(-1), F.lit(0))).withColumn("after", F.coalesce(beside(1), F.lit(0))))
+    dealt = of.join(parts, ["crowd", "z", "bin"]).withColumn("part", F.pmod(F.xxhash64("set"), F.col("parts")))
+    every = """flatten(array(
+        transform(sequence(0, parts - 1), k -> named_struct('bin', bin, 'i', least(part, k), 'above', 0, 'j', greatest(part, k), 'side', int(part > k))),
+        transform(filter(sequence(0, after), k -> k < after), k -> named_struct('bin', bin, 'i', part, 'above', 1, 'j', bigint(k), 'side', 0)),
+        transform(filter(sequence(0, before), k -> k < before), k -> named_struct('bin', bin - 1, 'i', bigint(k), 'above', 1, 'j', part, 'side', 1))))"""
+    cell = Window.partitionBy("crowd", "z", "cell")
+    return (dealt.select("crowd", "z", "set", "group", F.explode(F.expr(every)).alias("of"))
+            .select("crowd", "z", F.struct("of.bin", "of.i", "of.above", "of.j").alias("cell"), "of.side", "set", "group")
+            .withColumn("low", F.min("group").over(cell)).withColumn("high", F.max("group").over(cell))
+            .where("low <> high").drop("low", "high"))
+
+
+class Cell:
+    """Sets of a cell, with bounds on how much any two of them differ.
+
+    Shingles of one set only are counted, those of several are summed up by the parity of their number in each
+    of ``64 * words`` bits: sets differ by at least as many shingles as bits.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(s) for s in sets], np.int64)
+        row = np.repeat(np.arange(len(sets)), self.n)
+        items, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = (seen > 1)[at]
+        number = np.cumsum(seen > 1) - 1
+        self.flat, row, bits = number[at[shared]], row[shared], items[at[shared]]
+        self.size = np.bincount(row, minlength=len(sets))
+        self.start = np.cumsum(self.size) - self.size
+        self.own = self.n - self.size
+        words = 1 << max(0, (int(self.size.max()) - 1).bit_length() - 5)  # two bits a shingle or more
+        self.bits = np.zeros((len(sets), words), np.uint64)
+        np.bitwise_xor.at(self.bits, (row, (bits >> np.uint64(6)) & np.uint64(words - 1)), np.uint64(1) << (bits & np.uint64(63)))
+        self.mark = np.zeros(int((seen > 1).sum()), np.int64)
+
+    def least_difference(self, x: int, y: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.bits[y] ^ self.bits[x]).sum(axis=1, dtype=np.int64) + self.own[y] + self.own[x]
+
+    def both(self, x: int, y: np.ndarray) -> np.ndarray:
+        mine = self.flat[self.start[x]:self.start[x] + self.size[x]]
+        self.mark[mine] = 1
+        theirs, size = gather(self.start, self.size, self.flat, y)
+        ends = np.cumsum(size)
+        held = np.concatenate([[0], np.cumsum(self.mark[theirs])])
+        self.mark[mine] = 0
+        return held[ends] - held[ends - size]
+
+
+def cell_links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, percent: int, batch: int = 64) -> list[tuple[int, int]]:
+    """Links (numbers of sets) that connect what links of the cell connect, beyond the groups known before."""
+    cell, out = Cell(sets), []
+    _, root = np.unique(group, return_inverse=True)
+    other = np.flatnonzero(side == 1)
+    for x in np.flatnonzero(side == 0):
+        y = other if len(other) else np.arange(x + 1, len(sets))
+        y = y[root[y] != root[x]]
+        if not len(y):
+            continue
+        differ = cell.least_difference(x, y)
+        fit = (100 + percent) * differ <= (100 - percent) * (cell.n[x] + cell.n[y])
+        y = y[fit][np.argsort(differ[fit], kind="stable")]
+        while len(y):
+            now, y = y[:batch], y[batch:]
+            for k in now[linked(cell.n[x], cell.n[now], cell.both(x, now), percent)]:
+                if root[k] != root[x]:
+                    out.append((int(x), int(k)))
+                    root[root == root[k]] = root[x]
+            y = y[root[y] != root[x]]
+    return out
+
+
+def crowd_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) found in ``cells``."""
+    def run(rows: pa.Table) -> pa.Table:
+        name = rows.column("set").to_numpy()
+        found = cell_links([np.frombuffer(x, np.uint64) for x in rows.column("items").to_pylist()],
+                           rows.column("group").to_numpy(), rows.column("side").to_numpy(), percent)
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        give_back()
+        return pa.table({"a": name[a], "b": name[b]})
+
+    return dealt.join(sets, "set").groupBy("crowd", "z", "cell").applyInArrow(run, "a long, b long")
+
+
 def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: int = 80, short: int = 32,
-                  frequent: int = 50_000) -> DataFrame:
+                  frequent: int = 50_000, block: int = BLOCK) -> DataFrame:
     """Links (a, b) between different sets whose components are those of all links.
 
     ``known`` is the materialized ``survey``. At most ``frequent`` shingles are sent to the tasks as
@@ -329,11 +449,10 @@ def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: in
         found = materialize(compare(members.distinct(), sets, order, percent), "compared")
         hubs = found.where("hub")
         links = links.unionByName(linked_pairs(found))
-    # Longer lists after the last round: every member against those of other groups, spread over blocks.
-    x, y = (rest.select("hub", "z", *[F.col(c).alias(f"{k}_{t}") for c, k in (("set", "s"), ("n", "n"), ("group", "group"))])
-            for t in "ab")
-    many = x.join(y, ["hub", "z"]).where((F.col("s_a") < F.col("s_b")) & (F.col("group_a") != F.col("group_b"))).where(fits)
-    few.append(many.select(F.col("s_a").alias("a"), F.col("s_b").alias("b")))
+    if not rest.isEmpty():  # longer lists after the last round
+        dealt = materialize(cells(crowds(rest), percent, block), "cells")
+        mine = sets.join(dealt.select("set").distinct(), "set", "left_semi")
+        links = links.unionByName(materialize(crowd_links(dealt, mine, percent), "crowd-links"))
     second = materialize(reduce(DataFrame.unionByName, few).distinct().withColumn("hub", F.lit(False)), "outside-pairs")
     last = compare(second, sets.join(named(second), "set", "left_semi"), order, percent)
     return links.unionByName(linked_pairs(last))
