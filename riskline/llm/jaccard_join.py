@@ -216,8 +216,23 @@ def _pairs(lists: DataFrame, key: list[str], extra: list[str]) -> DataFrame:
         *[F.col(f"p.{s}.{c}").alias(f"{c}_{t}") for c in extra for s, t in (("x", "a"), ("y", "b"))])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64-bit words, two bits a shingle or more: sets differ by at least as many."""
+    words = 1 << min(10, max(0, (len(s) - 1).bit_length() - 5))
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (s >> np.uint64(6)) & np.uint64(words - 1), np.uint64(1) << (s & np.uint64(63)))
+    return out
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """Lower bound on the symmetric difference of two sets, by their ``parities``."""
+    if len(x) > len(y):
+        x, y = y, x
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, width: int) -> DataFrame:
-    """set, items (8-byte hashes in order) of the wanted sets, from one row of each (``firsts``: set, row)."""
+    """set, n, bits (``parities``), items (8-byte hashes in order) of the wanted sets, from one row of each (``firsts``: set, row)."""
     rows = wanted.join(firsts, "set").select("row", "set")
     d = documents(docs)
     d = d.select(row_key(d).alias("row"), "text")
@@ -229,17 +244,33 @@ def sets_of(docs: DataFrame, wanted: DataFrame, firsts: DataFrame, width: int) -
             # keys of unlike rows may be equal
             mine = [len(s) > 0 and fingerprint(s) == f for s, f in zip(sets, b.column("set").to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [b.column("set"), pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "items"]).filter(pa.array(mine, pa.bool_()))
+                [b.column("set"), pa.array([len(s) for s in sets], pa.int64()), pa.array([parities(s).tobytes() for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "n", "bits", "items"]).filter(pa.array(mine, pa.bool_()))
 
-    return d.join(rows, "row").dropDuplicates(["row", "set"]).select("set", "text").mapInArrow(run, "set long, items binary")
+    return d.join(rows, "row").dropDuplicates(["row", "set"]).select("set", "text").mapInArrow(run, "set long, n long, bits binary, items binary")
 
 
 def linked(n_a, n_b, both, percent: int):
     return 100 * both >= percent * (n_a + n_b - both)
 
 
+def near_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b, hub) that may be linked by their sets' sizes and ``parities``: only these meet with all their items."""
+    def run(batches):
+        for batch in batches:
+            may = [100 * (x + y) - 100 * d >= percent * (x + y + d) for x, y, d in zip(
+                batch.column("na").to_pylist(), batch.column("nb").to_pylist(),
+                (least_difference(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+                 for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist())))]
+            yield batch.select(["a", "b", "hub"]).filter(pa.array(may, pa.bool_()))
+
+    side = lambda c: sets.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}"))
+    return (pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "hub", "na", "nb", "xa", "xb")
+            .mapInArrow(run, "a long, b long, hub boolean"))
+
+
 def compare(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame:
-    """(a, b, hub, linked, rest) of pairs (a, b, hub).
+    """(a, b, hub, linked, rest) of pairs (a, b, hub), but for those without hub that are seen not to be linked by ``near_pairs``.
 
     Where b is the hub of a, ``rest`` are the shingles of a outside b by which to look further.
     """
@@ -263,6 +294,7 @@ def compare(pairs: DataFrame, sets: DataFrame, order, percent: int) -> DataFrame
                  pa.array(rest, pa.list_(pa.int64()))], ["a", "b", "hub", "linked", "rest"])
         give_back()  # the worker goes on to other tasks
 
+    pairs = near_pairs(pairs.where("not hub"), sets, percent).unionByName(pairs.where("hub").select("a", "b", "hub"))
     return (pairs.join(sets.select(F.col("set").alias("b"), F.col("items").alias("ib")), "b")
             .join(sets.select(F.col("set").alias("a"), F.col("items").alias("ia")), "a")
             .select("a", "b", "hub", "ia", "ib")
@@ -398,7 +430,7 @@ def crowd_links(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         give_back()
         return pa.table({"a": name[a], "b": name[b]})
 
-    return dealt.join(sets, "set").groupBy("crowd", "z", "cell").applyInArrow(run, "a long, b long")
+    return dealt.join(sets.select("set", "items"), "set").groupBy("crowd", "z", "cell").applyInArrow(run, "a long, b long")
 
 
 def jaccard_links(docs: DataFrame, known: DataFrame, width: int = 5, percent: int = 80, short: int = 32,
